@@ -46,7 +46,7 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
         out_query, out_id, out_distance = [], [], []
         if questions.num_rows and vectors.num_rows:
             vectors = vectors.sort_by("id")
-            v, q = _matrix(vectors["embedding"]), _matrix(questions["embedding"])
+            v, q = _matrix(vectors["v_block_embedding"]), _matrix(questions["q_block_embedding"])
             v_norm = (v * v).sum(axis=1)
             top = min(k, len(v))
             for at in range(0, len(q), 256):
@@ -103,7 +103,7 @@ def _search_cells(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame
             F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own_name),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name),
             key,
-            "embedding",
+            F.col("embedding").alias(f"{own_name}_embedding"),
         )
 
     left = spread(questions, "query_id", "q_blocks", "v_blocks", "q_block", "v_block")

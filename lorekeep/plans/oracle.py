@@ -328,7 +328,8 @@ def sql(select: str) -> str:
                     needed.append(name)
 
     visit(select)
-    steps = ", ".join(f"{n} AS ({STEPS[n].strip()})" for n in needed)
+    once = {"ready"}  # read by several steps
+    steps = ", ".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({STEPS[n].strip()})" for n in needed)
     return (f"WITH {steps} " if needed else "") + select.strip()
 
 

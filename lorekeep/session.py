@@ -54,18 +54,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def stream_settings(spark: SparkSession):
-    """State in RocksDB, with as many state partitions as the cluster has use for.
-
-    A stateful stream keeps the partition count it starts with, so it is taken from
-    the cluster's parallelism and not from a batch default.
-    """
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.shuffle.partitions": str(
-            min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        ),
-    }
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for the length of a block."""
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
@@ -77,3 +67,19 @@ def stream_settings(spark: SparkSession):
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
+
+
+def stream_settings(spark: SparkSession):
+    """State in RocksDB, with as many state partitions as the cluster has use for.
+
+    A stateful stream keeps the partition count it starts with, so it is taken from
+    the cluster's parallelism and not from a batch default.
+    """
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return settings(
+        spark,
+        {
+            "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+            "spark.sql.shuffle.partitions": str(parts),
+        },
+    )

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.session import cut_lineage, fresh_path
+from lorekeep.session import fresh_path, settings
 from lorekeep.sources.schemas import SCHEMAS, conform
 
 DAY = "created_date"
@@ -134,9 +134,9 @@ class Store:
             if left.isEmpty():
                 expired.append(day.isoformat())
             elif not rows.filter(F.col("created_at") < F.lit(cutoff)).isEmpty():
-                # Staged first, since a table cannot be overwritten while it is read.
-                staged = cut_lineage(left)
-                staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name(table))
+                # Replaces the partitions written and no others.
+                with settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+                    left.write.mode("overwrite").insertInto(self.name(table))
         if expired:
             parts = ", ".join(f"PARTITION ({DAY} = DATE'{d}')" for d in expired)
             self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS {parts}")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # Every character Python's str.split() treats as white space.
 # The same class is valid in Java and in RE2.
-SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
+SPACE = f"[{_SPACE}]"
 # Fixed value: anything that is neither a Unicode word character nor white space.
 NON_WORD = r"[^\p{L}\p{N}_\s]"
 # Sentence ends.
@@ -60,8 +61,8 @@ def words(text) -> Column:
 
 
 def word_count(text) -> Column:
-    stripped = strip(text)
-    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, f"{SPACE}+"))).cast("int")
+    """Number of white-space separated pieces."""
+    return F.regexp_count(_col(text), F.lit(f"[^{_SPACE}]+"))
 
 
 def keywords(query) -> Column:
@@ -100,16 +101,17 @@ def completeness(answer, expected) -> Column:
 def clarity(answer) -> Column:
     """Mean of a sentence-length band and a structure score.
 
-    A piece after a final full stop counts as a sentence of no words. White space and
-    sentence ends are disjoint, so all words of the text are the sum over its pieces
-    once sentence ends count as separators.
+    A piece after a final full stop counts as a sentence of no words. There is one piece
+    more than sentence ends, and the words of all pieces are the runs free of both white
+    space and sentence ends, so two counts do. The band is a sum and not a chain of
+    conditions, which would count again in every branch.
     """
     text = _col(answer)
-    pieces = F.size(F.split(text, SENTENCE_END, -1))
-    total = word_count(F.regexp_replace(text, SENTENCE_END, " "))
-    mean = total / pieces
-    length_part = F.when(mean.between(15, 20), 1.0).when(mean.between(10, 25), 0.8).otherwise(0.6)
-    structure = F.when(pieces > 1, 1.0).otherwise(0.7)
+    ends = F.regexp_count(text, F.lit(SENTENCE_END))
+    mean = F.regexp_count(text, F.lit(f"[^{_SPACE}.!?]+")) / (ends + 1)
+    within = lambda low, high: ((mean >= low) & (mean <= high)).cast("int")
+    length_part = (F.lit(6) + 2 * within(10, 25) + 2 * within(15, 20)) / 10
+    structure = (F.lit(7) + 3 * (ends > 0).cast("int")) / 10
     return F.when(is_blank(text), 0.0).otherwise((length_part + structure) / 2)
 
 

@@ -122,10 +122,15 @@ def dense_ids(chunks: DataFrame) -> DataFrame:
     ).drop("offset")
 
 
-def _offsets(sizes: DataFrame, key: str, n: str, range_rows: int = 1_000_000) -> DataFrame:
-    """``key, offset``: the sum of ``n`` over all smaller keys."""
-    # Ranges of a numeric key, each window bounded by range_rows keys.
-    bucket = F.floor(F.col(key) / range_rows)
+def _offsets(sizes: DataFrame, key: str, n: str, range_rows: int = 1_000_000, max_ranges: int = 1000) -> DataFrame:
+    """``key, offset``: the sum of ``n`` over all smaller keys.
+
+    The key is a number of any distribution: quantiles cut it into ranges of about
+    ``range_rows`` rows each, so no window runs over all rows.
+    """
+    ranges = min(max_ranges, -(-sizes.count() // range_rows))
+    cuts = sizes.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
     rows = sizes.withColumn("bucket", bucket)
     totals = rows.groupBy("bucket").agg(F.sum(n).alias("total"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -82,10 +82,12 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
     return search
 
 
-def _search_cells(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _search_cells(questions: DataFrame, vectors: DataFrame, k: int, *, few_cells: bool) -> DataFrame:
     """``query_id, id, distance``: at least the k nearest within the question's cells.
 
     ``questions`` is (cell, query_id, embedding), ``vectors`` is (cell, id, embedding).
+    With ``few_cells`` there are at most MAX_CELLS of them, and their sizes go to every
+    task; otherwise they are joined as the run-time statistics advise.
     """
     blocks = (
         questions.groupBy("cell").agg(F.count("*").alias("nq"))
@@ -97,6 +99,9 @@ def _search_cells(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame
         )
     )
 
+    if few_cells:
+        blocks = F.broadcast(blocks)
+
     def spread(rows: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
         return rows.join(blocks, "cell").select(
             "cell",
@@ -220,7 +225,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
     if cells < 2:
         one = F.lit(0).alias("cell")
         return _rank(
-            _search_cells(questions.select(one, "query_id", "embedding"), vectors.select(one, "id", "embedding"), k), k
+            _search_cells(questions.select(one, "query_id", "embedding"), vectors.select(one, "id", "embedding"), k, few_cells=True), k
         )
     # At most MAX_CELLS vectors, chosen by hash, come to the driver.
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(cells).select("embedding").collect()
@@ -228,7 +233,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
     corpus = cut_lineage(_with_cell(vectors, "id", pivots))
     asked = cut_lineage(_with_cell(questions, "query_id", pivots))
     radii = {row[0]: row[1] for row in corpus.groupBy("cell").agg(F.max("to_pivot")).collect()}
-    home = cut_lineage(_rank(_search_cells(asked, corpus, k), k))
+    home = cut_lineage(_rank(_search_cells(asked, corpus, k, few_cells=True), k))
     full = home.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
     bounded = asked.join(full, "query_id", "left").select(
         "cell",
@@ -236,7 +241,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
         "embedding",
         F.when(F.col("n") == k, F.col("worst")).otherwise(F.lit(float("inf"))).alias("bound"),
     )
-    further = _search_cells(cut_lineage(_cells_in_reach(bounded, pivots, radii)), corpus, k)
+    further = _search_cells(cut_lineage(_cells_in_reach(bounded, pivots, radii)), corpus, k, few_cells=True)
     return _rank(home.select("query_id", "id", "distance").unionByName(further), k)
 
 
@@ -264,7 +269,7 @@ def knn_lsh(
         bucket = vector_to_array("hash")[0].cast("long")
         return rows.select(F.concat_ws(":", "at", bucket).alias("cell"), key, "embedding")
 
-    found = _search_cells(bucketed(questions, "query_id"), bucketed(vectors, "id"), k)
+    found = _search_cells(bucketed(questions, "query_id"), bucketed(vectors, "id"), k, few_cells=False)
     once = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     return _rank(once, k)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import stable_id
 from lorekeep.operators.events import KINDS, payload
 from lorekeep.operators.graph import extract_entities, graph_vertices
+from lorekeep.sources.corpus import spread
 
 DOCS_PER_CASE = 10
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus, spread over all cores for work on its texts."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def eval_cases(spark: SparkSession, folder: str) -> DataFrame:
     """One case per conversation.
 
@@ -97,7 +103,7 @@ def topic_answers(spark: SparkSession, folder: str) -> DataFrame:
 def extraction_json(spark: SparkSession, folder: str) -> DataFrame:
     """Extraction results of every document as a model would send them: JSON, cut off
     for German documents, and with two-part relationships for French ones."""
-    found = extract_entities(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    found = extract_entities(documents(spark, folder).select("doc_id", "lang", "text"))
     pairs = F.transform("relationships", lambda r: F.slice(r, 1, 2))
     triples = F.when(F.col("lang") == "fr", pairs).otherwise(F.col("relationships"))
     body = F.to_json(F.struct("entities", triples.alias("relationships")))
@@ -106,13 +112,13 @@ def extraction_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extractions(spark: SparkSession, folder: str) -> DataFrame:
-    return extract_entities(table(spark, folder, "documents").select("doc_id", "text"))
+    return extract_entities(documents(spark, folder).select("doc_id", "text"))
 
 
 def labelled_vertices(spark: SparkSession, folder: str) -> DataFrame:
     """Entities of the labelled documents; edges of other documents may dangle."""
     labelled = table(spark, folder, "labels").select("doc_id")
-    docs = table(spark, folder, "documents").select("doc_id", "text").join(labelled, "doc_id", "left_semi")
+    docs = documents(spark, folder).select("doc_id", "text").join(labelled, "doc_id", "left_semi")
     return graph_vertices(extract_entities(docs))
 
 

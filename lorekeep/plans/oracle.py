@@ -394,7 +394,7 @@ _TEL_COLUMNS = "event_id, session_id, conversation_id, turn_id, user_id, interac
 
 ORACLE: dict[str, str] = {
     # Sources and sinks
-    "corpus_scan": "SELECT doc_id, text FROM documents",
+    "corpus_scan": "SELECT lang, text FROM documents",
     "page_text": f"SELECT page_id, url, {page_text('html')} AS text FROM pages",
     "chunk_table": sql("SELECT doc_id || '-' || chunk_no AS id, text, coalesce(source, 'unknown') AS source FROM chunks"),
     "graph_vertices": sql("SELECT id FROM vertices"),

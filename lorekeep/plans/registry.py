@@ -62,17 +62,19 @@ def _joined(c) -> Column:
 
 @query
 def corpus_scan(spark, folder):
-    docs = i.table(spark, folder, "documents").select("doc_id", "text")
     path = fresh_path(spark, "corpus")
-    docs.repartition(spark.sparkContext.defaultParallelism, "doc_id").write.partitionBy("doc_id").text(path)
-    doc_id = F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("long")
+    docs = i.table(spark, folder, "documents").select("lang", "text")
+    # A file per document, in a folder per language.
+    spread = docs.repartition(spark.sparkContext.defaultParallelism)
+    spread.write.option("maxRecordsPerFile", 1).partitionBy("lang").text(path)
+    lang = F.regexp_extract("source", r"lang=(\w+)", 1)
     # The text writer ends every file with a line break.
-    return corpus.corpus_scan(spark, path).select(doc_id.alias("doc_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    return corpus.corpus_scan(spark, path).select(lang.alias("lang"), F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 
 @query
 def page_text(spark, folder):
-    return corpus.page_texts(i.table(spark, folder, "pages"))
+    return corpus.page_texts(corpus.spread(i.table(spark, folder, "pages")))
 
 
 def _chunks(spark, folder) -> DataFrame:
@@ -259,18 +261,18 @@ def retention(spark, folder):
 
 @query
 def chunk_recursive(spark, folder):
-    return chunking.chunk_recursive(i.table(spark, folder, "documents"))
+    return chunking.chunk_recursive(i.documents(spark, folder))
 
 
 @query
 def chunk_recursive_500(spark, folder):
-    return chunking.chunk_recursive(i.table(spark, folder, "documents"), 500, 100)
+    return chunking.chunk_recursive(i.documents(spark, folder), 500, 100)
 
 
 @query
 def chunk_recursive_plain(spark, folder):
     """Recursive splitting of texts without separators."""
-    docs = i.table(spark, folder, "documents").withColumn("text", F.translate("text", " \n\t", ""))
+    docs = i.documents(spark, folder).withColumn("text", F.translate("text", " \n\t", ""))
     return _long(chunking.chunk_recursive(docs), "chunk_no", "start_index")
 
 
@@ -289,12 +291,12 @@ def chunk_ids(spark, folder):
 
 @query
 def clean_text(spark, folder):
-    return i.table(spark, folder, "documents").select("doc_id", tx.clean_text("text").alias("clean"))
+    return i.documents(spark, folder).select("doc_id", tx.clean_text("text").alias("clean"))
 
 
 @query
 def text_stats(spark, folder):
-    rows = i.table(spark, folder, "documents")
+    rows = i.documents(spark, folder)
     return rows.select(
         "doc_id", tx.word_count("text").cast("long").alias("word_count"), F.length("text").cast("long").alias("length")
     )
@@ -411,7 +413,7 @@ def completeness(spark, folder):
 
 @query
 def clarity(spark, folder):
-    return i.table(spark, folder, "documents").select("doc_id", F.round(tx.clarity("text"), 6).alias("clarity"))
+    return i.documents(spark, folder).select("doc_id", F.round(tx.clarity("text"), 6).alias("clarity"))
 
 
 @query
@@ -520,19 +522,20 @@ def retrieve_chunks(spark, folder):
 
 @query
 def embed_chunks(spark, folder):
-    chunks = chunking.chunk_recursive(i.table(spark, folder, "documents"))
-    rows = chunks.select(chunking.chunk_key().alias("id"), "text")
-    return embedding.embed(rows, "id", embedding.fit_embedder(i.table(spark, folder, "documents")))
+    docs = i.documents(spark, folder)
+    rows = chunking.chunk_recursive(docs).select(chunking.chunk_key().alias("id"), "text")
+    return embedding.embed(rows, "id", embedding.fit_embedder(docs))
 
 
 @query
 def retrieve_text(spark, folder):
     """Questions as texts: embed both sides, search, attach the chunks."""
-    docs = i.table(spark, folder, "documents")
-    model = embedding.fit_embedder(docs)
-    chunks = chunking.chunk_recursive(docs).select(chunking.chunk_key().alias("id"), "text")
+    docs = i.documents(spark, folder)
+    model, store = embedding.fit_embedder(docs), Store.scratch(spark)
+    chunks = store.write_chunks(chunking.chunk_recursive(docs).select(chunking.chunk_key().alias("id"), "text", "source"))
+    vectors = store.write_vectors(embedding.embed(chunks, "id", model))
     asked = context.valid_questions(i.questions(spark, folder)).withColumnRenamed("query", "text")
-    found = knn.knn(embedding.embed(asked, "query_id", model), embedding.embed(chunks, "id", model), 4)
+    found = knn.knn(embedding.embed(asked, "query_id", model), vectors, 4)
     return _six(context.attach_text(found, chunks), "distance")
 
 

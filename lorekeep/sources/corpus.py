@@ -25,6 +25,14 @@ def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.input_file_name().alias("source"), F.col("value").alias("text"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan gives fewer partitions than that, for work that
+    costs far more than moving a row. A large table has more splits than the cluster has
+    cores and is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of raw web pages."""
     return pages.select("page_id", "url", page_text("html").alias("text"))

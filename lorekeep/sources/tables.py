@@ -86,8 +86,12 @@ class Store:
         """The six tables, empty; existing ones are kept unless ``replace``."""
         for table, schema in SCHEMAS.items():
             if replace or not self.exists(table):
-                empty = self.spark.createDataFrame([], schema).withColumn(DAY, F.to_date("created_at"))
-                empty.write.mode("overwrite").format("parquet").partitionBy(DAY).saveAsTable(self.name(table))
+                if replace:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")
+                columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+                self.spark.sql(
+                    f"CREATE TABLE {self.name(table)} ({columns}, {DAY} date) USING parquet PARTITIONED BY ({DAY})"
+                )
 
     def append(self, table: str, rows: DataFrame) -> DataFrame:
         """Add rows of one of the six tables, as one commit. Rows are brought together

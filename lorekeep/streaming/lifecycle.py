@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -69,12 +68,8 @@ def _most(a, b):
     return b if a is None else a if b is None else max(a, b)
 
 
-def _value(x):
-    return None if x is None or pd.isna(x) else x
-
-
 class Lifecycle(StatefulProcessor):
-    """Folds the events of a key into one state row."""
+    """Folds the events of a key, one after another, into one row of state."""
 
     def __init__(self, idle_seconds: int | None) -> None:
         self._idle_ms = None if idle_seconds is None else idle_seconds * 1000
@@ -83,80 +78,78 @@ class Lifecycle(StatefulProcessor):
         self._handle = handle
         self._state = handle.getValueState("state", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Chunks of the key's events are reduced column-wise, one after another; only
-        the state row is kept."""
-        state = dict(zip(STATE.names, self._state.get())) if self._state.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self._state.get()
+        state = dict(zip(STATE.names, known)) if known else None
         end = None
-        for chunk in rows:
-            live = chunk[chunk["ended"].isna()]
-            if len(live):
-                state = self._fold(state, live)
-            end = _least(end, _value(chunk["ended"].min()))
+        for row in rows:
+            if row["ended"] is not None:
+                end = _least(end, row["ended"])
+            else:
+                state = self._fold(state, row)
         if state is None:
             return
         if end is not None and state["start"] is not None:
-            self._forget()
-            yield self._row(key[0], state, int(end), False)
+            if known:
+                self._state.clear()
+                self._stop_timers()
+            yield self._row(key[0], state, end, False)
             return
         self._state.update(tuple(state[name] for name in STATE.names))
         if self._idle_ms is not None:
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer)
+            if known:
+                self._stop_timers()
             self._handle.registerTimer(state["last"] // 1000 + self._idle_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._state.exists():
-            state = dict(zip(STATE.names, self._state.get()))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self._state.get()
+        if known:
+            state = dict(zip(STATE.names, known))
             self._state.clear()
             if state["start"] is not None:
                 yield self._row(key[0], state, self._active(state), True)
 
-    def _forget(self) -> None:
-        self._state.clear()
+    def _stop_timers(self) -> None:
         if self._idle_ms is not None:
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer)
 
     @staticmethod
-    def _fold(state: dict | None, rows: pd.DataFrame) -> dict:
+    def _fold(state: dict | None, row: Row) -> dict:
         s = state or dict.fromkeys(STATE.names) | {"n": 0}
-        whole = lambda x: None if _value(x) is None else int(x)
-        s["parent"] = _most(s["parent"], _value(rows["parent"].dropna().max() if rows["parent"].notna().any() else None))
-        s["user_id"] = _most(s["user_id"], _value(rows["user_id"].dropna().max() if rows["user_id"].notna().any() else None))
-        s["start"] = _least(s["start"], whole(rows["started"].min()))
-        s["last"] = _most(s["last"], whole(rows["seen"].max()))
-        s["active"] = _most(s["active"], whole(rows["active"].max()))
-        s["n"] += int(rows["n"].sum())
+        seen = row["seen"]
+        s["parent"] = _most(s["parent"], row["parent"])
+        s["user_id"] = _most(s["user_id"], row["user_id"])
+        s["start"] = _least(s["start"], row["started"])
+        s["last"] = _most(s["last"], seen)
+        s["active"] = _most(s["active"], row["active"])
+        s["n"] += row["n"]
         for text, at in (("query", "query_at"), ("response", "response_at")):
-            told = rows[rows[text].notna()]
-            if len(told):
-                first = told.sort_values(["seen", text], kind="stable").iloc[0]
-                if s[at] is None or int(first["seen"]) < s[at]:
-                    s[at], s[text] = int(first["seen"]), first[text]
-                    if text == "response":
-                        s["response_time"] = _value(first["response_time"])
+            told = row[text]
+            if told is not None and (s[at] is None or (seen, told) < (s[at], s[text])):
+                s[at], s[text] = seen, told
+                if text == "response":
+                    s["response_time"] = row["response_time"]
         return s
 
     @staticmethod
     def _active(state: dict) -> int:
         return state["start"] if state["active"] is None else state["active"]
 
-    def _row(self, key: str, state: dict, end: int, timed_out: bool) -> pd.DataFrame:
-        row = {
-            "key": key,
-            "parent": state["parent"],
-            "user_id": state["user_id"],
-            "start": state["start"],
-            "end": end,
-            "active": self._active(state),
-            "n": state["n"],
-            "query": state["query"],
-            "response": state["response"],
-            "response_time": state["response_time"],
-            "timed_out": timed_out,
-        }
-        return pd.DataFrame([row], columns=OUTPUT.names)
+    def _row(self, key: str, state: dict, end: int, timed_out: bool) -> Row:
+        return Row(
+            key=key,
+            parent=state["parent"],
+            user_id=state["user_id"],
+            start=state["start"],
+            end=end,
+            active=self._active(state),
+            n=state["n"],
+            query=state["query"],
+            response=state["response"],
+            response_time=state["response_time"],
+            timed_out=timed_out,
+        )
 
 
 def _steps(events: DataFrame, level: str) -> DataFrame:
@@ -189,7 +182,7 @@ def lifecycle_stream(
 ) -> DataFrame:
     """A stream of closed sessions, conversations or turns."""
     steps = _steps(events, level).withWatermark("at", delay)
-    closed = steps.groupBy("key").transformWithStateInPandas(
+    closed = steps.groupBy("key").transformWithState(
         Lifecycle(idle_seconds), OUTPUT, "Append", "EventTime" if idle_seconds is not None else "None"
     )
     start, end, active = (F.timestamp_micros(c) for c in ("start", "end", "active"))

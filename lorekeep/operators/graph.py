@@ -88,7 +88,8 @@ def valid_triples(extractions: DataFrame, *carry: str) -> DataFrame:
 def graph_vertices(extractions: DataFrame) -> DataFrame:
     """Distinct entities. Duplicates are removed before the shuffle, so an entity of
     every document costs one row per task."""
-    return extractions.select(F.explode("entities").alias("id")).distinct()
+    # explode() would have the optimizer test the array before, and so extract twice.
+    return extractions.select(F.explode_outer("entities").alias("id")).filter("id is not null").distinct()
 
 
 def graph_edges(extractions: DataFrame) -> DataFrame:
@@ -128,14 +129,15 @@ def seed_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return repeat(counted_edges(edges).join(ids, "src", "left_semi").select("src", "relationship", "dst", "n"))
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of one to three characters."""
-
-    def runs(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
-        return F.transform(starts, lambda at: F.substring(text, at, F.lit(size)))
-
-    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+def _with_grams(rows: DataFrame, text: str) -> DataFrame:
+    """A row, with ``gram``, for each distinct run of one to three characters of a text.
+    Positions and sizes are rows and not lambdas, which keeps the work in generated code;
+    of equal runs the first one stays."""
+    at = rows.filter(F.length(text) > 0).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text))))
+    runs = F.array(*[F.substring(text, F.col("_at"), F.lit(size)) for size in (1, 2, 3)])
+    sized = at.select("*", F.posexplode(runs).alias("_size", "gram"))
+    first = (F.length("gram") == F.col("_size") + 1) & (F.instr(text, F.col("gram")) == F.col("_at"))
+    return sized.filter(first).drop("_at", "_size")
 
 
 def match_vertices(questions: DataFrame, vertices: DataFrame, k: int = 5) -> DataFrame:
@@ -147,25 +149,16 @@ def match_vertices(questions: DataFrame, vertices: DataFrame, k: int = 5) -> Dat
     be among a question's first k, so each is cut to k before it meets the questions.
     """
     asked = questions.select("query_id", F.explode(F.array_distinct(keywords("query"))).alias("word"))
-    grams = vertices.select("id", F.explode(_grams(F.lower("id"))).alias("gram"))
+    grams = _with_grams(vertices.select("id", F.lower("id").alias("low")), "low")
     frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    whole = F.col("word")
     own = (
-        asked.select("word")
-        .distinct()
-        .select(
-            "word",
-            F.explode(
-                F.when(F.length(whole) <= 3, F.array(whole)).otherwise(
-                    F.filter(_grams(whole), lambda g: F.length(g) == 3)
-                )
-            ).alias("gram"),
-        )
+        _with_grams(asked.select("word").distinct(), "word")
+        .filter(F.length("gram") == F.least(F.lit(3), F.length("word")))
         .join(frequency, "gram", "left")
         .groupBy("word")
-        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
     )
-    hits = grams.join(own, "gram").filter(F.contains(F.lower("id"), F.col("word"))).select("word", "id")
+    hits = grams.join(own, "gram").filter(F.contains("low", "word")).select("word", "id")
     first = Window.partitionBy("word").orderBy("id")
     few = hits.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k).drop("place")
     order = Window.partitionBy("query_id").orderBy("id")

@@ -103,12 +103,6 @@ def counted_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "relationship", "dst").agg(F.count("*").alias("n"))
 
 
-def repeat(counted: DataFrame) -> DataFrame:
-    """Counted rows back to one row per occurrence."""
-    rest = [c for c in counted.columns if c != "n"]
-    return counted.select(*rest, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_")).drop("_")
-
-
 def connected(counted: DataFrame, vertices: DataFrame) -> DataFrame:
     """Counted edges whose two ends are both vertices. Vertex ids are distinct, so the
     joins only filter; a hot end is a skewed key on the edge side."""
@@ -119,14 +113,16 @@ def connected(counted: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def one_hop(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """``src, relationship, dst`` for each edge between two listed vertices."""
-    return repeat(connected(counted_edges(edges), vertices).select("src", "relationship", "dst", "n"))
+    """``src, relationship, dst, n`` for the edges between two listed vertices, with how
+    often each occurs."""
+    return connected(counted_edges(edges), vertices).select("src", "relationship", "dst", "n")
 
 
 def seed_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Edges that leave one of the ``seeds`` (a table with an ``id``)."""
+    """Edges that leave one of the ``seeds`` (a table with an ``id``), with how often
+    each occurs."""
     ids = seeds.select(F.col("id").alias("src")).distinct()
-    return repeat(counted_edges(edges).join(ids, "src", "left_semi").select("src", "relationship", "dst", "n"))
+    return counted_edges(edges).join(ids, "src", "left_semi").select("src", "relationship", "dst", "n")
 
 
 def _with_grams(rows: DataFrame, text: str) -> DataFrame:
@@ -177,8 +173,8 @@ def graph_context(
     """``query_id, page, context``: the relationships that leave a question's vertices.
 
     Lines of a vertex are put together once and not once per question. A vertex with
-    more than ``page_lines`` edges spreads over pages, by a hash of the target, so no
-    task ever holds all edges of a hot vertex; every page is a context row of its own.
+    more than ``page_lines`` edges, or copies of one, spreads over pages by a hash, so no
+    task ever holds all lines of a hot vertex; every page is a context row of its own.
     Order: vertex, relationship, target. Questions without vertices have no row; those
     whose vertices have no edges get a fixed text.
     """
@@ -187,12 +183,12 @@ def graph_context(
     leaving = connected(counted_edges(edges).join(ids, "src", "left_semi"), vertices)
     pages = leaving.groupBy("src").agg(F.ceil(F.sum("n") / page_lines).alias("pages"))
     line = F.concat(F.lit("- "), "src", F.lit(" "), "relationship", F.lit(" "), "dst")
-    rows = leaving.join(pages, "src").select(
+    parts = leaving.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / page_lines))))
+    copies = F.least(F.lit(page_lines), F.col("n") - F.col("part") * page_lines).cast("int")
+    rows = parts.join(pages, "src").select(
         F.col("src").alias("id"),
-        F.pmod(F.xxhash64("relationship", "dst"), F.col("pages")).alias("page"),
-        F.struct("relationship", "dst", F.repeat(F.concat(line, F.lit("\n")), F.col("n").cast("int")).alias("lines")).alias(
-            "entry"
-        ),
+        F.pmod(F.xxhash64("relationship", "dst", "part"), F.col("pages")).alias("page"),
+        F.struct("relationship", "dst", F.repeat(F.concat(line, F.lit("\n")), copies).alias("lines")).alias("entry"),
     )
     blocks = rows.groupBy("id", "page").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["lines"]), "").alias("block")

@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,31 +243,59 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
     return _rank(home.select("query_id", "id", "distance").unionByName(further), k)
 
 
+def _with_buckets(rows: DataFrame, key: str, planes, tables: int, bucket_length: float) -> DataFrame:
+    """``cell, key, embedding``: each row once per hash table. A table's bucket is a
+    tuple of quantised projections, mixed into one number; should two tuples meet, the
+    search only has more to measure."""
+    schema = T.StructType([T.StructField("cell", T.LongType()), rows.schema[key], rows.schema["embedding"]])
+
+    def hashed(batches):
+        projection, shift, mix = planes.value
+        for batch in batches:
+            x = _matrix(pa.chunked_array([batch.column("embedding")]))
+            if not len(x):
+                continue
+            steps = np.floor((x @ projection + shift) / bucket_length).astype(np.int64)
+            with np.errstate(over="ignore"):
+                cells = (steps * mix).reshape(len(x), tables, -1).sum(axis=2) * tables + np.arange(tables)
+            again = batch.take(pa.array(np.repeat(np.arange(len(x)), tables)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells.ravel()), again.column(key), again.column("embedding")],
+                names=["cell", key, "embedding"],
+            )
+
+    return rows.select(key, "embedding").mapInArrow(hashed, schema)
+
+
 def knn_lsh(
     questions: DataFrame,
     vectors: DataFrame,
     k: int,
     *,
     tables: int = 8,
-    bucket_length: float = 1.0,
+    width: int = 3,
+    bucket_length: float = 0.5,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate k nearest vectors from the buckets of several hash tables.
+    """Approximate k nearest vectors by locality-sensitive hashing for L2 distance.
 
-    The random projections are Spark ML's; the search within a bucket is the blocked
-    one, since the library's own join emits every pair of a bucket.
+    ``width`` projections together make a bucket, so that far vectors rarely meet;
+    ``tables`` independent bucketings make it likely that near ones do. A question sees
+    only vectors that share one of its buckets, and may have fewer than k results;
+    :func:`knn` is the exact way.
     """
-    as_vector = lambda df, key: df.select(key, "embedding", array_to_vector("embedding").alias("features"))
-    hashing = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed
-    ).fit(as_vector(vectors, "id"))
-
-    def bucketed(df: DataFrame, key: str) -> DataFrame:
-        rows = hashing.transform(as_vector(df, key)).select(key, "embedding", F.posexplode("hashes").alias("at", "hash"))
-        bucket = vector_to_array("hash")[0].cast("long")
-        return rows.select(F.concat_ws(":", "at", bucket).alias("cell"), key, "embedding")
-
-    found = _search_cells(bucketed(questions, "query_id"), bucketed(vectors, "id"), k, few_cells=False)
+    spark = vectors.sparkSession
+    first = vectors.select(F.size("embedding").alias("n")).first()
+    rng, n = np.random.default_rng(seed), tables * width
+    projection = rng.normal(size=(first["n"] if first else 1, n))
+    odd = rng.integers(1, 2**62, size=n, dtype=np.int64) * 2 + 1
+    planes = spark.sparkContext.broadcast((projection / np.linalg.norm(projection, axis=0), rng.random(n) * bucket_length, odd))
+    found = _search_cells(
+        _with_buckets(questions, "query_id", planes, tables, bucket_length),
+        _with_buckets(vectors, "id", planes, tables, bucket_length),
+        k,
+        few_cells=False,
+    )
     once = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     return _rank(once, k)
 

@@ -537,11 +537,11 @@ ORACLE: dict[str, str] = {
     ),
     "triples_valid": sql("SELECT doc_id, src, relationship, dst FROM edges WHERE lang NOT IN ('de', 'fr')"),
     "vertex_keyword": sql("SELECT query_id, id, place FROM seeds"),
-    "seed_edges": sql("SELECT src, relationship, dst FROM edges WHERE src IN (SELECT id FROM seeds)"),
+    "seed_edges": sql("SELECT src, relationship, dst, count(*) AS n FROM edges WHERE src IN (SELECT id FROM seeds) GROUP BY ALL"),
     "motif_one_hop": sql(
-        """SELECT src, relationship, dst FROM edges
+        """SELECT src, relationship, dst, count(*) AS n FROM edges
         WHERE src IN (SELECT id FROM doc_names JOIN labels USING (doc_id))
-          AND dst IN (SELECT id FROM doc_names JOIN labels USING (doc_id))"""
+          AND dst IN (SELECT id FROM doc_names JOIN labels USING (doc_id)) GROUP BY ALL"""
     ),
     "graph_context": sql("SELECT query_id, page, context FROM graph_contexts"),
     "graph_prompt": sql(

@@ -8,8 +8,10 @@ Times are microseconds since the epoch, so that state holds plain numbers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,13 +83,12 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self._state.get()
         state = dict(zip(STATE.names, known)) if known else None
-        end = None
+        end, live = None, known is not None
         for row in rows:
-            if row["ended"] is not None:
-                end = _least(end, row["ended"])
-            else:
-                state = self._fold(state, row)
-        if state is None:
+            end = _least(end, row["ended"])
+            live = live or row["live"] > 0
+            state = self._fold(state, row)
+        if not live:
             return
         if end is not None and state["start"] is not None:
             if known:
@@ -117,19 +118,19 @@ class Lifecycle(StatefulProcessor):
     @staticmethod
     def _fold(state: dict | None, row: Row) -> dict:
         s = state or dict.fromkeys(STATE.names) | {"n": 0}
-        seen = row["seen"]
         s["parent"] = _most(s["parent"], row["parent"])
         s["user_id"] = _most(s["user_id"], row["user_id"])
         s["start"] = _least(s["start"], row["started"])
-        s["last"] = _most(s["last"], seen)
+        s["last"] = _most(s["last"], row["seen"])
         s["active"] = _most(s["active"], row["active"])
         s["n"] += row["n"]
-        for text, at in (("query", "query_at"), ("response", "response_at")):
-            told = row[text]
-            if told is not None and (s[at] is None or (seen, told) < (s[at], s[text])):
-                s[at], s[text] = seen, told
+        for text in ("query", "response"):
+            told, at = row[text], row[f"{text}_at"]
+            if told is not None and (s[text] is None or (at, told) < (s[f"{text}_at"], s[text])):
+                s[text], s[f"{text}_at"] = told, at
                 if text == "response":
-                    s["response_time"] = row["response_time"]
+                    seconds = row["response_time"]
+                    s["response_time"] = None if math.isnan(seconds) else seconds
         return s
 
     @staticmethod
@@ -153,36 +154,71 @@ class Lifecycle(StatefulProcessor):
 
 
 def _steps(events: DataFrame, level: str) -> DataFrame:
+    """What each event does to the state of its key."""
     key, parent, counted = LEVELS[level]
     kind, at = F.col("interaction_type"), F.unix_micros("timestamp")
     activity = kind.isin(ACTIVITY)
     active = activity if counted is None else activity | (kind == counted)
     count = activity if counted is None else kind == counted
-    answer = (kind == "response") & (F.col("event_type") == "system_event")
     data = lambda k: F.try_element_at("data", F.lit(k))
-    wants_text = F.lit(level == "turn")
+    asked = F.lit(level == "turn") & (kind == "query") & data("query").isNotNull()
+    answered = F.lit(level == "turn") & (kind == "response") & (F.col("event_type") == "system_event")
+    answered &= data("response").isNotNull()
     return events.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("key"),
         (F.col(parent) if parent else F.lit(None).cast("string")).alias("parent"),
         "user_id",
-        F.col("timestamp").alias("at"),
+        at.alias("seen"),
         F.when(kind == f"{level}_start", at).alias("started"),
         F.when(kind == f"{level}_end", at).alias("ended"),
         F.when(active, at).alias("active"),
-        F.when(count, 1).otherwise(0).alias("n"),
-        F.when(wants_text & (kind == "query"), data("query")).alias("query"),
-        F.when(wants_text & answer, data("response")).alias("response"),
-        F.when(wants_text & answer, data("response_time").cast("double")).alias("response_time"),
-        at.alias("seen"),
+        F.when(count, 1).otherwise(0).cast("long").alias("n"),
+        F.when(kind == f"{level}_end", 0).otherwise(1).cast("long").alias("live"),
+        F.when(asked, data("query")).alias("query"),
+        F.when(asked, at).alias("query_at"),
+        F.when(answered, data("response")).alias("response"),
+        F.when(answered, at).alias("response_at"),
+        # No number: first() below must not skip to the time of a later answer.
+        F.when(answered, F.coalesce(data("response_time").cast("double"), F.lit(float("nan")))).alias("response_time"),
     )
 
 
+# How the steps of a key combine into one.
+COMBINE = {
+    "parent": "max",
+    "user_id": "max",
+    "seen": "max",
+    "started": "min",
+    "ended": "min",
+    "active": "max",
+    "n": "sum",
+    "live": "sum",
+    "query": "first",
+    "query_at": "first",
+    "response": "first",
+    "response_at": "first",
+    "response_time": "first",
+}
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One step per key and batch, before the shuffle: a key that has a third of all
+    events sends one row per batch to its state. In the order below the first question
+    and the first answer of a key are those the state keeps."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]).sort_by([("seen", "ascending"), ("query", "ascending"), ("response", "ascending")])
+        done = rows.group_by("key", use_threads=False).aggregate(list(COMBINE.items()))
+        done = done.rename_columns([c.removesuffix(f"_{COMBINE.get(c.rpartition('_')[0], '')}") for c in done.column_names])
+        yield from done.select(batch.schema.names).cast(batch.schema).to_batches()
+
+
 def lifecycle_stream(
     events: DataFrame, level: str, *, idle_seconds: int | None = None, delay: str = "10 minutes"
 ) -> DataFrame:
     """A stream of closed sessions, conversations or turns."""
-    steps = _steps(events, level).withWatermark("at", delay)
-    closed = steps.groupBy("key").transformWithState(
+    steps = _steps(events, level)
+    combined = steps.mapInArrow(_combine, steps.schema).withColumn("at", F.timestamp_micros("seen"))
+    closed = combined.withWatermark("at", delay).groupBy("key").transformWithState(
         Lifecycle(idle_seconds), OUTPUT, "Append", "EventTime" if idle_seconds is not None else "None"
     )
     start, end, active = (F.timestamp_micros(c) for c in ("start", "end", "active"))

@@ -72,13 +72,13 @@ def graph(spark):
 def test_one_hop_drops_dangling_and_keeps_copies(spark):
     vertices, edges = graph(spark)
     got = sorted(tuple(r) for r in g.one_hop(edges, vertices).collect())
-    assert got == [("Alpha", "r", "Beta"), ("Alpha", "r", "Beta"), ("Beta", "t", "Gamma")]
+    assert got == [("Alpha", "r", "Beta", 2), ("Beta", "t", "Gamma", 1)]
 
 
 def test_seed_edges(spark):
     vertices, edges = graph(spark)
     seeds = spark.createDataFrame([("Alpha",), ("Alpha",)], "id string")
-    assert sorted(r["dst"] for r in g.seed_edges(edges, seeds).collect()) == ["Beta", "Beta", "missing"]
+    assert sorted((r["dst"], r["n"]) for r in g.seed_edges(edges, seeds).collect()) == [("Beta", 2), ("missing", 1)]
 
 
 def test_context(spark):
@@ -117,7 +117,11 @@ def test_store_writes_both_tables_or_none(spark):
 def test_hot_keyword_and_copies(spark):
     edges = spark.createDataFrame([("a", "r", "b")] * 1000 + [("a", "r", f"x{i}") for i in range(10)], EDGE)
     assert g.counted_edges(edges).count() == 11
-    assert g.repeat(g.counted_edges(edges)).count() == 1010
+    vertices = spark.createDataFrame([("a",), ("b",), *[(f"x{i}",) for i in range(10)]], "id string")
+    asked = spark.createDataFrame([(1, "a")], "query_id int, query string")
+    rows = g.graph_context(asked, vertices, edges, page_lines=100).collect()
+    lines = [line for r in rows for line in r["context"].removeprefix(g.HEADING).split("\n")]
+    assert lines.count("- a r b") == 1000 and len(lines) == 1010 and len(rows) > 3
 
 
 @pytest.mark.parametrize("text,grams", [("aa", {"a", "aa"}), ("ab", {"a", "b", "ab"}), ("abcd", {"a", "b", "c", "d", "ab", "bc", "cd", "abc", "bcd"})])

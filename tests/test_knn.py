@@ -91,14 +91,27 @@ def test_ranks_are_dense(spark, small):
     assert ranks.filter(F.col("r") != F.array(*[F.lit(n) for n in (1, 2, 3, 4)])).count() == 0
 
 
-def test_lsh_recall(spark, small):
+def test_lsh_recall(spark, small, clustered):
+    """The given vectors have no near neighbours to speak of, clustered ones do."""
     rows = spark.read.parquet(f"{small}/embeddings.parquet")
-    vectors = rows.select(F.col("vec_id").alias("id"), "embedding")
-    asked = vectors.withColumnRenamed("id", "query_id")
-    exact = kn.knn(asked, vectors, 4)
-    found_ = kn.knn_lsh(asked, vectors, 4)
-    wrong = found_.join(exact, ["query_id", "rank"], "inner").filter(found_["distance"] < exact["distance"] - 1e-9)
-    assert wrong.count() == 0
-    assert kn.recall_at_k(found_, exact).agg(F.avg("recall")).first()[0] >= 0.9
-    narrow = kn.knn_lsh(asked, vectors, 4, tables=4, bucket_length=0.2)
-    assert 0.25 <= kn.recall_at_k(narrow, exact).agg(F.avg("recall")).first()[0] <= 1.0
+    given = rows.select(F.col("vec_id").alias("id"), "embedding")
+    points, _ = clustered
+    for vectors, bound in ((given, 0.85), (table(spark, points), 0.95)):
+        asked = vectors.withColumnRenamed("id", "query_id")
+        exact, got = kn.knn(asked, vectors, 4), kn.knn_lsh(asked, vectors, 4)
+        better = got.join(exact.withColumnRenamed("distance", "least"), ["query_id", "rank"]).filter("distance < least - 1e-9")
+        assert better.count() == 0
+        assert kn.recall_at_k(got, exact).agg(F.avg("recall")).first()[0] >= bound
+        assert got.groupBy("query_id", "id").count().filter("count > 1").count() == 0
+
+
+def test_buckets_keep_far_vectors_apart(spark, clustered):
+    points, _ = clustered
+    rng = np.random.default_rng(3)
+    planes = spark.sparkContext.broadcast(
+        (np.linalg.qr(rng.normal(size=(8, 8)))[0][:, :6], rng.random(6), rng.integers(1, 2**62, size=6) * 2 + 1)
+    )
+    cells = kn._with_buckets(table(spark, points), "id", planes, 2, 1.0)
+    assert cells.count() == 1200
+    pairs = cells.groupBy("cell").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert pairs < 2 * 600 * 600 / 3

@@ -185,3 +185,32 @@ def test_settings_are_put_back(spark):
 
 def test_embedder_is_reachable_from_streams():
     assert callable(embedding.embed)
+
+
+def test_a_hot_session_reaches_its_state_as_few_rows(spark):
+    """Thousands of steps of one key combine before the shuffle, others stay."""
+    rows = [event(n, "click", n, "hot") for n in range(3000)] + [event(9000 + n, "query", n, f"s{n}") for n in range(20)]
+    df = spark.createDataFrame(rows, EVENT).coalesce(1)
+    steps = lifecycle._steps(df, "session")
+    combined = steps.mapInArrow(lifecycle._combine, steps.schema)
+    assert combined.count() < 30
+    assert combined.agg(F.sum("n")).first()[0] == 3020
+    plan = lifecycle._steps(df, "turn")
+    assert plan.columns == steps.columns
+
+
+def test_first_answer_wins_also_without_a_time(spark):
+    rows = [
+        event(1, "turn_start", 0, "s", "c", "t"),
+        event(2, "response", 3, "s", "c", "t", {"response": "late", "response_time": "9.0"}, "system_event"),
+        event(3, "response", 2, "s", "c", "t", {"response": "first"}, "system_event"),
+        event(4, "query", 1, "s", "c", "t", {"query": "b"}),
+        event(5, "query", 1, "s", "c", "t", {"query": "a"}),
+        event(6, "turn_end", 5, "s", "c", "t"),
+    ]
+    folder, target, checkpoint = (fresh_path(spark, x) for x in ("in", "out", "cp"))
+    add(spark, folder, rows)
+    got = run(spark, folder, "turn", target, checkpoint).first()
+    want = rollups.turn_rollup(spark.createDataFrame(rows, EVENT)).first()
+    for r in (got, want):
+        assert (r["query"], r["response"], r["response_time_seconds"]) == ("a", "first", None)

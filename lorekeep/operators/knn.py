@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +38,39 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct row first stands, and for every row the number of its kind."""
+    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    _, first, kind = np.unique(whole, return_index=True, return_inverse=True)
+    return first, kind.ravel()
+
+
+def _first_copies(x: np.ndarray, ids: pa.Array | pa.ChunkedArray, k: int) -> np.ndarray:
+    """Rows without those that cannot be among anyone's k nearest: of equal vectors the
+    k smallest ids come first at every distance."""
+    if not len(x):
+        return np.empty(0, dtype=int)
+    _, kind = _groups(x)
+    by_id = pc.sort_indices(ids).to_numpy()
+    order = by_id[np.argsort(kind[by_id], kind="stable")]
+    sizes = np.bincount(kind)
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.sort(order[place < k])
+
+
 def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
     """k nearest vectors of one block for each question of another."""
 
     def search(_key, questions: pa.Table, vectors: pa.Table) -> pa.Table:
-        out_query, out_id, out_distance = [], [], []
         if questions.num_rows and vectors.num_rows:
+            vectors = vectors.take(pa.array(_first_copies(_matrix(vectors["v_block_embedding"]), vectors["id"], k)))
             vectors = vectors.sort_by("id")
             v, q = _matrix(vectors["v_block_embedding"]), _matrix(questions["q_block_embedding"])
+            # Equal questions have equal answers.
+            asked, kind = _groups(q)
+            q = q[asked]
+            best = np.empty((len(q), min(k, len(v))), dtype=int)
+            gap = np.empty(best.shape)
             v_norm = (v * v).sum(axis=1)
             top = min(k, len(v))
             for at in range(0, len(q), 256):
@@ -57,23 +83,20 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
                 for i, row in enumerate(part):
                     near = np.nonzero(rough[i] <= limit[i])[0]
                     distance = np.sqrt(((v[near] - row) ** 2).sum(axis=1))
-                    best = np.argsort(distance, kind="stable")[:top]
-                    out_query.append(np.full(top, at + i))
-                    out_id.append(near[best])
-                    out_distance.append(distance[best])
-        if not out_id:
+                    least = np.argsort(distance, kind="stable")[:top]
+                    best[at + i], gap[at + i] = near[least], distance[least]
             return pa.table(
                 {
-                    "query_id": pa.array([], query_type),
-                    "id": pa.array([], id_type),
-                    "distance": pa.array([], pa.float64()),
+                    "query_id": questions["query_id"].take(pa.array(np.repeat(np.arange(len(kind)), best.shape[1]))),
+                    "id": vectors["id"].take(pa.array(best[kind].ravel())),
+                    "distance": pa.array(gap[kind].ravel()),
                 }
             )
         return pa.table(
             {
-                "query_id": questions["query_id"].take(pa.array(np.concatenate(out_query))),
-                "id": vectors["id"].take(pa.array(np.concatenate(out_id))),
-                "distance": pa.array(np.concatenate(out_distance)),
+                "query_id": pa.array([], query_type),
+                "id": pa.array([], id_type),
+                "distance": pa.array([], pa.float64()),
             }
         )
 
@@ -146,7 +169,16 @@ def _distances(batch: pa.RecordBatch, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _with_cell(rows: DataFrame, key: str, pivots) -> DataFrame:
+def _without_copies(batch: pa.RecordBatch, key: str, k: int | None) -> pa.RecordBatch:
+    """A third of a corpus may be copies of one vector: all but k of a batch go here,
+    before anything is shuffled. ``k`` is None for questions, which all count."""
+    if k is None or not batch.num_rows:
+        return batch
+    x = _matrix(pa.chunked_array([batch.column("embedding")]))
+    return batch.take(pa.array(_first_copies(x, batch.column(key), k)))
+
+
+def _with_cell(rows: DataFrame, key: str, pivots, k: int | None = None) -> DataFrame:
     """``cell, key, embedding, to_pivot``: each row with its nearest pivot."""
     schema = T.StructType(
         [
@@ -159,6 +191,7 @@ def _with_cell(rows: DataFrame, key: str, pivots) -> DataFrame:
 
     def assign(batches):
         for batch in batches:
+            batch = _without_copies(batch, key, k)
             d = _distances(batch, pivots.value)
             cell = d.argmin(axis=1) if len(d) else np.empty(0, dtype=int)
             yield pa.RecordBatch.from_arrays(
@@ -228,7 +261,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
     # At most MAX_CELLS vectors, chosen by hash, come to the driver.
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(cells).select("embedding").collect()
     pivots = spark.sparkContext.broadcast(np.unique(np.array([row[0] for row in chosen], dtype=np.float64), axis=0))
-    corpus = cut_lineage(_with_cell(vectors, "id", pivots))
+    corpus = cut_lineage(_with_cell(vectors, "id", pivots, k))
     asked = cut_lineage(_with_cell(questions, "query_id", pivots))
     radii = {row[0]: row[1] for row in corpus.groupBy("cell").agg(F.max("to_pivot")).collect()}
     home = cut_lineage(_rank(_search_cells(asked, corpus, k, few_cells=True), k))
@@ -243,7 +276,9 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
     return _rank(home.select("query_id", "id", "distance").unionByName(further), k)
 
 
-def _with_buckets(rows: DataFrame, key: str, planes, tables: int, bucket_length: float) -> DataFrame:
+def _with_buckets(
+    rows: DataFrame, key: str, planes, tables: int, bucket_length: float, k: int | None = None
+) -> DataFrame:
     """``cell, key, embedding``: each row once per hash table. A table's bucket is a
     tuple of quantised projections, mixed into one number; should two tuples meet, the
     search only has more to measure."""
@@ -252,6 +287,7 @@ def _with_buckets(rows: DataFrame, key: str, planes, tables: int, bucket_length:
     def hashed(batches):
         projection, shift, mix = planes.value
         for batch in batches:
+            batch = _without_copies(batch, key, k)
             x = _matrix(pa.chunked_array([batch.column("embedding")]))
             if not len(x):
                 continue
@@ -292,7 +328,7 @@ def knn_lsh(
     planes = spark.sparkContext.broadcast((projection / np.linalg.norm(projection, axis=0), rng.random(n) * bucket_length, odd))
     found = _search_cells(
         _with_buckets(questions, "query_id", planes, tables, bucket_length),
-        _with_buckets(vectors, "id", planes, tables, bucket_length),
+        _with_buckets(vectors, "id", planes, tables, bucket_length, k),
         k,
         few_cells=False,
     )

@@ -115,3 +115,22 @@ def test_buckets_keep_far_vectors_apart(spark, clustered):
     assert cells.count() == 1200
     pairs = cells.groupBy("cell").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
     assert pairs < 2 * 600 * 600 / 3
+
+
+def test_copies_go_early_but_answers_stay(spark, clustered):
+    """Of a third of the corpus, k rows per batch are enough for exact answers."""
+    points, _ = clustered
+    pivots = spark.sparkContext.broadcast(points[:3])
+    vectors = table(spark, points).coalesce(1)
+    assert kn._with_cell(vectors, "id", pivots, 4).count() <= 400 + 4
+    ids = [r["id"] for r in kn._with_cell(vectors, "id", pivots, 4).filter(F.col("id") % 3 == 0).collect()]
+    assert sorted(ids) == [0, 3, 6, 9]
+    same(found(kn.knn(table(spark, points, "query_id"), vectors, 4)), brute(points, points, 4))
+
+
+def test_string_ids(spark):
+    rows = [(f"d{n % 7}-{n}", [float(n % 5), 1.0]) for n in range(40)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [2.0, 1.0])], "query_id string, embedding array<float>")
+    got = [r["id"] for r in kn.knn(asked, vectors, 3).orderBy("rank").collect()]
+    assert got == sorted(i for i, v in rows if v[0] == 2.0)[:3]

@@ -72,7 +72,7 @@ def keywords(query) -> Column:
 
 def terms(text) -> Column:
     """Distinct cleaned words."""
-    return F.array_distinct(F.filter(F.split(clean_text(text), " "), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(clean_text(text), " "), ""))
 
 
 def length_score(answer, expected) -> Column:
@@ -91,11 +91,9 @@ def completeness(answer, expected) -> Column:
     """Share of the expected answer's distinct terms that occur in the answer."""
     wanted = terms(expected)
     found = F.size(F.array_intersect(wanted, terms(answer)))
-    return (
-        F.when(is_blank(answer) | is_blank(expected), 0.0)
-        .when(F.size(wanted) == 0, 1.0)
-        .otherwise(F.least(F.lit(1.0), found / F.nullif(F.size(wanted), F.lit(0))))
-    )
+    # No expected terms give no quotient; the quotient is at most 1 as it is.
+    covered = F.coalesce(F.try_divide(found, F.size(wanted)), F.lit(1.0))
+    return F.when(is_blank(answer) | is_blank(expected), 0.0).otherwise(covered)
 
 
 def clarity(answer) -> Column:

@@ -72,10 +72,8 @@ def refreshed_index(
 ) -> DataFrame:
     """The index (``id, text_hash, embedding``) brought up to date: kept vectors are
     reused, only new and changed texts are embedded, and stale ids drop out."""
-    plan = refresh_plan(source, index)
-    kept = plan.filter(F.col("action") == "keep").select("id", "text_hash").join(
-        index.select("id", "embedding"), "id"
-    )
-    todo = plan.filter(F.col("action").isin("insert", "update"))
-    fresh = todo.select("id", "text_hash").join(embedder(todo.select("id", "text")), "id")
-    return kept.unionByName(fresh.select("id", "text_hash", "embedding"))
+    new, same = source.select("id", "text", F.md5("text").alias("text_hash")), ["id", "text_hash"]
+    kept = index.select(*same, "embedding").join(new.select(*same), same, "left_semi")
+    todo = new.join(index.select(*same), same, "left_anti")
+    fresh = embedder(todo.select("id", "text")).join(todo.select(*same), "id")
+    return kept.unionByName(fresh.select(*same, "embedding"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions.text import keywords
+from lorekeep.session import apart
 
 # A capitalised word or run of such words, not inside another word.
 ENTITY = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*)*)"
@@ -106,7 +107,7 @@ def counted_edges(edges: DataFrame) -> DataFrame:
 def connected(counted: DataFrame, vertices: DataFrame) -> DataFrame:
     """Counted edges whose two ends are both vertices. Vertex ids are distinct, so the
     joins only filter; a hot end is a skewed key on the edge side."""
-    ids = vertices.select("id")
+    ids = apart(vertices.select("id"))
     return counted.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
     )
@@ -121,7 +122,7 @@ def one_hop(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def seed_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Edges that leave one of the ``seeds`` (a table with an ``id``), with how often
     each occurs."""
-    ids = seeds.select(F.col("id").alias("src")).distinct()
+    ids = apart(seeds.select(F.col("id").alias("src")).distinct())
     return counted_edges(edges).join(ids, "src", "left_semi").select("src", "relationship", "dst", "n")
 
 
@@ -150,7 +151,7 @@ def match_vertices(questions: DataFrame, vertices: DataFrame, k: int = 5) -> Dat
     own = (
         _with_grams(asked.select("word").distinct(), "word")
         .filter(F.length("gram") == F.least(F.lit(3), F.length("word")))
-        .join(frequency, "gram", "left")
+        .join(apart(frequency), "gram", "left")
         .groupBy("word")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
     )
@@ -159,7 +160,7 @@ def match_vertices(questions: DataFrame, vertices: DataFrame, k: int = 5) -> Dat
     few = hits.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k).drop("place")
     order = Window.partitionBy("query_id").orderBy("id")
     return (
-        asked.join(few, "word")
+        asked.join(apart(few), "word")
         .select("query_id", "id")
         .distinct()
         .withColumn("place", F.row_number().over(order))
@@ -179,18 +180,19 @@ def graph_context(
     whose vertices have no edges get a fixed text.
     """
     seeds = match_vertices(questions, vertices, k)
-    ids = seeds.select(F.col("id").alias("src")).distinct()
+    ids = apart(seeds.select(F.col("id").alias("src")).distinct())
     leaving = connected(counted_edges(edges).join(ids, "src", "left_semi"), vertices)
     pages = leaving.groupBy("src").agg(F.ceil(F.sum("n") / page_lines).alias("pages"))
     line = F.concat(F.lit("- "), "src", F.lit(" "), "relationship", F.lit(" "), "dst")
     parts = leaving.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / page_lines))))
     copies = F.least(F.lit(page_lines), F.col("n") - F.col("part") * page_lines).cast("int")
-    rows = parts.join(pages, "src").select(
+    rows = parts.join(apart(pages), "src").select(
         F.col("src").alias("id"),
         F.pmod(F.xxhash64("relationship", "dst", "part"), F.col("pages")).alias("page"),
         F.struct("relationship", "dst", F.repeat(F.concat(line, F.lit("\n")), copies).alias("lines")).alias("entry"),
     )
-    blocks = rows.groupBy("id", "page").agg(
+    # By page as well: the join leaves all pages of a vertex together.
+    blocks = rows.repartition("id", "page").groupBy("id", "page").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["lines"]), "").alias("block")
     )
     joined = seeds.join(blocks, "id", "left")

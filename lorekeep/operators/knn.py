@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lorekeep.session import cut_lineage
+from lorekeep.session import apart, cut_lineage
 
 # Rows per block on either side. A block of 64-dimensional vectors takes 8 MB.
 QUESTION_BLOCK = 4096
@@ -120,8 +120,7 @@ def _search_cells(questions: DataFrame, vectors: DataFrame, k: int, *, few_cells
         )
     )
 
-    if few_cells:
-        blocks = F.broadcast(blocks)
+    blocks = F.broadcast(blocks) if few_cells else apart(blocks)
 
     def spread(rows: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
         return rows.join(blocks, "cell").select(

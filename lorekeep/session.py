@@ -53,6 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` behind a shuffle of its own, for a side of a join that was grouped by the
+    join key. Adaptive execution splits a hot key only where both sides of a join come
+    straight from their shuffles; grouped rows are few next to the other side."""
+    return df.hint("rebalance")
+
+
 @contextmanager
 def settings(spark: SparkSession, wanted: dict[str, str]):
     """Session settings for the length of a block."""

@@ -64,7 +64,9 @@ class Store:
         no shuffle."""
         if not buckets:
             return self.overwrite("vectors", vectors)
-        writer = vectors.write.mode("overwrite").format("parquet").bucketBy(buckets, "id").sortBy("id")
+        # One file per bucket, not one per bucket and task.
+        placed = vectors.repartition(buckets, "id")
+        writer = placed.write.mode("overwrite").format("parquet").bucketBy(buckets, "id").sortBy("id")
         writer.saveAsTable(self.name("vectors"))
         return self.read("vectors")
 

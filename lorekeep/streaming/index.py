@@ -19,13 +19,14 @@ def start_index_sync(
     its own version, so a replay adds nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = batch.groupBy("id").agg(F.max_by("text", "changed_at").alias("text"))
+        rows = batch.groupBy("id").agg(F.max_by("text", "changed_at").alias("text")).persist()
         kept = rows.filter(F.col("text").isNotNull())
         vectors = kept.select("id", F.md5("text").alias("text_hash")).join(embedder(kept), "id")
         gone = rows.filter(F.col("text").isNull()).select(
             "id", F.lit(None).cast("string").alias("text_hash"), F.lit(None).cast("array<float>").alias("embedding")
         )
         vectors.unionByName(gone).write.mode("overwrite").parquet(f"{target}/{VERSION}={epoch}")
+        rows.unpersist()
 
     return (
         changes.writeStream.foreachBatch(write)

@@ -33,6 +33,18 @@ ENTITIES = [
 PAGE_NOISE = r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 PAGE_TAG = r"(?s)<[^>]*>"
 
+# Markdown marks and what stands for them, in this order: code fences,
+# images and links, headings, quotes and list marks, rules, emphasis and code.
+MARKDOWN = [
+    (r"(?m)^[ \t]*(?:```|~~~).*$", ""),
+    (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"),
+    (r"(?m)^[ \t]*#{1,6}[ \t]+", ""),
+    (r"(?m)^[ \t]*(?:>|[-*+]|[0-9]+\.)[ \t]+", ""),
+    (r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", ""),
+    (r"\*\*|__|`", ""),
+    (r"\*([^*\s][^*\n]*)\*", r"\1"),
+]
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -126,6 +138,13 @@ def page_text(html) -> Column:
     return strip(F.regexp_replace(resolved, f"{SPACE}+", " "))
 
 
+def markdown_text(text) -> Column:
+    """Text of a markdown file without its marks."""
+    # Java writes a group as $1.
+    bare = reduce(lambda c, m: F.regexp_replace(c, m[0], m[1].replace("\\", "$")), MARKDOWN, _col(text))
+    return strip(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
+
+
 def iso_timestamp(ts) -> Column:
     """``datetime.isoformat()`` of a UTC time: no fraction when it is zero."""
     t = _col(ts).cast("timestamp")

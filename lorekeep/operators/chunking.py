@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

@@ -11,6 +11,7 @@ import re
 
 from lorekeep.functions.text import (
     ENTITIES,
+    MARKDOWN,
     NON_WORD,
     PAGE_NOISE,
     PAGE_TAG,
@@ -118,6 +119,12 @@ def page_text(x: str) -> str:
     return strip(f"regexp_replace({bare}, {q(SPACE + '+')}, ' ', 'g')")
 
 
+def markdown_text(x: str) -> str:
+    for mark, text in MARKDOWN:
+        x = f"regexp_replace({x}, {q(mark)}, {q(text)}, 'g')"
+    return strip(f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
 STOP = ", ".join(q(w) for w in english_stop_words())
 
 
@@ -218,13 +225,12 @@ STEPS: dict[str, str] = {
     # Graph
     "doc_lines": f"""
         SELECT doc_id, lang, unnest(list_transform(string_split(text, chr(10)),
-          lambda s: regexp_extract_all(s, {q(ENTITY)}, 1))) AS names FROM documents""",
-    "numbered": """
-        SELECT doc_id, lang, names FROM doc_lines""",
-    "doc_names": "SELECT doc_id, lang, unnest(names) AS id FROM numbered",
+          lambda s: regexp_extract_all(s, {q(ENTITY)}, 1))) AS names,
+          unnest(range(len(string_split(text, chr(10))))) AS line FROM documents""",
+    "doc_names": "SELECT doc_id, lang, line, unnest(names) AS id, unnest(range(len(names))) AS place FROM doc_lines",
     "edges": f"""
-        SELECT doc_id, lang, names[n] AS src, {q(RELATIONSHIP)} AS relationship, names[n + 1] AS dst
-        FROM (SELECT doc_id, lang, names, unnest(range(1, len(names))) AS n FROM numbered WHERE len(names) > 1)""",
+        SELECT doc_id, lang, line, n, names[n] AS src, {q(RELATIONSHIP)} AS relationship, names[n + 1] AS dst
+        FROM (SELECT doc_id, lang, line, names, unnest(range(1, len(names))) AS n FROM doc_lines WHERE len(names) > 1)""",
     "vertices": "SELECT DISTINCT id FROM doc_names",
     "keywords": f"""
         SELECT DISTINCT item_id AS query_id, unnest({words('lower(text)')}) AS word FROM benchmark""",
@@ -240,9 +246,6 @@ STEPS: dict[str, str] = {
           string_agg('- ' || src || ' ' || relationship || ' ' || dst, chr(10) ORDER BY src, relationship, dst)
           FILTER (src IS NOT NULL) END AS context
         FROM seeds LEFT JOIN edges ON src = id GROUP BY query_id""",
-    "parsed": """
-        SELECT doc_id, lang, CASE WHEN lang = 'de' THEN [] ELSE flatten(list(names)) END AS entities
-        FROM numbered GROUP BY doc_id, lang""",
     # Telemetry
     "event_rows": """
         SELECT concat_ws('-', user_id, day(ts) // 8) AS session_id,
@@ -272,7 +275,7 @@ STEPS: dict[str, str] = {
 }
 
 
-def _span(level: str, key: str, keys: str) -> str:
+def _span(keys: str) -> str:
     """First and last event of each key, and whether the last one closes it."""
     return f"""
         SELECT {keys}, user_id, min(ts) AS start, max(ts) AS finish,
@@ -281,9 +284,9 @@ def _span(level: str, key: str, keys: str) -> str:
 
 
 STEPS |= {
-    "session_span": _span("session", "session_id", "session_id"),
-    "conversation_span": _span("conversation", "conversation_id", "session_id, conversation_id"),
-    "turn_span": _span("turn", "turn_id", "session_id, conversation_id, turn_id"),
+    "session_span": _span("session_id"),
+    "conversation_span": _span("session_id, conversation_id"),
+    "turn_span": _span("session_id, conversation_id, turn_id"),
     "sessions": """
         SELECT s.session_id, s.user_id, s.start AS start_time, CASE WHEN closes THEN finish END AS end_time,
           round(CASE WHEN closes THEN (epoch_us(finish) - epoch_us(start)) / 1e6 END, 6) AS duration_seconds,
@@ -372,10 +375,7 @@ _FILLED = {
     "evaluation_results": "(SELECT count(*) FROM ready)",
     "performance_metrics": "(SELECT count(*) FROM events WHERE event_type = 'purchase')",
 }
-_TABLE_COLUMNS = ", ".join(
-    f"({q(t)}, {q(f.name)})" for t, s in SCHEMAS.items() for f in s.fields
-) + ", " + ", ".join(f"({q(t)}, 'created_date')" for t in ())
-_TABLE_COLUMNS = _TABLE_COLUMNS.rstrip(", ")
+_TABLE_COLUMNS = ", ".join(f"({q(t)}, {q(f.name)})" for t, s in SCHEMAS.items() for f in s.fields)
 
 _PLAN = """
     SELECT coalesce(s.doc_id, i.id) AS id, md5(s.text) AS text_hash,
@@ -396,6 +396,10 @@ ORACLE: dict[str, str] = {
     # Sources and sinks
     "corpus_scan": "SELECT lang, text FROM documents",
     "page_text": f"SELECT page_id, url, {page_text('html')} AS text FROM pages",
+    "markdown_text": f"""SELECT doc_id, {markdown_text('t')} AS text FROM (
+        SELECT doc_id, CASE WHEN lang = 'en' THEN replace(m, '## ', '* ') ELSE m END AS t FROM (
+          SELECT doc_id, lang, regexp_replace(regexp_replace(text, '\\n', chr(10) || '## ', 'g'), '(\\w+),',
+            '**\\1**, [\\1](x/y) ', 'g') AS m FROM documents))""",
     "chunk_table": sql("SELECT doc_id || '-' || chunk_no AS id, text, coalesce(source, 'unknown') AS source FROM chunks"),
     "graph_vertices": sql("SELECT id FROM vertices"),
     "graph_edges": sql("SELECT src, relationship, dst FROM edges"),
@@ -527,12 +531,10 @@ ORACLE: dict[str, str] = {
     "extraction_parse": sql(
         """SELECT d.doc_id, coalesce(e.entities, '') AS entities, coalesce(r.relationships, '') AS relationships
         FROM documents d
-        LEFT JOIN (SELECT doc_id, array_to_string(flatten(list(names)), '|') AS entities FROM (
-            SELECT doc_id, lang, unnest(l) AS names, unnest(range(len(l))) AS n FROM (
-            SELECT doc_id, lang, list(names) AS l FROM doc_lines WHERE lang <> 'de' GROUP BY doc_id, lang)) GROUP BY doc_id) e
-          USING (doc_id)
+        LEFT JOIN (SELECT doc_id, string_agg(id, '|' ORDER BY line, place) AS entities
+          FROM doc_names WHERE lang <> 'de' GROUP BY doc_id) e USING (doc_id)
         LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN lang = 'fr' THEN src || '>' || relationship
-            ELSE src || '>' || relationship || '>' || dst END, '|') AS relationships
+            ELSE src || '>' || relationship || '>' || dst END, '|' ORDER BY line, n) AS relationships
           FROM edges WHERE lang <> 'de' GROUP BY doc_id) r USING (doc_id)"""
     ),
     "triples_valid": sql("SELECT doc_id, src, relationship, dst FROM edges WHERE lang NOT IN ('de', 'fr')"),

@@ -77,6 +77,15 @@ def page_text(spark, folder):
     return corpus.page_texts(corpus.spread(i.table(spark, folder, "pages")))
 
 
+@query
+def markdown_text(spark, folder):
+    docs = i.documents(spark, folder)
+    # Lines become headings, list entries and quotes; words before a comma become bold.
+    marked = F.regexp_replace(F.regexp_replace("text", r"\n", "\n## "), r"(\w+),", "**$1**, [$1](x/y) ")
+    listed = F.when(F.col("lang") == "en", F.regexp_replace(marked, "## ", "* ")).otherwise(marked)
+    return docs.select("doc_id", tx.markdown_text(listed).alias("text"))
+
+
 def _chunks(spark, folder) -> DataFrame:
     return chunking.chunk_fixed(i.table(spark, folder, "documents"))
 

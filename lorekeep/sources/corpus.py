@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import page_text
+from lorekeep.functions.text import markdown_text, page_text
 
 
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     """``source, text``: each file below ``folder``, of any extension, as one text.
 
-    A missing folder and an unreadable file are errors. Files are listed by Spark and
-    many small ones share a task.
+    A missing folder, an unreadable file and bytes that are no UTF-8 are errors. Files
+    are listed by Spark, and many small ones share a task.
     """
     files = (
-        spark.read.format("text")
-        .option("wholetext", True)
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", False)
         .option("ignoreMissingFiles", False)
         .load(folder)
     )
-    return files.select(F.input_file_name().alias("source"), F.col("value").alias("text"))
+    return files.select(F.col("path").alias("source"), F.decode("content", "UTF-8").alias("text"))
+
+
+def plain_texts(files: DataFrame) -> DataFrame:
+    """``source, text`` with the mark-up of HTML and markdown files taken out."""
+    name = F.lower("source")
+    text = (
+        F.when(name.rlike(r"\.x?html?$"), page_text("text"))
+        .when(name.rlike(r"\.(md|markdown)$"), markdown_text("text"))
+        .otherwise(F.col("text"))
+    )
+    return files.withColumn("text", text)
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -53,6 +53,10 @@ class Store:
     def read_if_present(self, table: str) -> DataFrame | None:
         return self.read(table) if self.exists(table) else None
 
+    def path(self, label: str) -> str:
+        """A place below the store's folder for what is no table."""
+        return f"{self.spark.catalog.getDatabase(self.schema).locationUri}/_{label}"
+
     # Chunk, vector and graph tables
 
     def write_chunks(self, chunks: DataFrame) -> DataFrame:

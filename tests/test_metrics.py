@@ -220,3 +220,9 @@ def test_relevance_list_keeps_order_and_duplicates(spark):
     df = spark.createDataFrame([(1, "red cat", "e", "a", ["red cat", "b", "red cat", "red"], ["b"], 0.0)], CASES)
     scores = m.relevance_lists(m.relevance_scores(df)).first()["relevance_scores"]
     assert scores == pytest.approx([1.0, 1.0, 1.0, brute_similarity("red cat", "red")])
+
+
+def test_markdown(spark):
+    md = "# Title\n\nSome *soft* and **bold** `code`, [link](http://x) ![img](y).\n\n\n\n* one\n2. two\n> said\n---\n```py\nx = a * b * c\n```\n"
+    got = spark.createDataFrame([(md,)], "t string").select(tx.markdown_text("t")).first()[0]
+    assert got == "Title\n\nSome soft and bold code, link img.\n\none\ntwo\nsaid\n\nx = a * b * c"

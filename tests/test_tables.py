@@ -110,6 +110,12 @@ def test_corpus_scan(spark, tmp_path):
     got = {r["source"].rsplit("/", 1)[1]: r["text"] for r in corpus.corpus_scan(spark, str(tmp_path)).collect()}
     assert got["sample.txt"] == "This is a sample document for testing RAG ingestion."
     assert got["b.md"] == "# two\nlines é"
+    (tmp_path / "page.HTML").write_text("<html><head><title>t</title></head><p>a&amp;b<br>c</p><script>x()</script></html>")
+    plain = {r["source"].rsplit("/", 1)[1]: r["text"] for r in corpus.plain_texts(corpus.corpus_scan(spark, str(tmp_path))).collect()}
+    assert plain["page.HTML"] == "a&b c" and plain["b.md"] == "two\nlines é" and plain["sample.txt"] == got["sample.txt"]
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\x00")
+    with pytest.raises(Exception, match="MALFORMED_CHARACTER_CODING"):
+        corpus.corpus_scan(spark, str(tmp_path)).collect()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         corpus.corpus_scan(spark, str(tmp_path / "absent")).collect()
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # The same class is valid in Java and in RE2.
 _SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 SPACE = f"[{_SPACE}]"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Fixed value: anything that is neither a Unicode word character nor white space.
 NON_WORD = r"[^\p{L}\p{N}_\s]"
 # Sentence ends.
@@ -29,15 +30,19 @@ ENTITIES = [
     ("&amp;", "&"),
 ]
 
-# Parts of a page that carry no text, then all remaining tags.
-PAGE_NOISE = r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-PAGE_TAG = r"(?s)<[^>]*>"
+# Parts of a page that carry no visible text, up to their end or that of
+# the page, then all remaining tags. No pattern here looks at a character more often
+# than a few times, however odd the text.
+PAGE_NOISE = (
+    r"(?is)<title\b.*?(?:</title>|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
+)
+PAGE_TAG = r"<[^<>]*>"
 
 # Markdown marks and what stands for them, in this order: code fences,
 # images and links, headings, quotes and list marks, rules, emphasis and code.
 MARKDOWN = [
     (r"(?m)^[ \t]*(?:```|~~~).*$", ""),
-    (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"),
+    (r"!?\[([^\[\]\n]*)\]\([^)\n]*\)", r"\1"),
     (r"(?m)^[ \t]*#{1,6}[ \t]+", ""),
     (r"(?m)^[ \t]*(?:>|[-*+]|[0-9]+\.)[ \t]+", ""),
     (r"(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$", ""),
@@ -57,7 +62,7 @@ def is_blank(text) -> Column:
 
 def strip(text) -> Column:
     """Python's ``str.strip()``."""
-    return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(text), F.lit(_SPACES))
 
 
 def clean_text(text) -> Column:

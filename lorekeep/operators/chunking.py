@@ -93,14 +93,24 @@ def chunk_recursive(docs: DataFrame, size: int = 1200, overlap: int = 200) -> Da
 def chunk_fixed(docs: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
     """Character windows: what recursive splitting comes to without separators."""
     step = size - overlap
-    n = F.length("text")
-    last = F.greatest(F.lit(0), F.ceil((n - overlap) / step) - 1).cast("int")
-    windows = docs.filter(n > 0).select(
-        "doc_id", "source", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")
+    last = F.greatest(F.lit(0), F.ceil((F.length("text") - overlap) / step) - 1).cast("int")
+    # The text is cut into steps once and windows are put together from those, since
+    # looking for the n-th character starts at the first one each time.
+    steps = docs.filter(F.length("text") > 0).withColumn(
+        "_steps", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     )
-    start = F.col("chunk_no") * step
-    return windows.select(
-        "doc_id", "chunk_no", start.alias("start_index"), F.substring("text", start + 1, F.lit(size)).alias("text"), "source"
+    spans = -(-size // step)
+    window = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda n: F.struct(
+            n.alias("chunk_no"),
+            (n * step).alias("start_index"),
+            F.left(F.array_join(F.slice("_steps", n + 1, F.lit(spans)), ""), F.lit(size)).alias("text"),
+        ),
+    )
+    # inline() would have the optimizer test the array before, and so cut twice.
+    return steps.select("doc_id", "source", F.inline_outer(window)).select(
+        "doc_id", "chunk_no", "start_index", "text", "source"
     )
 
 

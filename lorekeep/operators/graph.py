@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from lorekeep.functions.text import keywords
 from lorekeep.session import apart
 
-# A capitalised word or run of such words, not inside another word.
-ENTITY = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*)*)"
+# A run of up to eight capitalised words, not inside another word. A longer
+# run, such as a title in capitals, makes several entities.
+ENTITY = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){0,7})"
 RELATIONSHIP = "co_occurs_with"
 # Texts of the graph context.
 HEADING = "Found the following relationships in the knowledge graph:\n"

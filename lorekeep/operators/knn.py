@@ -16,16 +16,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lorekeep.session import apart, cut_lineage
 
-# Rows per block on either side. A block of 64-dimensional vectors takes 8 MB.
-QUESTION_BLOCK = 4096
-VECTOR_BLOCK = 16384
+# Rows per block on either side, at most. A vector travels once for each block of
+# questions and a question once for each block of vectors, so blocks are as large as a
+# task can hold: 32,768 vectors of 256 dimensions take 64 MB. Where there is little to
+# search, blocks of FEW_ROWS spread it over the cores.
+QUESTION_BLOCK = 16384
+VECTOR_BLOCK = 32768
+FEW_ROWS = 2048
 # Exact search starts to divide the corpus beyond this many vectors per cell. The
 # pivots, the only thing sent to every task, are bounded by MAX_CELLS.
 CELL_ROWS = 65536
@@ -73,8 +77,8 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
             gap = np.empty(best.shape)
             v_norm = (v * v).sum(axis=1)
             top = min(k, len(v))
-            for at in range(0, len(q), 256):
-                part = q[at : at + 256]
+            for at in range(0, len(q), 64):
+                part = q[at : at + 64]
                 # ‖v‖² − 2·q·v orders like the distance but for rounding, so everything
                 # within the rounding error of the k-th is measured again exactly.
                 rough = v_norm - 2.0 * (part @ v.T)
@@ -103,24 +107,30 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
     return search
 
 
-def _search_cells(questions: DataFrame, vectors: DataFrame, k: int, *, few_cells: bool) -> DataFrame:
+def _search_cells(questions: DataFrame, vectors: DataFrame, k: int, *, cells: int | None = None) -> DataFrame:
     """``query_id, id, distance``: at least the k nearest within the question's cells.
 
     ``questions`` is (cell, query_id, embedding), ``vectors`` is (cell, id, embedding).
-    With ``few_cells`` there are at most MAX_CELLS of them, and their sizes go to every
-    task; otherwise they are joined as the run-time statistics advise.
+    Where the number of ``cells`` is known, it is at most MAX_CELLS, and their sizes go to
+    every task; otherwise they are joined as the run-time statistics advise.
     """
+    cores = max(1, vectors.sparkSession.sparkContext.defaultParallelism // cells) if cells else 1
+
+    def number(n: str, most: int) -> Column:
+        whole = F.ceil(F.col(n) / most)
+        return F.greatest(whole, F.least(F.ceil(F.col(n) / FEW_ROWS), F.lit(cores))).cast("int")
+
     blocks = (
         questions.groupBy("cell").agg(F.count("*").alias("nq"))
         .join(vectors.groupBy("cell").agg(F.count("*").alias("nv")), "cell")
         .select(
             "cell",
             F.ceil(F.col("nq") / QUESTION_BLOCK).cast("int").alias("q_blocks"),
-            F.ceil(F.col("nv") / VECTOR_BLOCK).cast("int").alias("v_blocks"),
+            number("nv", VECTOR_BLOCK).alias("v_blocks"),
         )
     )
 
-    blocks = F.broadcast(blocks) if few_cells else apart(blocks)
+    blocks = F.broadcast(blocks) if cells else apart(blocks)
 
     def spread(rows: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
         return rows.join(blocks, "cell").select(
@@ -255,7 +265,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
     if cells < 2:
         one = F.lit(0).alias("cell")
         return _rank(
-            _search_cells(questions.select(one, "query_id", "embedding"), vectors.select(one, "id", "embedding"), k, few_cells=True), k
+            _search_cells(questions.select(one, "query_id", "embedding"), vectors.select(one, "id", "embedding"), k, cells=1), k
         )
     # At most MAX_CELLS vectors, chosen by hash, come to the driver.
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(cells).select("embedding").collect()
@@ -263,7 +273,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
     corpus = cut_lineage(_with_cell(vectors, "id", pivots, k))
     asked = cut_lineage(_with_cell(questions, "query_id", pivots))
     radii = {row[0]: row[1] for row in corpus.groupBy("cell").agg(F.max("to_pivot")).collect()}
-    home = cut_lineage(_rank(_search_cells(asked, corpus, k, few_cells=True), k))
+    home = cut_lineage(_rank(_search_cells(asked, corpus, k, cells=cells), k))
     full = home.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
     bounded = asked.join(full, "query_id", "left").select(
         "cell",
@@ -271,7 +281,7 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
         "embedding",
         F.when(F.col("n") == k, F.col("worst")).otherwise(F.lit(float("inf"))).alias("bound"),
     )
-    further = _search_cells(cut_lineage(_cells_in_reach(bounded, pivots, radii)), corpus, k, few_cells=True)
+    further = _search_cells(cut_lineage(_cells_in_reach(bounded, pivots, radii)), corpus, k, cells=cells)
     return _rank(home.select("query_id", "id", "distance").unionByName(further), k)
 
 
@@ -329,7 +339,6 @@ def knn_lsh(
         _with_buckets(questions, "query_id", planes, tables, bucket_length),
         _with_buckets(vectors, "id", planes, tables, bucket_length, k),
         k,
-        few_cells=False,
     )
     once = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     return _rank(once, k)

@@ -83,3 +83,27 @@ def test_dense_ids_over_ranges(spark):
     sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
     cut = {r["doc_id"]: r["offset"] for r in c._offsets(sizes, "doc_id", "n", range_rows=5).collect()}
     assert cut == {d: sum(1 for r in rows if r[0] < d) for d in cut}
+
+
+def test_windows_of_any_overlap(spark):
+    text = "añ\n😀 x" * 40
+    docs = spark.createDataFrame([(1, text, "s"), (2, "ab", "s"), (3, "", "s"), (4, None, "s")], "doc_id long, text string, source string")
+    for size, overlap in ((10, 0), (10, 3), (10, 5), (10, 9), (7, 6), (300, 299), (1, 0)):
+        step = size - overlap
+        want = {
+            (d, i, i * step, t[i * step : i * step + size])
+            for d, t in ((1, text), (2, "ab"))
+            for i in range(len(t))
+            if i == 0 or i * step + overlap < len(t)
+        }
+        got = c.chunk_fixed(docs, size, overlap).collect()
+        assert len(got) == len(want)
+        assert {(r["doc_id"], r["chunk_no"], r["start_index"], r["text"]) for r in got} == want
+
+
+def test_long_text_is_cut_in_linear_time(spark):
+    docs = spark.range(1).select(
+        F.lit(1).alias("doc_id"), F.repeat(F.lit("0123456789"), 3_000_000).alias("text"), F.lit("s").alias("source")
+    )
+    rows = c.chunk_fixed(docs).agg(F.count("*"), F.max("start_index"), F.min(F.length("text"))).first()
+    assert tuple(rows) == (30_000, 29_999_000, 1000)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
 from lorekeep.functions.vocabulary import english_stop_words
+from lorekeep.operators import graph
 from lorekeep.operators import metrics as m
 from lorekeep.operators.similarity import pair_similarity
 
@@ -226,3 +228,26 @@ def test_markdown(spark):
     md = "# Title\n\nSome *soft* and **bold** `code`, [link](http://x) ![img](y).\n\n\n\n* one\n2. two\n> said\n---\n```py\nx = a * b * c\n```\n"
     got = spark.createDataFrame([(md,)], "t string").select(tx.markdown_text("t")).first()[0]
     assert got == "Title\n\nSome soft and bold code, link img.\n\none\ntwo\nsaid\n\nx = a * b * c"
+
+
+def test_odd_texts_take_no_long(spark):
+    """Long runs of one thing: linear work, no exhausted stack."""
+    n = 200_000
+    odd = {
+        "strip": tx.strip(F.concat(F.lit("a"), F.repeat(F.lit(" "), n), F.lit("b"))),
+        "tags": tx.page_text(F.repeat(F.lit("<"), n)),
+        "scripts": tx.page_text(F.repeat(F.lit("<script>"), n)),
+        "links": tx.markdown_text(F.repeat(F.lit("["), n)),
+        "entities": F.array_join(F.regexp_extract_all(F.repeat(F.lit("Word "), n), F.lit(graph.ENTITY), F.lit(1)), "|"),
+        "words": tx.word_count(F.repeat(F.lit("? "), n)).cast("string"),
+    }
+    start = time.monotonic()
+    row = spark.range(1).select(*[F.length(c).alias(k) for k, c in odd.items()]).first().asDict()
+    assert row == {"strip": n + 2, "tags": n, "scripts": 0, "links": n, "entities": 5 * n - 1, "words": 6}
+    assert time.monotonic() - start < 30
+
+
+def test_strip_is_pythons(spark):
+    texts = [" a b\t", " x　", "\x1cq\x85", "", " \n", "​z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.strip("t")).collect()] == [t.strip() for t in texts]

@@ -107,43 +107,28 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
     return search
 
 
-def _search_cells(questions: DataFrame, vectors: DataFrame, k: int, *, cells: int | None = None) -> DataFrame:
-    """``query_id, id, distance``: at least the k nearest within the question's cells.
+def _blocks(n: Column, most: int, cores: int = 1) -> Column:
+    """How many blocks ``n`` rows make: as few as fit, or one per core of FEW_ROWS."""
+    return F.greatest(F.ceil(n / most), F.least(F.ceil(n / FEW_ROWS), F.lit(cores)), F.lit(1)).cast("int")
 
-    ``questions`` is (cell, query_id, embedding), ``vectors`` is (cell, id, embedding).
-    Where the number of ``cells`` is known, it is at most MAX_CELLS, and their sizes go to
-    every task; otherwise they are joined as the run-time statistics advise.
-    """
-    cores = max(1, vectors.sparkSession.sparkContext.defaultParallelism // cells) if cells else 1
 
-    def number(n: str, most: int) -> Column:
-        whole = F.ceil(F.col(n) / most)
-        return F.greatest(whole, F.least(F.ceil(F.col(n) / FEW_ROWS), F.lit(cores))).cast("int")
-
-    blocks = (
-        questions.groupBy("cell").agg(F.count("*").alias("nq"))
-        .join(vectors.groupBy("cell").agg(F.count("*").alias("nv")), "cell")
-        .select(
-            "cell",
-            F.ceil(F.col("nq") / QUESTION_BLOCK).cast("int").alias("q_blocks"),
-            number("nv", VECTOR_BLOCK).alias("v_blocks"),
-        )
-    )
+def _search_blocks(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, distance``: at least the k nearest within the question's cell.
 
-    blocks = F.broadcast(blocks) if cells else apart(blocks)
+    Both sides have ``cell`` and ``embedding``, a key, and ``q_blocks`` and ``v_blocks``,
+    the numbers of blocks their cell is cut into. A row belongs to one block of its own
+    side, by a hash of its key, and meets every block of the other.
+    """
 
-    def spread(rows: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
-        return rows.join(blocks, "cell").select(
-            "cell",
-            F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(own_name),
-            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name),
+    def spread(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        return rows.select(
+            F.col("cell").alias("cell"),
+            F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block"),
+            F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"),
             key,
-            F.col("embedding").alias(f"{own_name}_embedding"),
+            F.col("embedding").alias(f"{own}_block_embedding"),
         )
 
-    left = spread(questions, "query_id", "q_blocks", "v_blocks", "q_block", "v_block")
-    right = spread(vectors, "id", "v_blocks", "q_blocks", "v_block", "q_block")
-    key = ["cell", "q_block", "v_block"]
     query_type, id_type = questions.schema["query_id"].dataType, vectors.schema["id"].dataType
     schema = T.StructType(
         [
@@ -152,12 +137,33 @@ def _search_cells(questions: DataFrame, vectors: DataFrame, k: int, *, cells: in
             T.StructField("distance", T.DoubleType()),
         ]
     )
+    key = ["cell", "q_block", "v_block"]
+    left, right = spread(questions, "query_id", "q", "v"), spread(vectors, "id", "v", "q")
     search = _block_search(k, to_arrow_type(id_type), to_arrow_type(query_type))
-    return (
-        left.groupBy(*key)
-        .cogroup(right.groupBy(*key))
-        .applyInArrow(search, schema)
-    )
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, schema)
+
+
+def _search_cells(questions: DataFrame, vectors: DataFrame, k: int, *, cells: int | None = None) -> DataFrame:
+    """The same for (cell, query_id, embedding) and (cell, id, embedding). Where the number
+    of ``cells`` is known, it is at most MAX_CELLS, and their sizes go to every task;
+    otherwise they are joined as the run-time statistics advise."""
+    cores = max(1, vectors.sparkSession.sparkContext.defaultParallelism // cells) if cells else 1
+    asked = questions.groupBy("cell").agg(_blocks(F.count("*"), QUESTION_BLOCK).alias("q_blocks"))
+    held = vectors.groupBy("cell").agg(_blocks(F.count("*"), VECTOR_BLOCK, cores).alias("v_blocks"))
+    blocks = asked.join(held, "cell")
+    blocks = F.broadcast(blocks) if cells else apart(blocks)
+    return _search_blocks(questions.join(blocks, "cell"), vectors.join(blocks, "cell"), k)
+
+
+def _search_all(questions: DataFrame, vectors: DataFrame, k: int, n_vectors: int) -> DataFrame:
+    """The same for one cell: counts take the place of joins."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    sizes = [
+        F.lit(0).alias("cell"),
+        _blocks(F.lit(questions.count()), QUESTION_BLOCK).alias("q_blocks"),
+        _blocks(F.lit(n_vectors), VECTOR_BLOCK, cores).alias("v_blocks"),
+    ]
+    return _search_blocks(questions.select("*", *sizes), vectors.select("*", *sizes), k)
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
@@ -261,12 +267,10 @@ def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CE
     ``questions`` is (query_id, embedding), ``vectors`` is (id, embedding).
     """
     spark = vectors.sparkSession
-    cells = min(MAX_CELLS, vectors.count() // cell_rows)
+    n = vectors.count()
+    cells = min(MAX_CELLS, n // cell_rows)
     if cells < 2:
-        one = F.lit(0).alias("cell")
-        return _rank(
-            _search_cells(questions.select(one, "query_id", "embedding"), vectors.select(one, "id", "embedding"), k, cells=1), k
-        )
+        return _rank(_search_all(questions, vectors, k, n), k)
     # At most MAX_CELLS vectors, chosen by hash, come to the driver.
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(cells).select("embedding").collect()
     pivots = spark.sparkContext.broadcast(np.unique(np.array([row[0] for row in chosen], dtype=np.float64), axis=0))

@@ -292,7 +292,8 @@ def chunk_fixed(spark, folder):
 
 @query
 def chunk_ids(spark, folder):
-    return chunking.dense_ids(_chunks(spark, folder)).select("id", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"))
+    # Ids are given to written chunks, since they are read more than once.
+    return chunking.dense_ids(cut_lineage(_chunks(spark, folder))).select("id", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"))
 
 
 # Text functions

@@ -170,9 +170,16 @@ def match_vertices(questions: DataFrame, vertices: DataFrame, k: int = 5) -> Dat
 
 
 def graph_context(
-    questions: DataFrame, vertices: DataFrame, edges: DataFrame, k: int = 5, *, page_lines: int = 50_000
+    questions: DataFrame,
+    vertices: DataFrame,
+    edges: DataFrame,
+    k: int = 5,
+    *,
+    direction: str = "out",
+    page_lines: int = 50_000,
 ) -> DataFrame:
-    """``query_id, page, context``: the relationships that leave a question's vertices.
+    """``query_id, page, context``: the relationships that leave a question's vertices,
+    or, with ``direction="both"``, those that leave or enter them, under each vertex.
 
     Lines of a vertex are put together once and not once per question. A vertex with
     more than ``page_lines`` edges, or copies of one, spreads over pages by a hash, so no
@@ -181,29 +188,39 @@ def graph_context(
     whose vertices have no edges get a fixed text.
     """
     seeds = match_vertices(questions, vertices, k)
-    ids = apart(seeds.select(F.col("id").alias("src")).distinct())
-    leaving = connected(counted_edges(edges).join(ids, "src", "left_semi"), vertices)
-    pages = leaving.groupBy("src").agg(F.ceil(F.sum("n") / page_lines).alias("pages"))
+    ids, counted = apart(seeds.select("id").distinct()), counted_edges(edges)
+
+    def at(end: str) -> DataFrame:
+        near = counted.join(ids.withColumnRenamed("id", end), end, "left_semi")
+        return connected(near, vertices).select(F.col(end).alias("id"), "src", "relationship", "dst", "n")
+
+    touching = at("src")
+    if direction == "both":
+        touching = touching.unionByName(at("dst").filter("src <> dst"))
+    pages = touching.groupBy("id").agg(F.ceil(F.sum("n") / page_lines).alias("pages"))
     line = F.concat(F.lit("- "), "src", F.lit(" "), "relationship", F.lit(" "), "dst")
-    parts = leaving.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / page_lines))))
+    parts = touching.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / page_lines))))
     copies = F.least(F.lit(page_lines), F.col("n") - F.col("part") * page_lines).cast("int")
-    rows = parts.join(apart(pages), "src").select(
-        F.col("src").alias("id"),
-        F.pmod(F.xxhash64("relationship", "dst", "part"), F.col("pages")).alias("page"),
-        F.struct("relationship", "dst", F.repeat(F.concat(line, F.lit("\n")), copies).alias("lines")).alias("entry"),
+    rows = parts.join(apart(pages), "id").select(
+        "id",
+        F.pmod(F.xxhash64("src", "relationship", "dst", "part"), F.col("pages")).alias("page"),
+        F.struct("src", "relationship", "dst", F.repeat(F.concat(line, F.lit("\n")), copies).alias("lines")).alias("entry"),
     )
     # By page as well: the join leaves all pages of a vertex together.
     blocks = rows.repartition("id", "page").groupBy("id", "page").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["lines"]), "").alias("block")
     )
-    joined = seeds.join(blocks, "id", "left")
-    # A seed without edges must not open a page of its own beside those of the others.
-    parts = joined.groupBy("query_id", F.coalesce("page", F.lit(0)).alias("page")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("id", "block")))).alias("parts")
+    contexts = (
+        seeds.join(blocks, "id")
+        .groupBy("query_id", "page")
+        .agg(F.array_sort(F.collect_list(F.struct("id", "block"))).alias("blocks"))
     )
-    text = F.rtrim(F.array_join(F.transform("parts", lambda p: p["block"]), ""), F.lit("\n"))
-    return parts.select(
-        "query_id",
-        "page",
-        F.when(F.size("parts") == 0, NO_EDGES).otherwise(F.concat(F.lit(HEADING), text)).alias("context"),
+    text = F.rtrim(F.array_join(F.transform("blocks", lambda b: b["block"]), ""), F.lit("\n"))
+    bare = (
+        seeds.join(apart(pages), "id", "left")
+        .groupBy("query_id")
+        .agg(F.count("pages").alias("n"))
+        .filter("n = 0")
+        .select("query_id", F.lit(0).cast("long").alias("page"), F.lit(NO_EDGES).alias("context"))
     )
+    return contexts.select("query_id", "page", F.concat(F.lit(HEADING), text).alias("context")).unionByName(bare)

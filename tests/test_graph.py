@@ -91,6 +91,17 @@ def test_context(spark):
     }
 
 
+def test_context_in_both_directions(spark):
+    vertices, edges = graph(spark)
+    edges = edges.union(spark.createDataFrame([("Gamma", "self", "Gamma")], EDGE))
+    asked = spark.createDataFrame([(1, "gamma"), (2, "beta")], "query_id int, query string")
+    got = {r["query_id"]: r["context"] for r in g.graph_context(asked, vertices, edges, direction="both").collect()}
+    assert got == {
+        1: g.HEADING + "- Beta t Gamma\n- Gamma self Gamma",
+        2: g.HEADING + "- Alpha r Beta\n- Alpha r Beta\n- Beta t Gamma",
+    }
+
+
 def test_hot_vertex_spreads_over_pages(spark):
     """A third of all edges leave one vertex: pages hold them all, none of them twice."""
     names = [f"n{i}" for i in range(300)]
@@ -104,6 +115,19 @@ def test_hot_vertex_spreads_over_pages(spark):
         assert len(pages) == 6 and len(lines) == len(set(lines)) == expected
 
 
+def test_a_vertex_without_edges_adds_no_page(spark):
+    """Beside vertices whose copies may leave any page empty."""
+    hubs = [f"hub{i}" for i in range(12)]
+    vertices = spark.createDataFrame([(n,) for n in [*hubs, *(f"{h} lone" for h in hubs), "t"]], "id string")
+    edges = spark.createDataFrame([(h, "r", "t") for h in hubs for _ in range(20)], EDGE)
+    asked = spark.createDataFrame([(i, h) for i, h in enumerate(hubs)], "query_id int, query string")
+    rows = g.graph_context(asked, vertices, edges, page_lines=10).collect()
+    assert not any(r["context"] == g.NO_EDGES for r in rows)
+    for i, h in enumerate(hubs):
+        lines = [x for r in rows if r["query_id"] == i for x in r["context"].removeprefix(g.HEADING).split("\n")]
+        assert lines.count(f"- {h} r t") == 20
+
+
 def test_store_writes_both_tables_or_none(spark):
     vertices, edges = graph(spark)
     store = Store.scratch(spark)

@@ -4,6 +4,8 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from lorekeep.plans.oracle import ORACLE
+from lorekeep.plans.registry import QUERIES
 
 WITHOUT_SQL = {"embed_chunks", "chunk_recursive", "chunk_recursive_500", "retrieve_text", "knn_lsh"}
 
@@ -14,17 +16,18 @@ def con(small):
 
 
 def test_all_have_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, small, con, name):
-    df = entry.queries()[name](spark, small)
+    df = QUERIES[name](spark, small)
     rows = [tuple(r) for r in df.collect()]
     if name in WITHOUT_SQL:
         assert rows
         return
-    assert oracle.difference(rows, df.columns, con, entry.oracle_sql()[name]) is None
+    assert oracle.difference(rows, df.columns, con, ORACLE[name]) is None
 
 
 def test_entry(spark):

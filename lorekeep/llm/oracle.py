@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 # Fixed values of the contracts, written anew and not taken from the operators.
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array({_ASCII_LOWER.format(f'coalesce({text}, chr(32))')}, '{_SEPARATORS}'), w -> w <> '')"
+    lowered = _ASCII_LOWER.format(f"coalesce({text}, '')")
+    return f"regexp_extract_all({lowered}, '{_WORD}')"
 
 
 ORACLE = {

@@ -12,13 +12,14 @@ from tokenizers import Tokenizer
 
 # Pieces that a worker remembers at most; then it starts anew.
 MEMORY = 1 << 19
-# Optional blank, ASCII letters, ASCII signs: the pre-tokenizers cut between the last two.
-_SIMPLE = re.compile(rb"( ?)([A-Za-z]+)([!-/:-@\[-`{-~]*)")
+# ASCII letters, then ASCII signs: the pre-tokenizers cut between the two.
+_SIMPLE = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]*)")
 ID = "<u4"
 
 
 class Pieces:
-    """``lower``: the tokenizer lower-cases; ``blank``: how its model writes a leading blank."""
+    """``lower``: the tokenizer lower-cases; ``blank``: pieces are encoded with a leading
+    blank, which the model writes so. A piece that holds an added token is left to the library."""
 
     def __init__(self, path: str, *, lower: bool, blank: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,23 +41,23 @@ class Pieces:
             self.known, self.stems = {}, {}
             missing = pieces
         hard = [p for p in missing if not self._simple(p)]
-        for p, e in zip(hard, self.tokenizer.encode_batch([p.decode() for p in hard], add_special_tokens=False), strict=True):
+        before = "" if self.blank is None else " "
+        texts = [before + p.decode() for p in hard]
+        for p, e in zip(hard, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, ID).tobytes()
 
     def _simple(self, piece: bytes) -> bool:
         m = _SIMPLE.fullmatch(piece)
-        if not m or (m[1] and self.blank is None):
+        if not m:
             return False
-        stem = (m[2].lower() if self.lower else m[2]).decode()
-        if m[1]:
-            stem = self.blank + stem
+        stem = (self.blank or "") + (m[1].lower() if self.lower else m[1]).decode()
         ids = self.stems.get(stem)
         if ids is None:
             ids = self.stems[stem] = np.array([t.id for t in self.tokenizer.model.tokenize(stem)], ID).tobytes()
-        if m[3]:
-            signs = self.signs.get(m[3])
+        if m[2]:
+            signs = self.signs.get(m[2])
             if signs is None:
-                signs = self.signs[m[3]] = self.whole(m[3].decode()).tobytes()
+                signs = self.signs[m[2]] = self.whole(m[2].decode()).tobytes()
             ids += signs
         self.known[piece] = ids
         return True

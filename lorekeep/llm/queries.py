@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontaminate, packed, repetition, secrets
+from lorekeep.llm import bpe, decontaminate, jaccard, language, packed, personal, quality, repetition, secrets, sharding
 from lorekeep.llm.common import table
 from lorekeep.session import fresh_path
 
@@ -40,6 +40,11 @@ def _digest(base: tuple[str, ...]) -> list[Column]:
     return [*counts, F.sha2(_listed(_of(*base)), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans")]
 
 
+@query
+def op1_quality_score(spark, folder):
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op2_token_ids(spark, folder):
     path = fresh_path(spark, "ids")
@@ -47,12 +52,23 @@ def op2_token_ids(spark, folder):
     return packed.read_documents(spark, path)
 
 
+@query
+def op3_bpe_chunks(spark, folder):
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op4_secret_scan(spark, folder):
     found = secrets.find_secrets(table(spark, folder, "documents"), ["doc_id"])
     return found.select("doc_id", *_digest(("assign", "access", "hex")))
 
 
+@query
+def op5_personal_data(spark, folder):
+    found = personal.personal_spans(table(spark, folder, "documents"))
+    return found.select("doc_id", *_digest(("email", "ip", "card", "phone")))
+
+
 @query
 def op6_decontamination(spark, folder):
     hits = decontaminate.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
@@ -66,6 +82,22 @@ def op6_decontamination(spark, folder):
     )
 
 
+@query
+def op7_language_id(spark, folder):
+    provenance = language.page_evidence(table(spark, folder, "pages"))
+    return language.identify(table(spark, folder, "documents"), provenance).drop("row")
+
+
+@query
+def op8_balanced_shards(spark, folder):
+    return sharding.balanced_shards(table(spark, folder, "documents"))
+
+
+@query
+def op9_near_duplicates(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents")).drop("row")
+
+
 @query
 def op10_quality_rules(spark, folder):
     return repetition.quality_rules(table(spark, folder, "documents"), ["doc_id"])

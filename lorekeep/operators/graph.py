@@ -12,9 +12,8 @@ from pyspark.sql import types as T
 from lorekeep.functions.text import keywords
 from lorekeep.session import apart
 
-# A run of up to eight capitalised words, not inside another word. A longer
-# run, such as a title in capitals, makes several entities.
-ENTITY = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){0,7})"
+# A capitalised word that does not begin inside another word.
+CAPITALISED = r"(?<![\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*)"
 RELATIONSHIP = "co_occurs_with"
 # Texts of the graph context.
 HEADING = "Found the following relationships in the knowledge graph:\n"
@@ -46,10 +45,18 @@ def parse_extractions(raw: DataFrame) -> DataFrame:
     )
 
 
+def _phrases(line: Column) -> Column:
+    """Runs of capitalised words with one blank between them. The words are put between
+    marks, and marks with a blank between them go: a pattern for whole runs would recurse
+    with their length."""
+    marked = F.regexp_replace(F.translate(line, "\x01\x02", "\x03\x03"), CAPITALISED, "\x01$1\x02")
+    return F.regexp_extract_all(F.replace(marked, F.lit("\x02 \x01"), F.lit(" ")), F.lit("\x01([^\x02]*)\x02"), F.lit(1))
+
+
 def extract_entities(chunks: DataFrame) -> DataFrame:
-    """Entities and neighbour relationships per chunk: capitalised phrases, related to
-    the next one on the same line. Other columns than ``text`` pass through."""
-    lines = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit(ENTITY), F.lit(1)))
+    """Entities and neighbour relationships per chunk: capitalised phrases of any length,
+    related to the next one on the same line. Other columns than ``text`` pass through."""
+    lines = F.transform(F.split("text", "\n"), _phrases)
     per_line = chunks.withColumn("_lines", lines)
 
     def neighbours(names: Column) -> Column:

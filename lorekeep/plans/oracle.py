@@ -20,7 +20,7 @@ from lorekeep.functions.text import (
 )
 from lorekeep.functions.vocabulary import english_stop_words
 from lorekeep.operators.context import CALL_FAILED, GRAPH_HUMAN, GRAPH_SYSTEM, RAG_HUMAN, RAG_SYSTEM
-from lorekeep.operators.graph import ENTITY, HEADING, NO_EDGES, RELATIONSHIP
+from lorekeep.operators.graph import HEADING, NO_EDGES, RELATIONSHIP
 from lorekeep.operators.stats import CHART_MEANS, CORRELATED, SHARED
 from lorekeep.sources.schemas import SCHEMAS
 
@@ -125,6 +125,8 @@ def markdown_text(x: str) -> str:
     return strip(f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
+# Any number of capitalised words, one blank apart, not inside another word.
+PHRASE = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*)*)"
 STOP = ", ".join(q(w) for w in english_stop_words())
 
 
@@ -225,7 +227,7 @@ STEPS: dict[str, str] = {
     # Graph
     "doc_lines": f"""
         SELECT doc_id, lang, unnest(list_transform(string_split(text, chr(10)),
-          lambda s: regexp_extract_all(s, {q(ENTITY)}, 1))) AS names,
+          lambda s: regexp_extract_all(s, {q(PHRASE)}, 1))) AS names,
           unnest(range(len(string_split(text, chr(10))))) AS line FROM documents""",
     "doc_names": "SELECT doc_id, lang, line, unnest(names) AS id, unnest(range(len(names))) AS place FROM doc_lines",
     "edges": f"""

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lorekeep.session import stream_settings
+from lorekeep.session import cut_lineage
 from lorekeep.sources.schemas import conform
+from lorekeep.sources.tables import DAY
 
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType, *, max_files: int | None = None) -> DataFrame:
@@ -23,20 +20,23 @@ def read_events(spark: SparkSession, folder: str, schema: T.StructType, *, max_f
     return reader.load(folder)
 
 
-def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One row per event id. Ids are forgotten once the watermark has passed them.
+def append_new(rows: DataFrame, target: str) -> None:
+    """Append the rows whose ``event_id`` is not yet in the table below ``target``.
 
-    Copies that arrive together go before the shuffle, so that an event sent over and
-    over does not make one state partition hot.
+    Only the ids of the days in ``rows`` are read, however late an event comes: nothing is
+    forgotten and no event is dropped for its age. Written again after a failure, a batch
+    adds nothing that is there already.
     """
-    here = events.mapInArrow(_first_of_each, events.schema)
-    return here.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        _, first = np.unique(batch.column("event_id").to_numpy(zero_copy_only=False).astype(str), return_index=True)
-        yield batch.take(pa.array(np.sort(first)))
+    spark = rows.sparkSession
+    kept = cut_lineage(rows.dropDuplicates(["event_id"]))
+    days = [r[0] for r in kept.select(DAY).distinct().collect()]
+    if not days:
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        there = spark.read.schema(kept.schema).parquet(target).filter(F.col(DAY).isin(days)).select("event_id")
+        kept = kept.join(there, "event_id", "left_anti")
+    kept.write.mode("append").partitionBy(DAY).parquet(target)
 
 
 def start_sink(
@@ -44,17 +44,10 @@ def start_sink(
 ) -> StreamingQuery:
     """Write events to the interactions layout below ``target``, partitioned by day.
 
-    A batch every ``every``, or with ``drain`` all there is and then stop. The file sink
-    and its checkpoint make each event appear once, also after a restart.
+    A batch every ``every``, or with ``drain`` all there is and then stop. Each event appears
+    once, also when it is sent again, late, or after a restart.
     """
-    ready = conform(deduplicated(events), "user_interactions").withColumn("created_date", F.to_date("created_at"))
-    writer = (
-        ready.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("created_date")
-        .outputMode("append")
-    )
+    ready = conform(events, "user_interactions").withColumn(DAY, F.to_date("created_at"))
+    writer = ready.writeStream.foreachBatch(lambda rows, _: append_new(rows, target)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
-    with stream_settings(events.sparkSession):
-        return writer.start()
+    return writer.start()

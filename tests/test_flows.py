@@ -12,7 +12,7 @@ QUESTIONS = "query_id int, query string"
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "docs").mkdir()
-    (tmp_path / "docs" / "sample.txt").write_text("This is a sample document for testing RAG ingestion.")
+    (tmp_path / "docs" / "sample.txt").write_text("Here is a small sample of text about pumps and ponds.")
     (tmp_path / "docs" / "stack.md").write_text("# Stack\n\nThe Data Lake feeds the Search Index nightly.")
     return str(tmp_path / "docs")
 
@@ -20,12 +20,12 @@ def folder(tmp_path):
 def test_index_and_ask(spark, folder):
     store = Store.scratch(spark)
     counts = {r["name"]: r["n"] for r in flows.build_index(spark, folder, store, with_graph=True).collect()}
-    assert counts == {"chunks": 2, "vectors": 2, "vertices": 5, "edges": 2}
+    assert counts == {"chunks": 2, "vectors": 2, "vertices": 4, "edges": 1}
     asked = spark.createDataFrame([(1, " which sample document? "), (2, "what feeds the search index"), (3, "  ")], QUESTIONS)
     top = {r["query_id"]: r["text"] for r in flows.retrieve(store, asked, 1).collect()}
     assert set(top) == {1, 2} and "sample" in top[1] and "Lake" in top[2]
     messages = {r["query_id"]: r["messages"][1]["content"] for r in flows.ask(store, asked).collect()}
-    assert messages[1].startswith("Question: which sample document?\n\nContext:\n\nThis is a sample")
+    assert messages[1].startswith("Question: which sample document?\n\nContext:\n\nHere is a small sample")
     graph = {r["query_id"]: r["messages"][1]["content"] for r in flows.ask_graph(store, asked).collect()}
     assert "- The Data Lake co_occurs_with Search Index" in graph[2]
 

@@ -153,3 +153,14 @@ def test_grams(spark, text, grams):
     rows = spark.createDataFrame([(text,), ("",), (None,)], "t string")
     got = [r["gram"] for r in g._with_grams(rows, "t").collect()]
     assert len(got) == len(set(got)) and set(got) == grams
+
+
+def test_long_phrases(spark):
+    """A title in capitals is one entity, however long, as is one before a smaller word."""
+    title = " ".join(f"Word{k}" for k in range(5000))
+    rows = [(1, title), (2, "A B C D E F G H I J k L\nM  N O"), (3, "xA Bc_D é É\x01F \x02G"), (4, "")]
+    found = {r.id: (r.entities, r.relationships) for r in g.extract_entities(spark.createDataFrame(rows, "id int, text string")).collect()}
+    assert found[1] == ([title], [])
+    assert found[2][0] == ["A B C D E F G H I J", "L", "M", "N O"]
+    assert [tuple(x) for x in found[2][1]] == [("A B C D E F G H I J", "co_occurs_with", "L"), ("M", "co_occurs_with", "N O")]
+    assert found[3][0] == ["Bc_D", "É", "F", "G"] and found[4] == ([], [])

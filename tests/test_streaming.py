@@ -93,6 +93,20 @@ def test_sink_drops_copies_and_replays_nothing(spark):
     assert drain().select("event_id").distinct().count() == 8
 
 
+def test_sink_keeps_late_events(spark):
+    """Days of delay, copies of late events, more than one batch."""
+    folder, target, checkpoint = (fresh_path(spark, x) for x in ("in", "out", "cp"))
+    schema = spark.createDataFrame([], EVENT).schema
+    late = [event(n, "click", 60 * n) for n in (1, 2)]
+    for rows in ([event(0, "click", 0), event(10, "click", 7200)], [event(11, "click", 3 * 86400)], late, [*late, event(12, "click", 5)]):
+        add(spark, folder, rows)
+    stream = sink.read_events(spark, folder, schema, max_files=1)
+    filled = stream.withColumns({c: F.coalesce(c, F.lit("none")) for c in ("conversation_id", "turn_id")})
+    sink.start_sink(filled.withColumn("created_at", F.col("timestamp")), target, checkpoint, drain=True).awaitTermination()
+    ids = [r[0] for r in spark.read.parquet(target).select("event_id").collect()]
+    assert sorted(ids) == sorted(["e0", "e1", "e10", "e11", "e12", "e2"])
+
+
 def test_index_follows_its_stream(spark):
     folder, target, checkpoint = (fresh_path(spark, x) for x in ("in", "out", "cp"))
     schema = "id long, text string, changed_at int"

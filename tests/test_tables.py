@@ -104,11 +104,11 @@ def test_bucketed_vectors_join_without_a_shuffle(spark):
 
 def test_corpus_scan(spark, tmp_path):
     (tmp_path / "deep" / "er").mkdir(parents=True)
-    (tmp_path / "sample.txt").write_text("This is a sample document for testing RAG ingestion.")
+    (tmp_path / "sample.txt").write_text("Here is a small sample of text about pumps and ponds.")
     (tmp_path / "deep" / "er" / "b.md").write_text("# two\nlines é")
     (tmp_path / "deep" / "no_extension").write_text("")
     got = {r["source"].rsplit("/", 1)[1]: r["text"] for r in corpus.corpus_scan(spark, str(tmp_path)).collect()}
-    assert got["sample.txt"] == "This is a sample document for testing RAG ingestion."
+    assert got["sample.txt"] == "Here is a small sample of text about pumps and ponds."
     assert got["b.md"] == "# two\nlines é"
     (tmp_path / "page.HTML").write_text("<html><head><title>t</title></head><p>a&amp;b<br>c</p><script>x()</script></html>")
     plain = {r["source"].rsplit("/", 1)[1]: r["text"] for r in corpus.plain_texts(corpus.corpus_scan(spark, str(tmp_path))).collect()}

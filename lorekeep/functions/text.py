@@ -165,5 +165,6 @@ def seconds_between(start, end) -> Column:
 
 
 def stable_id(*parts) -> Column:
-    """A repeatable event id, so that replays write the same rows."""
-    return F.sha2(F.concat_ws("|", *[_col(p).cast("string") for p in parts]), 256)
+    """A repeatable event id, so that replays write the same rows. A missing part keeps its
+    place."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(_col(p).cast("string"), F.lit("\x01")) for p in parts]), 256)

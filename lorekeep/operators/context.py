@@ -109,12 +109,18 @@ def model_responses(raw: DataFrame) -> DataFrame:
     """``query_id, response`` from the endpoint's JSON in ``body``.
 
     A missing ``choices``, ``message`` or ``content`` gives an empty answer; a failed
-    call (null), bad JSON or an empty list of choices gives the error text.
+    call (null), bad JSON, an empty list of choices, and choices or a message that are
+    there but null give the error text.
     """
     parsed = F.from_json("body", RESPONSE, {"columnNameOfCorruptRecord": "_corrupt"})
     rows = raw.select("*", parsed.alias("r"))
     choices = F.col("r.choices")
     content = F.try_element_at(choices, F.lit(1))["message"]["content"]
     failed = F.col("body").isNull() | F.col("r").isNull() | F.col("r._corrupt").isNotNull() | (F.size(choices) == 0)
+    # What is missing and what is null differ only in a map of the keys.
+    top = F.from_json("body", "map<string,string>")
+    first = F.from_json(F.try_element_at(F.from_json(top["choices"], "array<string>"), F.lit(1)), "map<string,string>")
+    for keys, name in ((top, "choices"), (first, "message")):
+        failed = failed | F.coalesce(F.map_contains_key(keys, name) & keys[name].isNull(), F.lit(False))
     answer = F.when(F.coalesce(failed, F.lit(False)), CALL_FAILED).otherwise(F.coalesce(content, F.lit("")))
     return rows.select("query_id", answer.alias("response"))

@@ -36,6 +36,34 @@ CELL_ROWS = 65536
 MAX_CELLS = 1024
 
 
+def vector_size(rows: DataFrame) -> int | None:
+    """How many numbers most of the vectors have; None where there are none."""
+    sizes = rows.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("size")).count()
+    most = sizes.orderBy(F.desc("count"), F.desc("size")).first()
+    return most["size"] if most else None
+
+
+def _is_sound(size: int) -> Column:
+    # Null where a number is missing, true where one is NaN.
+    broken = F.array_contains("embedding", float("nan"))
+    return F.coalesce((F.size("embedding") == size) & ~broken, F.lit(False))
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """The rows that no search can use: vectors that are null, empty, of another size than
+    most, or with numbers that are null or NaN."""
+    return rows.filter(~_is_sound(vector_size(rows) or 0))
+
+
+def _sound_sides(questions: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without their rejected rows; sides of different sizes are an error."""
+    asked, size = vector_size(questions), vector_size(vectors)
+    if asked and size and asked != size:
+        raise ValueError(f"questions have {asked} dimensions, vectors {size}")
+    keep = _is_sound(size or asked or 0)
+    return questions.filter(keep), vectors.filter(keep)
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
     values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -264,9 +292,11 @@ def _cells_in_reach(questions: DataFrame, pivots, radii: dict[int, float]) -> Da
 def knn(questions: DataFrame, vectors: DataFrame, k: int, *, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Exact k nearest vectors: ``query_id, rank, id, distance``, ties by id.
 
-    ``questions`` is (query_id, embedding), ``vectors`` is (id, embedding).
+    ``questions`` is (query_id, embedding), ``vectors`` is (id, embedding). Broken vectors
+    on either side take no part, see :func:`rejected`.
     """
     spark = vectors.sparkSession
+    questions, vectors = _sound_sides(questions, vectors)
     n = vectors.count()
     cells = min(MAX_CELLS, n // cell_rows)
     if cells < 2:
@@ -334,6 +364,7 @@ def knn_lsh(
     :func:`knn` is the exact way.
     """
     spark = vectors.sparkSession
+    questions, vectors = _sound_sides(questions, vectors)
     first = vectors.select(F.size("embedding").alias("n")).first()
     rng, n = np.random.default_rng(seed), tables * width
     projection = rng.normal(size=(first["n"] if first else 1, n))

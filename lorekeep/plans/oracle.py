@@ -103,7 +103,7 @@ def iso(ts: str) -> str:
 
 
 def sid(*parts: str) -> str:
-    return "sha256(concat_ws('|', " + ", ".join(f"{p}" for p in parts) + "))"
+    return "sha256(concat_ws('|', " + ", ".join(f"coalesce(CAST({p} AS VARCHAR), chr(1))" for p in parts) + "))"
 
 
 def fill(template: str, question: str, context: str) -> str:

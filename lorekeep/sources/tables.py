@@ -24,6 +24,25 @@ class Store:
         self.spark, self.schema = spark, schema
         where = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}{where}")
+        if location:
+            self._register()
+
+    def _register(self) -> None:
+        """Make the tables that an earlier session left in the store's folder known to this
+        one. Folders that begin with an underscore, and tables without rows, are no tables."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.spark.catalog.getDatabase(self.schema).locationUri)
+        files = folder.getFileSystem(conf)
+        for status in files.listStatus(folder) if files.exists(folder) else []:
+            table = status.getPath().getName()
+            if not status.isDirectory() or table[0] in "_." or self.exists(table):
+                continue
+            path = status.getPath().toString()
+            if self.spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path).select("path").isEmpty():
+                continue
+            self.spark.sql(f"CREATE TABLE {self.name(table)} USING parquet LOCATION '{path}'")
+            if any(c.isPartition for c in self.spark.catalog.listColumns(self.name(table))):
+                self.spark.catalog.recoverPartitions(self.name(table))
 
     @classmethod
     def scratch(cls, spark: SparkSession) -> Store:

@@ -134,3 +134,18 @@ def test_string_ids(spark):
     asked = spark.createDataFrame([("q", [2.0, 1.0])], "query_id string, embedding array<float>")
     got = [r["id"] for r in kn.knn(asked, vectors, 3).orderBy("rank").collect()]
     assert got == sorted(i for i, v in rows if v[0] == 2.0)[:3]
+
+
+def test_broken_vectors(spark):
+    schema, nan = "id long, embedding array<float>", float("nan")
+    broken = [(1, None), (2, []), (3, [1.0, 2.0]), (4, [nan, 0.0, 0.0]), (5, [None, 1.0, 2.0])]
+    rows = spark.createDataFrame([*broken, (6, [1.0, 0.0, 0.0]), (7, [0.0, 2.0, 0.0])], schema)
+    asked = rows.withColumnRenamed("id", "query_id")
+    for search in (kn.knn, lambda q, v, k: kn.knn_lsh(q, v, k, bucket_length=50.0)):
+        got = {(r.query_id, r.rank, r.id) for r in search(asked, rows, 4).collect()}
+        assert got == {(6, 1, 6), (6, 2, 7), (7, 1, 7), (7, 2, 6)}
+    assert sorted(r.id for r in kn.rejected(rows).collect()) == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError, match="2 dimensions"):
+        kn.knn(spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<float>"), rows, 1)
+    none = spark.createDataFrame([], schema)
+    assert kn.knn(asked, none, 2).count() == 0 and kn.knn(none.withColumnRenamed("id", "query_id"), rows, 2).count() == 0

@@ -1,6 +1,10 @@
 """The store: schemas, defaults, profiles, retention; embedding and index refresh."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -150,3 +154,32 @@ def test_refresh_embeds_only_what_changed(spark):
     assert plan == {1: "keep", 2: "update", 3: "insert", 4: "delete"}
     fresh = e.refreshed_index(source, index, lambda rows: rows.select("id", F.array(F.lit(1.0)).cast("array<float>").alias("embedding")))
     assert {r["id"]: r["embedding"] for r in fresh.collect()} == {1: [9.0], 2: [1.0], 3: [1.0]}
+
+
+WRITER = """
+import sys
+from pyspark.sql import functions as F
+from lorekeep.session import build_session
+from lorekeep.sources.tables import Store
+spark = build_session("writer", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.warehouse.dir": sys.argv[2]})
+store = Store(spark, "kept", sys.argv[1])
+store.write_vectors(spark.range(5).select("id", F.array(F.lit(1.0)).cast("array<float>").alias("embedding")))
+edge = spark.createDataFrame([("a", "r", "b")], "src string, relationship string, dst string")
+store.write_graph(spark.createDataFrame([("a",), ("b",)], "id string"), edge)
+rows = spark.range(3).select(F.col("id").cast("string").alias("metric_id"), F.lit("m").alias("metric_name"),
+                             F.col("id").cast("double").alias("metric_value"), F.expr("date_add(date'2024-01-01', int(id))").cast("timestamp").alias("created_at"))
+store.append("performance_metrics", rows.withColumn("timestamp", F.col("created_at")))
+"""
+
+
+def test_reopened_by_another_process(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    environment = {**os.environ, "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
+    subprocess.run([sys.executable, "-c", WRITER, folder, str(tmp_path / "w")], env=environment, check=True, timeout=180)
+    store = Store(spark, "kept_elsewhere", folder)
+    assert store.read("vectors").count() == 5
+    vertices, edges = store.read_graph()
+    assert vertices.count() == 2 and edges.count() == 1
+    assert store.read("performance_metrics").groupBy("created_date").count().count() == 3
+    assert Store(spark, "kept_elsewhere", folder).read("vectors").count() == 5
+    assert Store(spark, "nothing_there", str(tmp_path / "new")).read_graph() is None

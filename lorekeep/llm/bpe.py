@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lorekeep.llm.common import _BYTE, _powers, mix, small_batches
-from lorekeep.llm.pieces import ID, Pieces, pieces
+from lorekeep.llm.pieces import CHARACTER, ID, MARK, Pieces, cut_signs, pieces
 from lorekeep.session import cut_lineage
 
 WINDOW = 32
@@ -49,7 +49,7 @@ BITS = 1 << 24
 _VISIBLE = rb"\x21-\x7e\xc3-\xe0\xe4-\xff"
 _SAFE = re.compile(rb" (?=[" + _VISIBLE + rb"])")
 _UNSAFE = re.compile(rb" (?![" + _VISIBLE + rb"])")
-_SPLIT = re.compile(rb" (?=[" + _VISIBLE + rb"])")
+_SPLIT = re.compile(rb" (?=[" + _VISIBLE + MARK + rb"])")
 
 
 def cuts(data: bytes) -> list[int]:
@@ -80,7 +80,7 @@ class Codec:
     def __init__(self, path: str):
         self.known: Pieces = pieces(path, lower=False, blank="Ġ")
         tokenizer = self.known.tokenizer
-        to_byte = _byte_of_character()
+        to_byte = {c: b for b, c in enumerate(CHARACTER)}
         added = tokenizer.get_added_tokens_decoder()
         self.added = [t.content.encode() for t in added.values()]
         self.bytes: list[bytes] = [b""] * tokenizer.get_vocab_size()
@@ -100,12 +100,15 @@ class Codec:
         """Ids of a whole text, or of a part that starts and ends at safe places."""
         if not data:
             return b""
-        if self.has_added(data):
+        if self.has_added(data) or MARK in data:
             return self.known.whole(data.decode()).tobytes()
-        words = data.split(b" ") if not _UNSAFE.search(data) else _SPLIT.split(data)
-        self.known.learn(set(words[1:]))
-        first = self.known.whole(words[0].decode()).tobytes() if words[0] else b""
-        return first + b"".join(map(self.known.known.__getitem__, words[1:]))
+        raw = np.frombuffer(data, np.uint8)
+        [marked] = cut_signs(raw, np.array([0, len(raw)]), b" " + MARK)
+        words = _SPLIT.split(marked) if _UNSAFE.search(data) else marked.split(b" ")
+        # No blank stands before the first one.
+        words[0] = MARK + words[0]
+        self.known.learn(set(words))
+        return b"".join(map(self.known.known.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, ID).tolist()))
@@ -149,14 +152,6 @@ class Codec:
         return b"".join(out)
 
 
-def _byte_of_character() -> dict[str, int]:
-    """Byte-level vocabularies write a printable byte as itself and the n-th other byte as
-    code point 256 + n."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
-
-
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)

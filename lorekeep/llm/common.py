@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch holds, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def row_key() -> Column:
@@ -101,6 +101,23 @@ def map_texts(docs: DataFrame, added: str, function: Callable[[Texts], dict], ca
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *new.fields]))
 
 
+def seen_bits(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size with the bit of every ``key`` (long) of ``keys`` set; the driver
+    gets ``bits`` / 8 rows of a byte at most, whatever the input."""
+    at = keys.select(F.expr(f"cast(pmod(key, {bits}) as int)").alias("bit"))
+    words = at.groupBy(F.expr("cast(bit div 8 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1, bit % 8)")).alias("set"))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for batch in words.toArrow().to_batches():
+        bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return bitmap
+
+
+def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Flags of the keys (int64) whose bit is set."""
+    bit = keys % (8 * len(bitmap))
+    return bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+
+
 def byte_table(members: bytes | range) -> np.ndarray:
     flags = np.zeros(256, bool)
     flags[list(members)] = True

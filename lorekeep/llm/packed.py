@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import small_batches
-from lorekeep.llm.pieces import ID, Pieces, pieces
+from lorekeep.llm.common import Texts, small_batches, texts_of
+from lorekeep.llm.pieces import ID, Pieces, cut_signs, pieces
 
 BLOCK = 4096
 SEGMENT = 1 << 19
@@ -81,10 +81,15 @@ def unpack_range(segment: dict, first: int, last: int) -> np.ndarray:
     return unpack(part, segment["bits"], min(last, segment["n_ids"]) - a * BLOCK)[first - a * BLOCK :]
 
 
-def _encoded(texts: list[str], known: Pieces) -> Iterator[bytes]:
-    """The ids of every text. White space only separates words for this tokenizer, so words
-    between ASCII white space are its pieces."""
-    split = [t.encode().split() for t in texts]
+def _encoded(t: Texts, known: Pieces) -> Iterator[bytes]:
+    """The ids of every text. White space only separates words for this tokenizer, so what
+    stands between ASCII white space is a piece."""
+    marked = cut_signs(t.data, t.offsets, b" ")
+    for k, (a, b) in enumerate(zip(t.offsets, t.offsets[1:])):
+        # Added tokens, such as <|startoftext|>, are looked up before anything else.
+        if b"<|" in marked[k]:
+            marked[k] = t.data[a:b].tobytes()
+    split = [m.split() for m in marked]
     known.learn(set().union(*split))
     get = known.known.__getitem__
     return (b"".join(map(get, words)) for words in split)
@@ -117,10 +122,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) ->
         held: list[bytes] = []
         size = 0
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows = batch.slice(at, 256)
-                texts = [t or "" for t in rows.column(1).to_pylist()]
-                for doc, ids in zip(rows.column(0).to_pylist(), _encoded(texts, known), strict=True):
+            docs_left = iter(batch.column(0).to_pylist())
+            for t in texts_of(batch.column(1)):
+                for ids in _encoded(t, known):
+                    doc = next(docs_left)
                     held += (ids, tail)
                     size += (len(ids) + len(tail)) // len(tail)
                     names.append(doc)
@@ -175,7 +180,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return read_segments(spark, folder).mapInArrow(run, DOCS)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions.text import keywords
-from lorekeep.session import apart
+from lorekeep.session import apart, cut_lineage
 
 # A capitalised word that does not begin inside another word.
 CAPITALISED = r"(?<![\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*)"
@@ -188,11 +188,13 @@ def graph_context(
     """``query_id, page, context``: the relationships that leave a question's vertices,
     or, with ``direction="both"``, those that leave or enter them, under each vertex.
 
-    Lines of a vertex are put together once and not once per question. A vertex with
-    more than ``page_lines`` edges, or copies of one, spreads over pages by a hash, so no
-    task ever holds all lines of a hot vertex; every page is a context row of its own.
-    Order: vertex, relationship, target. Questions without vertices have no row; those
-    whose vertices have no edges get a fixed text.
+    Lines are ordered by vertex, source, relationship and target, and numbered through a
+    question; page p holds lines p * ``page_lines`` and on, the heading stands on the first
+    page only, so the pages in order, put together, are the whole context. Questions of
+    one page take the lines of a vertex from a block that is made once for all of them; the
+    lines of longer ones are numbered by sorted ranges, so no task holds all lines of a hot
+    vertex. Questions without vertices have no row; those whose vertices have no edges
+    get a fixed text.
     """
     seeds = match_vertices(questions, vertices, k)
     ids, counted = apart(seeds.select("id").distinct()), counted_edges(edges)
@@ -204,30 +206,55 @@ def graph_context(
     touching = at("src")
     if direction == "both":
         touching = touching.unionByName(at("dst").filter("src <> dst"))
-    pages = touching.groupBy("id").agg(F.ceil(F.sum("n") / page_lines).alias("pages"))
-    line = F.concat(F.lit("- "), "src", F.lit(" "), "relationship", F.lit(" "), "dst")
-    parts = touching.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / page_lines))))
-    copies = F.least(F.lit(page_lines), F.col("n") - F.col("part") * page_lines).cast("int")
-    rows = parts.join(apart(pages), "id").select(
-        "id",
-        F.pmod(F.xxhash64("src", "relationship", "dst", "part"), F.col("pages")).alias("page"),
-        F.struct("src", "relationship", "dst", F.repeat(F.concat(line, F.lit("\n")), copies).alias("lines")).alias("entry"),
+    touching = cut_lineage(touching)
+    # A question has at most k vertices.
+    mine = Window.partitionBy("query_id")
+    before = F.sum("lines").over(mine.orderBy("id")) - F.col("lines")
+    sizes = touching.groupBy("id").agg(F.sum("n").alias("lines"))
+    asked = seeds.select("query_id", "id").join(apart(sizes), "id", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    asked = cut_lineage(asked.select("query_id", "id", before.alias("first"), F.sum("lines").over(mine).alias("all")))
+
+    line = F.concat(F.lit("- "), "src", F.lit(" "), "relationship", F.lit(" "), "dst", F.lit("\n"))
+    short = asked.filter((F.col("all") > 0) & (F.col("all") <= page_lines))
+    entry = F.struct("src", "relationship", "dst", F.repeat(line, F.col("n").cast("int")).alias("lines"))
+    blocks = (
+        touching.join(apart(short.select("id").distinct()), "id")
+        .groupBy("id")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["lines"]), "").alias("lines"))
     )
-    # By page as well: the join leaves all pages of a vertex together.
-    blocks = rows.repartition("id", "page").groupBy("id", "page").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["lines"]), "").alias("block")
-    )
-    contexts = (
-        seeds.join(blocks, "id")
-        .groupBy("query_id", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "block"))).alias("blocks"))
-    )
-    text = F.rtrim(F.array_join(F.transform("blocks", lambda b: b["block"]), ""), F.lit("\n"))
-    bare = (
-        seeds.join(apart(pages), "id", "left")
-        .groupBy("query_id")
-        .agg(F.count("pages").alias("n"))
-        .filter("n = 0")
-        .select("query_id", F.lit(0).cast("long").alias("page"), F.lit(NO_EDGES).alias("context"))
-    )
-    return contexts.select("query_id", "page", F.concat(F.lit(HEADING), text).alias("context")).unionByName(bare)
+    parts = short.join(blocks, "id").select("query_id", F.lit(0).cast("long").alias("page"), F.struct("id", "lines").alias("part"))
+    whole = _pages(parts)
+    long = asked.filter(F.col("all") > page_lines)
+    if not long.isEmpty():
+        whole = whole.unionByName(_pages(_long_parts(touching, long, line, page_lines)))
+    bare = asked.filter("all = 0").select("query_id").distinct()
+    return whole.unionByName(bare.select("query_id", F.lit(0).cast("long").alias("page"), F.lit(NO_EDGES).alias("context")))
+
+
+def _pages(parts: DataFrame) -> DataFrame:
+    """``query_id, page, context`` from the ``part``s of pages, which sort in their order."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["lines"]), "")
+    pages = parts.groupBy("query_id", "page").agg(joined.alias("text"))
+    text = F.when(F.col("page") == 0, F.concat(F.lit(HEADING), "text")).otherwise(F.col("text"))
+    # Only the last line of all has no line break after it; pages meet where a line ends.
+    last = F.col("page") == F.max("page").over(Window.partitionBy("query_id"))
+    return pages.select("query_id", "page", F.when(last, F.rtrim(text, F.lit("\n"))).otherwise(text).alias("context"))
+
+
+def _long_parts(touching: DataFrame, asked: DataFrame, line: Column, page_lines: int) -> DataFrame:
+    """Parts of the pages of questions with more than one. Lines of a vertex are numbered
+    within sorted ranges; what stands before a range comes from the sums of the ranges."""
+    order = ["src", "relationship", "dst"]
+    near = touching.join(apart(asked.select("id").distinct()), "id", "left_semi")
+    ranged = cut_lineage(near.repartitionByRange("id", *order).withColumn("range", F.spark_partition_id()))
+    sums = ranged.groupBy("id", "range").agg(F.sum("n").alias("lines"))
+    earlier = F.sum("lines").over(Window.partitionBy("id").orderBy("range")) - F.col("lines")
+    within = F.sum("n").over(Window.partitionBy("id", "range").orderBy(*order)) - F.col("n")
+    numbered = ranged.withColumn("within", within).join(apart(sums.select("id", "range", earlier.alias("earlier"))), ["id", "range"])
+    rows = asked.join(numbered, "id").withColumn("from", F.col("first") + F.col("earlier") + F.col("within"))
+    rows = rows.withColumn("to", F.col("from") + F.col("n") - 1)
+    page = F.explode(F.sequence(F.expr(f"`from` div {page_lines}"), F.expr(f"`to` div {page_lines}")))
+    rows = rows.withColumn("page", page)
+    copies = F.least("to", (F.col("page") + 1) * page_lines - 1) - F.greatest("from", F.col("page") * page_lines) + 1
+    part = F.struct("id", *order, F.repeat(line, copies.cast("int")).alias("lines"))
+    return rows.select("query_id", "page", part.alias("part"))

@@ -548,6 +548,7 @@ ORACLE: dict[str, str] = {
           AND dst IN (SELECT id FROM doc_names JOIN labels USING (doc_id)) GROUP BY ALL"""
     ),
     "graph_context": sql("SELECT query_id, page, context FROM graph_contexts"),
+    "graph_context_paged": sql("SELECT query_id, context FROM graph_contexts"),
     "graph_prompt": sql(
         f"""SELECT item_id AS query_id, {q(GRAPH_SYSTEM)} AS system_text, {fill(GRAPH_HUMAN, 'text', 'context')} AS human_text
         FROM benchmark LEFT JOIN graph_contexts ON query_id = item_id"""

@@ -629,6 +629,14 @@ def graph_context(spark, folder):
     return graph.graph_context(i.questions(spark, folder), *_graph(spark, folder))
 
 
+@query
+def graph_context_paged(spark, folder):
+    """Pages of seven lines, put together again."""
+    pages = graph.graph_context(i.questions(spark, folder), *_graph(spark, folder), page_lines=7)
+    parts = F.array_sort(F.collect_list(F.struct("page", "context")))
+    return pages.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["context"]), "").alias("context"))
+
+
 @query
 def graph_prompt(spark, folder):
     asked = i.questions(spark, folder)

@@ -102,17 +102,27 @@ def test_context_in_both_directions(spark):
     }
 
 
+def lines_of(rows, query):
+    """The lines of a question's pages in order, put together."""
+    pages = [r["context"] for r in sorted(rows, key=lambda r: r["page"]) if r["query_id"] == query]
+    assert not any(p.startswith(g.HEADING) for p in pages[1:])
+    return "".join(pages).removeprefix(g.HEADING).split("\n")
+
+
 def test_hot_vertex_spreads_over_pages(spark):
-    """A third of all edges leave one vertex: pages hold them all, none of them twice."""
+    """A third of all edges leave one vertex: pages put together are the unpaged context."""
     names = [f"n{i}" for i in range(300)]
     vertices = spark.createDataFrame([(n,) for n in ["hub", "other", *names]], "id string")
     edges = spark.createDataFrame([("hub", "r", n) for n in names] + [("other", "r", n) for n in names[:5]], EDGE)
     asked = spark.createDataFrame([(1, "hub"), (2, "hub other")], "query_id int, query string")
     rows = g.graph_context(asked, vertices, edges, page_lines=50).collect()
-    for query, expected in ((1, 300), (2, 305)):
-        pages = [r["context"] for r in rows if r["query_id"] == query]
-        lines = [line for p in pages for line in p.removeprefix(g.HEADING).split("\n")]
-        assert len(pages) == 6 and len(lines) == len(set(lines)) == expected
+    whole = {r["query_id"]: r["context"] for r in g.graph_context(asked, vertices, edges).collect()}
+    for query, expected, pages in ((1, 300, 6), (2, 305, 7)):
+        mine = sorted((r["page"], r["context"]) for r in rows if r["query_id"] == query)
+        assert [p for p, _ in mine] == list(range(pages))
+        assert "".join(c for _, c in mine) == whole[query]
+        assert len(set(lines_of(rows, query))) == expected
+    assert lines_of(rows, 2) == [f"- hub r {n}" for n in sorted(names)] + [f"- other r {n}" for n in names[:5]]
 
 
 def test_a_vertex_without_edges_adds_no_page(spark):
@@ -124,8 +134,7 @@ def test_a_vertex_without_edges_adds_no_page(spark):
     rows = g.graph_context(asked, vertices, edges, page_lines=10).collect()
     assert not any(r["context"] == g.NO_EDGES for r in rows)
     for i, h in enumerate(hubs):
-        lines = [x for r in rows if r["query_id"] == i for x in r["context"].removeprefix(g.HEADING).split("\n")]
-        assert lines.count(f"- {h} r t") == 20
+        assert lines_of(rows, i).count(f"- {h} r t") == 20
 
 
 def test_store_writes_both_tables_or_none(spark):
@@ -144,8 +153,8 @@ def test_hot_keyword_and_copies(spark):
     vertices = spark.createDataFrame([("a",), ("b",), *[(f"x{i}",) for i in range(10)]], "id string")
     asked = spark.createDataFrame([(1, "a")], "query_id int, query string")
     rows = g.graph_context(asked, vertices, edges, page_lines=100).collect()
-    lines = [line for r in rows for line in r["context"].removeprefix(g.HEADING).split("\n")]
-    assert lines.count("- a r b") == 1000 and len(lines) == 1010 and len(rows) > 3
+    lines = lines_of(rows, 1)
+    assert lines.count("- a r b") == 1000 and len(lines) == 1010 and len(rows) == 11
 
 
 @pytest.mark.parametrize("text,grams", [("aa", {"a", "aa"}), ("ab", {"a", "b", "ab"}), ("abcd", {"a", "b", "c", "d", "ab", "bc", "cd", "abc", "bcd"})])

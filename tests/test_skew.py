@@ -48,7 +48,8 @@ def test_context_splits_a_hot_vertex(spark, hot):
     with settings(spark, EAGER):
         df = graph.graph_context(asked, vertices, edges, page_lines=1000)
         rows = df.collect()
-    lines = [x for r in rows if r["query_id"] == 1 for x in r["context"].removeprefix(graph.HEADING).split("\n")]
+    pages = [r["context"] for r in sorted(rows, key=lambda r: r["page"]) if r["query_id"] == 1]
+    lines = "".join(pages).removeprefix(graph.HEADING).split("\n")
     assert len(lines) == 20_000 and sum(r["query_id"] == 1 for r in rows) == 20
 
 

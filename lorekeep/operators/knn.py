@@ -360,8 +360,8 @@ def knn_lsh(
 
     ``width`` projections together make a bucket, so that far vectors rarely meet;
     ``tables`` independent bucketings make it likely that near ones do. A question sees
-    only vectors that share one of its buckets, and may have fewer than k results;
-    :func:`knn` is the exact way.
+    only vectors that share one of its buckets; questions that meet fewer than k go on to
+    the exact search.
     """
     spark = vectors.sparkSession
     questions, vectors = _sound_sides(questions, vectors)
@@ -376,7 +376,12 @@ def knn_lsh(
         k,
     )
     once = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    return _rank(once, k)
+    ranked = cut_lineage(_rank(once, k))
+    full = ranked.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    few = cut_lineage(questions.join(apart(full), "query_id", "left_anti"))
+    if few.isEmpty():
+        return ranked
+    return ranked.join(apart(full), "query_id", "left_semi").unionByName(knn(few, vectors, k))
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

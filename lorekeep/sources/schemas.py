@@ -120,6 +120,12 @@ DEFAULTED = {
 }
 
 
+def required(table: str) -> list[str]:
+    """Columns that a row of a table must bring along."""
+    given = {*DEFAULTED[table], *_EMPTY_MAPS, *_NOW}
+    return [f.name for f in SCHEMAS[table].fields if not f.nullable and f.name not in given]
+
+
 def conform(rows: DataFrame, table: str) -> DataFrame:
     """``rows`` with the columns, types and defaults of a table. A null in a required
     column without a default is an error."""

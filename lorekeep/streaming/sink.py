@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lorekeep.session import cut_lineage
-from lorekeep.sources.schemas import conform
+from lorekeep.sources.schemas import conform, required
 from lorekeep.sources.tables import DAY
 
 
@@ -45,9 +45,19 @@ def start_sink(
     """Write events to the interactions layout below ``target``, partitioned by day.
 
     A batch every ``every``, or with ``drain`` all there is and then stop. Each event appears
-    once, also when it is sent again, late, or after a restart.
+    once, also when it is sent again, late, or after a restart. Rows without a required
+    value go to the folder ``target`` + ``_rejected`` and do not stop the stream.
     """
-    ready = conform(events, "user_interactions").withColumn(DAY, F.to_date("created_at"))
-    writer = ready.writeStream.foreachBatch(lambda rows, _: append_new(rows, target)).option("checkpointLocation", checkpoint)
+    folder = f"{target.rstrip('/')}_rejected"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        broken = F.lit(False)
+        for name in required("user_interactions"):
+            broken = broken | F.col(name).isNull()
+        rows.filter(broken).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        sound = conform(rows.filter(~broken), "user_interactions")
+        append_new(sound.withColumn(DAY, F.to_date("created_at")), target)
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
     return writer.start()

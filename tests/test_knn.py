@@ -149,3 +149,8 @@ def test_broken_vectors(spark):
         kn.knn(spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<float>"), rows, 1)
     none = spark.createDataFrame([], schema)
     assert kn.knn(asked, none, 2).count() == 0 and kn.knn(none.withColumnRenamed("id", "query_id"), rows, 2).count() == 0
+
+
+def test_lsh_goes_on_to_exact_search(spark):
+    points = np.eye(12) * 100
+    same(found(kn.knn_lsh(table(spark, points, "query_id"), table(spark, points), 5)), brute(points, points, 5))

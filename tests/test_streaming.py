@@ -107,6 +107,16 @@ def test_sink_keeps_late_events(spark):
     assert sorted(ids) == sorted(["e0", "e1", "e10", "e11", "e12", "e2"])
 
 
+def test_sink_sets_broken_rows_aside(spark):
+    folder, target, checkpoint = (fresh_path(spark, x) for x in ("in", "out", "cp"))
+    whole = event(1, "click", 0, conversation="c", turn="t")
+    add(spark, folder, [whole, (None, *whole[1:]), ("e2", *whole[1:7], None, *whole[8:])])
+    stream = sink.read_events(spark, folder, spark.createDataFrame([], EVENT).schema)
+    sink.start_sink(stream, target, checkpoint, drain=True).awaitTermination()
+    assert [r.event_id for r in spark.read.parquet(target).collect()] == ["e1"]
+    assert spark.read.parquet(f"{target}_rejected").count() == 2
+
+
 def test_index_follows_its_stream(spark):
     folder, target, checkpoint = (fresh_path(spark, x) for x in ("in", "out", "cp"))
     schema = "id long, text string, changed_at int"

@@ -13,7 +13,64 @@ def _words(text: str) -> str:
     return f"regexp_extract_all({lowered}, '{_WORD}')"
 
 
+# Words of operators 9 and 10.
+_PLAIN = r"[^\x20\x09-\x0D]+"
+# Limits of operator 10: window length and largest share; the share of repeated lines.
+_WINDOWS = {5: 0.45, 6: 0.44, 7: 0.43, 8: 0.42, 9: 0.41, 10: 0.40}
+_LINES = 0.45
+
 ORACLE = {
+    "op9_near_duplicates": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '{_PLAIN}') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 2), ' ') AS x
+            FROM words, unnest(range(1, greatest(len(w) - 1, 2))) AS t(k) WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (x) GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE a <> b AND 100 * k >= 90 * (p.n + q.n - k)),
+        reached AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+        FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op10_quality_rules": f"""
+        WITH lists AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_PLAIN}') AS w FROM documents),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM lists),
+        totals AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM words GROUP BY doc_id),
+        followed AS (
+            SELECT doc_id, k, word AS l0, {", ".join(f"lead(word, {k}) OVER o AS l{k}" for k in range(1, 10))}
+            FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+        windows AS ({" UNION ALL ".join(
+            f"SELECT doc_id, {size} AS size, k, concat_ws(' ', {', '.join(f'l{k}' for k in range(size))}) AS win FROM followed WHERE l{size - 1} IS NOT NULL"
+            for size in (3, *_WINDOWS))}),
+        known AS (SELECT doc_id, size, win FROM windows GROUP BY ALL HAVING count(*) > 1),
+        inside AS (SELECT DISTINCT doc_id, size, unnest(range(k, k + size)) AS k FROM windows JOIN known USING (doc_id, size, win)),
+        parts AS (
+            SELECT doc_id, size, count(*) AS n, sum(length(word)) / any_value(word_chars) AS share
+            FROM inside JOIN words USING (doc_id, k) JOIN totals USING (doc_id) GROUP BY doc_id, size),
+        repeats AS (
+            SELECT doc_id, max(n) FILTER (size = 3) AS n, max(share) FILTER (size > 3) AS share,
+                   bool_or({" OR ".join(f"size = {k} AND share > {v}" for k, v in _WINDOWS.items())}) AS bad
+            FROM parts GROUP BY doc_id),
+        lines AS (
+            SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS place
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM lists) WHERE regexp_matches(line, '{_PLAIN}')),
+        again AS (
+            SELECT doc_id, count(*) AS n, sum(length(array_to_string(regexp_extract_all(line, '{_PLAIN}'), ''))) AS chars
+            FROM lines WHERE place > 1 GROUP BY doc_id),
+        counted AS (
+            SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+                   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(again.n, 0) AS n_dup_lines,
+                   coalesce(repeats.n, 0) AS n_repeat_words, coalesce(repeats.share, 0.0) AS window_share,
+                   coalesce(again.chars / word_chars, 0.0) AS line_share, coalesce(bad, false) AS bad
+            FROM lists LEFT JOIN totals USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+        judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, window_share, line_share, base_failed,
+               NOT base_failed AND NOT bad AND line_share <= {_LINES} AS kept
+        FROM judged""",
     "op6_decontamination": f"""
         WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text")} AS w FROM benchmark),
         windows AS (

@@ -27,7 +27,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import LOWER, Texts, byte_table, map_texts, row_key, small_batches, span_hashes, texts_of, windows
+from lorekeep.llm.common import (
+    LOWER,
+    Texts,
+    byte_table,
+    has_bit,
+    map_texts,
+    row_key,
+    seen_bits,
+    small_batches,
+    span_hashes,
+    texts_of,
+    windows,
+)
 from lorekeep.session import apart, cut_lineage
 
 # Fixed values of the contract: base kinds in order.
@@ -142,20 +154,13 @@ def _pattern_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pattern, total``: occurrences in all texts of the ``patterns`` (and of some whose bit
     is the same)."""
     spark = docs.sparkSession
-    bits = patterns.select(F.expr(f"cast(pmod(pattern, {BITS}) as int)").alias("bit"))
-    # At most BITS / 8 rows, whatever the input: a byte of the map each.
-    words = bits.groupBy(F.expr("cast(bit div 8 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1, bit % 8)")).alias("bits"))
-    bitmap = np.zeros(BITS // 8, np.uint8)
-    for batch in words.toArrow().to_batches():
-        bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    wanted = spark.sparkContext.broadcast(bitmap)
+    wanted = spark.sparkContext.broadcast(seen_bits(patterns.select(F.col("pattern").alias("key")), BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in texts_of(batch.column(0)):
                 hashes, _, _ = _patterns(t)
-                bit = hashes % BITS
-                hit = hashes[wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1]
+                hit = hashes[has_bit(wanted.value, hashes)]
                 if len(hit):
                     values, n = np.unique(hit, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int64())], names=["pattern", "total"])

@@ -204,5 +204,8 @@ def identify(docs: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
 
 def accepted(docs: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is accepted."""
-    keep = identify(docs, provenance).filter("accepted").select(F.col("row").alias("__row")).distinct()
+    # Written first: a filter on what is computed here would be pushed below the steps that
+    # share its parts, and compute them over and over.
+    decided = cut_lineage(identify(docs, provenance).select(F.col("row").alias("__row"), "accepted"))
+    keep = decided.filter("accepted").select("__row").distinct()
     return docs.withColumn("__row", row_key()).join(keep, "__row", "left_semi").drop("__row")

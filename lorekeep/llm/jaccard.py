@@ -6,7 +6,8 @@ prefix in which two sets of the wanted similarity must meet. Pairs that meet pas
 
 * the length filter, ``|y| >= t |x|``;
 * the positional filter: what is left after the first shared shingle suffices;
-* the suffix filter: a 256-bit parity bitmap of each set bounds the symmetric difference;
+* the suffix filter: the parity bits of two sets differ in no more places than the sets do;
+  256 bits are compared in the join, then twice as many bits as a set has shingles;
 
 and are then verified once on the whole sets, which only classes in such pairs send.
 
@@ -32,21 +33,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import LOWER, NOT_SPACE, Texts, mix, row_key, small_batches, span_hashes, texts_of, windows
+from lorekeep.llm.common import (
+    LOWER,
+    NOT_SPACE,
+    Texts,
+    has_bit,
+    mix,
+    row_key,
+    seen_bits,
+    small_batches,
+    span_hashes,
+    texts_of,
+    windows,
+)
 from lorekeep.llm.components import components
 from lorekeep.session import apart, cut_lineage
 
 # Fixed values of the contract.
 SHINGLE = 3
 SIMILARITY = (90, 100)
-# Counters of the sketch: 1 MB as broadcast, whatever the corpus.
-BUCKETS = 1 << 18
+# Counters of the sketch, and of one row of it in a shuffle: 4 MB as broadcast, whatever the
+# corpus.
+BUCKETS = 1 << 20
+BLOCK = 1 << 12
 # Exclusive-or of a class number gives another order of classes.
 ORDERS = (0, 0x5555555555555555)
-# Bits of the map of wanted sets: 2 MB.
+# Bits of the maps of shared shingles and of wanted sets: 2 MB each.
+SHARED = 1 << 24
 WANTED = 1 << 24
 
-CLASS = "doc_id long, row long, n_shingles long, cls long, text_key long, prefix array<long>, b0 long, b1 long, b2 long, b3 long"
+BITS = ["b0", "b1", "b2", "b3"]
+CLASS = (
+    "doc_id long, row long, n_shingles long, cls long, text_key long, prefix array<long>, b0 long, b1 long, b2 long, b3 long, "
+    "parity binary"
+)
 
 
 def shingles(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,31 +90,62 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def parity_bitmap(s: np.ndarray) -> list[int]:
-    bits = (np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64).tolist()
+def parity_bits(s: np.ndarray, size: int) -> np.ndarray:
+    """How many hashes fall on each of ``size`` bits, modulo 2, as bytes."""
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
+
+
+def parity_size(n: int) -> int:
+    """Bits for a set of ``n``: the next power of two from twice as many."""
+    return max(256, 1 << (2 * n - 1).bit_length())
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many places two bitmaps differ; the larger one is folded to the smaller's size."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _as_rows(total: np.ndarray) -> pa.RecordBatch:
+    """Counters as rows of ``BLOCK``, those without any count left out."""
+    blocks = total.reshape(-1, BLOCK)
+    at = np.flatnonzero(blocks.any(axis=1))
+    counts = pa.array([blocks[k].tobytes() for k in at], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), counts], names=["block", "counts"])
+
+
 def rarity(docs: DataFrame, size: int) -> np.ndarray:
-    """Occurrences of all shingles, counted in ``BUCKETS`` counters by hash."""
+    """Occurrences of all shingles, counted in ``BUCKETS`` counters by hash; beyond four
+    thousand million all are equally frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for t in texts_of(batch.column(0)):
-                total += np.bincount((shingles(t, size)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in counted.toArrow().to_batches():
-        total[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+                at, n = np.unique(shingles(t, size)[0] & np.uint64(BUCKETS - 1), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
+        yield _as_rows(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.uint64)
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(counts.as_buffer(), np.uint32)
+        yield _as_rows(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))
+
+    schema = "block int, counts binary"
+    added = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    total = np.zeros(BUCKETS, np.uint32)
+    for batch in added.toArrow().to_batches():
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(counts.as_buffer(), np.uint32)
     return total
 
 
@@ -111,17 +162,18 @@ def signatures(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataF
                 for a, b in zip(begins, begins[1:]):
                     s = np.unique(hashes[a:b])
                     if not len(s):
-                        rows.append((0, None, [], *[0] * 4))
+                        rows.append((0, None, [], *[0] * 4, b""))
                         continue
                     p = prefix_length(len(s), *similarity)
                     ranked = np.lexsort((s, order.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
                     cls = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    rows.append((len(s), cls, _signed(s[ranked[:p]]), *parity_bitmap(s)))
+                    few = parity_bits(s >> np.uint64(32), 256).view(np.int64).tolist()
+                    rows.append((len(s), cls, _signed(s[ranked[:p]]), *few, parity_bits(s, parity_size(len(s))).tobytes()))
                 own = batch.slice(done, len(t))
                 done += len(t)
-                n, cls, prefix, *bits = zip(*rows)
+                n, cls, prefix, *bits, parity = zip(*rows)
                 columns = [own.column(0), own.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), own.column(2),
-                           pa.array(prefix, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in bits)]
+                           pa.array(prefix, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in bits), pa.array(parity, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CLASS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.xxhash64("text").alias("key"), "text")
@@ -133,37 +185,49 @@ def _overlap(num: int, den: int) -> Column:
     return F.expr(f"cast(ceil({num} * (n + m) / cast({num + den} as decimal(20, 0))) as bigint)")
 
 
+def _near(left: list[Column], right: list[Column]) -> Column:
+    """The suffix filter on the short bitmaps of a pair with sizes ``n`` and ``m``."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(left, right, strict=True)), F.lit(0))
+    return differ <= F.col("n") + F.col("m") - 2 * F.col("overlap")
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (``a``, ``b``) of classes that the length and the suffix filter leave."""
-    bits = [f"b{k}" for k in range(4)]
-    one = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n"), *bits)
-    two = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("m"), *(F.col(c).alias(f"o{c}") for c in bits))
-    apart_bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in bits), F.lit(0))
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
+    one = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n"), F.col("parity").alias("x"), *BITS)
+    two = classes.select(
+        F.col("cls").alias("b"), F.col("n_shingles").alias("m"), F.col("parity").alias("y"), *(F.col(c).alias(f"o{c}") for c in BITS)
+    )
+    short = lambda df: df.drop("x", "y")
+    left = (
+        pairs.join(short(one), "a")
+        .join(short(two), "b")
         .filter(F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)"))
-        .filter(apart_bits <= F.col("n") + F.col("m") - 2 * _overlap(num, den))
-        .select("a", "b")
+        .withColumn("overlap", _overlap(num, den))
+        .filter(_near([F.col(c) for c in BITS], [F.col(f"o{c}") for c in BITS]))
+        .select("a", "b", (F.col("n") + F.col("m") - 2 * F.col("overlap")).alias("most"))
     )
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                bits_apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= most.as_py()
+                for most, x, y in zip(batch.column(2), batch.column(3), batch.column(4))
+            ]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = left.join(one.select("a", "x"), "a").join(two.select("b", "y"), "b").select("a", "b", "most", "x", "y")
+    return both.mapInArrow(compare, "a long, b long")
+
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``cls, shingles`` of the classes in ``wanted`` (``cls``, ``text_key``). A fixed map of
     bits says which texts to read; a collision sends a set that no pair asks for."""
     spark = docs.sparkSession
-    bitmap = np.zeros(WANTED // 8, np.uint8)
-    bits = wanted.select(F.expr(f"cast(pmod(text_key, {WANTED}) as int)").alias("bit"))
-    # At most WANTED / 8 rows, whatever the input: a byte of the map each.
-    words = bits.groupBy(F.expr("cast(bit div 8 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1, bit % 8)")).alias("bits"))
-    for batch in words.toArrow().to_batches():
-        bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    known = spark.sparkContext.broadcast(bitmap)
+    known = spark.sparkContext.broadcast(seen_bits(wanted.select(F.col("text_key").alias("key")), WANTED))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy() % WANTED
-            batch = batch.filter(pa.array(known.value[keys >> 3] >> (keys & 7).astype(np.uint8) & 1 == 1))
+            batch = batch.filter(pa.array(has_bit(known.value, batch.column(0).to_numpy())))
             for t in texts_of(batch.column(1)):
                 hashes, begins = shingles(t, size)
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(begins, begins[1:])]
@@ -196,6 +260,27 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
     return cut_lineage(both.mapInArrow(verify, "a long, b long"))
 
 
+def _postings(classes: DataFrame) -> DataFrame:
+    """``token, place, cls, n_shingles`` and the short bitmap, of every prefix shingle that
+    another class has in its prefix too, and of some whose bit is the same as of one of those;
+    they make lists of one member, from which nothing follows."""
+    counts = classes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("members"))
+    known = classes.sparkSession.sparkContext.broadcast(seen_bits(counts.filter("members > 1"), SHARED))
+    names = ["cls", "n_shingles", *BITS]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(0)
+            tokens, ends = prefix.flatten().to_numpy(), np.cumsum(prefix.value_lengths().to_numpy())
+            at = np.flatnonzero(has_bit(known.value, tokens))
+            owner = np.searchsorted(ends, at, side="right")
+            place = at - np.concatenate([[0], ends[:-1]])[owner]
+            rows = batch.select(names).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), pa.array(place), *rows.columns], names=["token", "place", *names])
+
+    return cut_lineage(classes.select("prefix", *names).mapInArrow(post, "token long, place long, " + ", ".join(f"{n} long" for n in names)))
+
+
 def _rooted(postings: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = postings.join(apart(roots.withColumnRenamed("node", "cls")), "cls", "left")
     return rooted.withColumn("root", F.coalesce("root", "cls"))
@@ -207,13 +292,15 @@ def _across(postings: DataFrame, num: int, den: int) -> DataFrame:
     by_root = postings.groupBy("token", "root").agg(F.count("*").alias("k"))
     main = by_root.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
     open_lists = cut_lineage(postings.join(apart(main.filter("roots > 1")), "token"))
-    left = open_lists.filter("root <> main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("cls", "n_shingles", "place", "root")))
-    right = open_lists.select("token", *(F.col(c).alias(f"r_{c}") for c in ("cls", "n_shingles", "place", "root")), "main")
+    sides = ["cls", "n_shingles", "place", "root", *BITS]
+    left = open_lists.filter("root <> main").select("token", *(F.col(c).alias(f"l_{c}") for c in sides))
+    right = open_lists.select("token", *(F.col(c).alias(f"r_{c}") for c in sides), "main")
     # Pairs outside the largest component meet twice in a list; one of them is enough.
     met = left.join(right, "token").filter("l_root <> r_root and (r_root = main or l_cls < r_cls)")
-    met = met.withColumns({"n": F.col("l_n_shingles"), "m": F.col("r_n_shingles")})
+    met = met.withColumns({"n": F.col("l_n_shingles"), "m": F.col("r_n_shingles")}).withColumn("overlap", _overlap(num, den))
     met = met.filter(F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)"))
-    met = met.filter(F.least(F.col("n") - F.col("l_place"), F.col("m") - F.col("r_place")) >= _overlap(num, den))
+    met = met.filter(F.least(F.col("n") - F.col("l_place"), F.col("m") - F.col("r_place")) >= F.col("overlap"))
+    met = met.filter(_near([F.col(f"l_{c}") for c in BITS], [F.col(f"r_{c}") for c in BITS]))
     return met.select(F.least("l_cls", "r_cls").alias("a"), F.greatest("l_cls", "r_cls").alias("b")).distinct()
 
 
@@ -223,23 +310,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int,
     small_batches(docs.sparkSession)
     num, den = similarity
     signed = cut_lineage(signatures(docs, size, similarity))
-    bits = [F.first(f"b{k}").alias(f"b{k}") for k in range(4)]
+    first = [F.first(c).alias(c) for c in ("prefix", *BITS, "parity")]
     classes = cut_lineage(
         signed.filter("cls is not null")
         .groupBy("cls", "n_shingles")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("prefix").alias("prefix"), *bits)
+        .agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), *first)
     )
-    postings = classes.select("cls", "n_shingles", F.posexplode("prefix").alias("place", "token"))
-    lists = postings.groupBy("token").agg(
-        F.count("*").alias("members"), *(F.min(F.col("cls").bitwiseXOR(F.lit(o))).alias(f"first{k}") for k, o in enumerate(ORDERS))
+    postings = _postings(classes)
+    leaders = postings.groupBy("token").agg(
+        *(F.min(F.col("cls").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"first{k}") for k, o in enumerate(ORDERS))
     )
-    postings = cut_lineage(postings.join(apart(lists.filter("members > 1").drop("members")), "token"))
-    firsts = F.array(*(F.col(f"first{k}").bitwiseXOR(F.lit(o)) for k, o in enumerate(ORDERS)))
-    met = postings.select("cls", F.explode(F.array_distinct(firsts)).alias("first")).filter("cls <> first")
+    firsts = F.array(*(F.col(f"first{k}") for k in range(len(ORDERS))))
+    met = postings.select("token", "cls").join(apart(leaders), "token")
+    met = met.select("cls", F.explode(F.array_distinct(firsts)).alias("first")).filter("cls <> first")
     met = met.select(F.least("cls", "first").alias("a"), F.greatest("cls", "first").alias("b")).distinct()
     small = classes.drop("prefix")
     links = _verified(docs, _possible(met, small, num, den), small, size, num, den)
-    across = _across(_rooted(postings.drop("first0", "first1"), components(links)), num, den)
+    across = _across(_rooted(postings, components(links)), num, den)
     links = links.unionAll(_verified(docs, _possible(across, small, num, den), small, size, num, den))
     roots = components(links)
     placed = small.join(apart(roots.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

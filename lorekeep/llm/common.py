@@ -103,13 +103,13 @@ def map_texts(docs: DataFrame, added: str, function: Callable[[Texts], dict], ca
 
 def seen_bits(keys: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of fixed size with the bit of every ``key`` (long) of ``keys`` set; the driver
-    gets ``bits`` / 8 rows of a byte at most, whatever the input."""
+    gets ``bits`` / 64 rows of a word at most, whatever the input."""
     at = keys.select(F.expr(f"cast(pmod(key, {bits}) as int)").alias("bit"))
-    words = at.groupBy(F.expr("cast(bit div 8 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1, bit % 8)")).alias("set"))
-    bitmap = np.zeros(bits // 8, np.uint8)
+    words = at.groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("set"))
+    bitmap = np.zeros(bits // 64, "<i8")
     for batch in words.toArrow().to_batches():
         bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return bitmap
+    return bitmap.view(np.uint8)
 
 
 def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:

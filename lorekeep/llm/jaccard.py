@@ -58,8 +58,8 @@ BUCKETS = 1 << 20
 BLOCK = 1 << 12
 # Exclusive-or of a class number gives another order of classes.
 ORDERS = (0, 0x5555555555555555)
-# Bits of the maps of shared shingles and of wanted sets: 2 MB each.
-SHARED = 1 << 24
+# Bits of the maps of shared shingles (8 MB) and of wanted sets (2 MB).
+SHARED = 1 << 26
 WANTED = 1 << 24
 
 BITS = ["b0", "b1", "b2", "b3"]

@@ -10,6 +10,10 @@ from lorekeep.llm import bpe, decontaminate, jaccard, language, personal
 from lorekeep.llm.common import table
 from lorekeep.session import cut_lineage
 
+# Near copies of the corpus: words of a shingle, and the least Jaccard similarity.
+SHINGLE = 5
+SIMILARITY = (80, 100)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that the evidence agrees on go."""
@@ -18,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least id."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, SHINGLE, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from lorekeep.llm.common import (
 from lorekeep.llm.components import components
 from lorekeep.session import apart, cut_lineage
 
-# Fixed values of the contract.
+# Fixed values of the contract of operator 9; other callers name their own.
 SHINGLE = 3
 SIMILARITY = (90, 100)
 # Counters of the sketch, and of one row of it in a shuffle: 4 MB as broadcast, whatever the
@@ -344,11 +344,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int,
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component: the one with the least id, of several
     such rows the one with the least hash. Documents without words all stay."""
     columns = docs.columns
-    near = near_duplicates(docs).filter("n_shingles > 0")
+    near = near_duplicates(docs, size, similarity).filter("n_shingles > 0")
     best = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     has_words = F.coalesce(F.col("text").rlike("[^ \\x09-\\x0D]"), F.lit(False))
     # Grouped and joined by the same key: the texts are shuffled once.

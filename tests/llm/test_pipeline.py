@@ -47,3 +47,13 @@ def test_edges(spark, name, request, tmp_path):
     pages.write.mode("overwrite").parquet(f"{folder}/pages.parquet")
     rows = corpus_pipeline.run(spark, folder).collect()
     assert bool(rows) == (name == "odd")
+
+
+def test_near_copies(spark):
+    """Near copies of the corpus have 0.8 of their five-word shingles in common."""
+    base = [f"w{k}" for k in range(50)]
+    changed = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(base))
+    # One word of fifty: 41 of 51 shingles are the same; of three words 45 of 51, below 0.9.
+    rows = [(1, changed()), (2, changed(25)), (3, changed(10, 30)), (4, "other words than those of all the rest")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, 4}

@@ -1,0 +1,44 @@
+"""The pipeline against a reading with five-word shingles and 0.8, text by text."""
+
+from collections import Counter
+
+import corpus_pipeline
+import test_pipeline
+from test_pipeline import by_hand
+
+from lorekeep.llm import personal
+
+
+def five_words(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return frozenset(zip(*(words[k:] for k in range(5)))) if len(words) > 4 else frozenset([tuple(words)] if words else [])
+
+
+def near(sets):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 10 * both >= 8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(len(sets))]
+
+
+def test_five_words(spark, small, read, monkeypatch):
+    monkeypatch.setattr(test_pipeline, "shingle_set", five_words)
+    monkeypatch.setattr(test_pipeline, "clusters", near)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, small)
+    context = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans if s.kind == "context"] for r in personal.personal_spans(docs).collect()}
+    want = by_hand(read(small), [tuple(r) for r in read(small, "benchmark")], context)
+    assert Counter(map(tuple, corpus_pipeline.run(spark, small).collect())) == want

@@ -11,6 +11,11 @@ The model has a table of ``BUCKETS`` numbers a language, whatever the corpus. Te
 twice and never shuffled; sums and joins are over rows of a few numbers, and a hot host or
 suffix is one row on one side of a join.
 
+Probabilities compare the known languages only, so a text must also be known at all: under its
+likeliest language its trigrams have to be likelier, on average, than under a background in
+which all buckets are equally likely. What no text of a language has seen weighs the same for
+all languages (``UNSEEN``), however much text they have.
+
 Defined cases: a text without letters and a null text have no language and are rejected;
 evidence that is missing says nothing; where no text declares a language, all are rejected.
 """
@@ -33,6 +38,10 @@ TRUST = 40
 PRIOR_ROWS = 5.0
 # A language is accepted from this probability.
 LEAST = 0.5
+# Share of a language's probability that is spread evenly over all buckets.
+UNSEEN = 0.01
+# Mean log probability a trigram under the background.
+BACKGROUND = -float(np.log(BUCKETS))
 
 # What names that stand for a missing one begin with.
 NONE = "\0"
@@ -84,8 +93,8 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             here = langs == lang
             tables.setdefault(lang, np.zeros(BUCKETS))[batch.column(1).to_numpy()[here]] = batch.column(2).to_numpy()[here]
     names = sorted(tables)
-    n = np.array([tables[x] for x in names]).reshape(len(names), BUCKETS) + 0.5
-    return names, np.log(n / n.sum(axis=1, keepdims=True))
+    n = np.array([tables[x] for x in names]).reshape(len(names), BUCKETS)
+    return names, np.log((1 - UNSEEN) * n / np.maximum(n.sum(axis=1, keepdims=True), 1) + UNSEEN / BUCKETS)
 
 
 def _text_evidence(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -192,13 +201,15 @@ def identify(docs: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
     scores = "transform(evidence, (e, k) -> e + ln(host_prior[k]) + ln(said[k]))"
     fused = joined.withColumn("share", F.expr(_shares(f"({scores})")))
     has_letters = F.col("trigrams") > 0
+    # The evidence is tempered by length; this is the mean again.
+    known = F.array_max("evidence") * (1 / TRUST + 1 / F.greatest("trigrams", F.lit(1))) > BACKGROUND
     return fused.select(
         "doc_id",
         "row",
         F.when(has_letters, named(F.col("share"))).alias("language"),
         F.when(has_letters, F.array_max("share")).alias("probability"),
         F.when(has_letters, named(F.col("text_share"))).alias("text_language"),
-        (has_letters & (F.array_max("share") >= LEAST)).alias("accepted"),
+        (has_letters & (F.array_max("share") >= LEAST) & known).alias("accepted"),
     )
 
 

@@ -50,3 +50,16 @@ def test_page_evidence(spark):
             ("nothing", None), (None, "<html lang=en>"), ("http://c.example.net/fr/825/", "<html lang=en>")]
     got = {tuple(r) for r in language.page_evidence(spark.createDataFrame(rows, "url string, html string")).collect()}
     assert got == {(825, "en", "c.example.net", "net"), (7, None, "b.example.org", "org")}
+
+
+def test_unknown(spark, read):
+    """Texts of no known language go, clean short ones stay."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = ["Москва является столицей России и крупнейшим городом", "日本語は主に日本で使われている言語です", "Η Αθήνα είναι η πρωτεύουσα της Ελλάδας",
+           "xkcd qwrt zpfgh bnmvk lkjhg ffdsp wrtzq", "Helsinki on Suomen pääkaupunki ja maan väkirikkain kunta"]
+    clean = ["the cat and the dog sat on the mat", "der Hund und die Katze sind im Haus", "elle est dans la maison"]
+    rows = [(10**9 + k, t, None, None, len(t)) for k, t in enumerate(odd + clean)]
+    more = spark.createDataFrame(rows, docs.schema)
+    got = {r.doc_id - 10**9: r.accepted for r in language.identify(docs.unionAll(more)).collect()}
+    assert [got[k] for k in range(len(rows))] == [False] * len(odd) + [True] * len(clean)

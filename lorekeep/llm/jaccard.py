@@ -305,8 +305,9 @@ def _across(postings: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``doc_id, n_shingles, component_id, row`` per row of ``docs``; ``component_id`` is the
-    least ``doc_id`` that links reach, ``row`` the hash of what the row says."""
+    """``doc_id, n_shingles, component_id, row, root`` per row of ``docs``; ``component_id`` is
+    the least ``doc_id`` that links reach, ``row`` the hash of what the row says. ``root`` (a
+    class) tells components apart that have the same least ``doc_id`` or none."""
     small_batches(docs.sparkSession)
     num, den = similarity
     signed = cut_lineage(signatures(docs, size, similarity))
@@ -331,7 +332,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int,
     roots = components(links)
     placed = small.join(apart(roots.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = placed.join(apart(least), "root").select("cls", "component_id")
+    component = placed.join(apart(least), "root").select("cls", "component_id", "root")
     # Empty sets meet nothing: a key of their own keeps them out of one task.
     key = F.coalesce("cls", "row")
     rows = signed.select("doc_id", "n_shingles", "row", "cls", key.alias("key"))
@@ -341,6 +342,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int,
         "n_shingles",
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         "row",
+        "root",
     )
 
 
@@ -349,7 +351,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int
     such rows the one with the least hash. Documents without words all stay."""
     columns = docs.columns
     near = near_duplicates(docs, size, similarity).filter("n_shingles > 0")
-    best = near.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    best = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     has_words = F.coalesce(F.col("text").rlike("[^ \\x09-\\x0D]"), F.lit(False))
     # Grouped and joined by the same key: the texts are shuffled once.
     rows = docs.filter(has_words).withColumn("__row", row_key()).dropDuplicates(["__row"])

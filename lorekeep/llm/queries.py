@@ -95,7 +95,7 @@ def op8_balanced_shards(spark, folder):
 
 @query
 def op9_near_duplicates(spark, folder):
-    return jaccard.near_duplicates(table(spark, folder, "documents"), jaccard.SHINGLE, jaccard.SIMILARITY).drop("row")
+    return jaccard.near_duplicates(table(spark, folder, "documents"), jaccard.SHINGLE, jaccard.SIMILARITY).drop("row", "root")
 
 
 @query

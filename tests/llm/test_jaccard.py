@@ -113,3 +113,11 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_of_each_component(spark):
+    """Components without any id, or with an id in common, are not one component."""
+    words = lambda k: " ".join(f"{'abcdef'[k]}{j}" for j in range(30))
+    rows = [(None, words(0)), (None, words(0) + " z"), (None, words(1)), (None, words(2)), (7, words(3)), (7, words(4)), (8, words(4))]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text[0] for r in kept) == ["a", "b", "c", "d", "e"]

@@ -198,7 +198,8 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     ordered by start and kind."""
     keyed = docs.select("doc_id", row_key().alias("row"), "text")
     found = cut_lineage(map_texts(keyed, FOUND, _scan, ["doc_id", "row"]))
-    each = found.select("row", F.explode("found").alias("f")).distinct().select("row", "f.*")
+    # Repeated rows count as often as they do among all occurrences of a pattern.
+    each = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
     good = good_patterns(docs, each)
     named = each.filter("kind is null").join(apart(good), "pattern").groupBy("row").agg(
         F.collect_set(F.struct("start", "end", F.lit("context").alias("kind"))).alias("more")

@@ -66,3 +66,9 @@ def test_mask_keeps_rows(spark, odd, read):
     assert len(rows) == docs.count()
     clean = Counter(tuple(r) for r in read(odd) if not brute.base(r.text, brute.PERSONAL))
     assert not clean - Counter(map(tuple, rows))
+
+
+def test_repeated_rows(contexts):
+    """A table in which every row stands twice names the same."""
+    spans = lambda df: {(r.doc_id, str(r.spans)) for r in personal.personal_spans(df).collect()}
+    assert spans(contexts.unionAll(contexts)) == spans(contexts)

@@ -4,7 +4,11 @@ Base patterns find e-mail and network addresses, cards and phone numbers. They a
 the two words before a finding are a lexical pattern. Patterns and what they precede (tokens
 with digits or ``@``) form a graph that Spark scores in ``ROUNDS`` rounds: a pattern is as good
 as the share of all its occurrences in the corpus that precede known entities, an instance is
-known by its patterns together. Good patterns then name what no base pattern finds.
+known by its patterns together. Instances of few digits (``FEW_DIGITS``: handles, local
+addresses, but also the numbers of everyday text) are named like all others, and count as known
+only by the share of their own occurrences that follow good patterns; else a common number that
+once follows one would make every pattern before numbers good. Good patterns then name what no
+base pattern finds.
 
 Texts are read twice: once for findings and their contexts, once to count every occurrence of
 the patterns (ordinary words after a pattern speak against it), of which a bitmap of fixed size
@@ -60,11 +64,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # What may be an identifier: a token with a digit or an at sign.
 _TOKEN = re.compile(r"[^\s\"'`,;:=<>(){}\[\]]*[0-9@][^\s\"'`,;:=<>(){}\[\]]*")
 QUICK = "[0-9@]"
-LEAST_DIGITS = 4
+# Below so many digits an instance may be an everyday number.
+FEW_DIGITS = 4
 # Bytes between the last word of a pattern and what it precedes, at most.
 GAP = 4
 _LETTER = byte_table(bytes([*range(97, 123), *range(128, 256)]))
-FOUND = "found array<struct<start: long, end: long, kind: string, instance: long, pattern: long>>"
+FOUND = "found array<struct<start: long, end: long, kind: string, instance: long, weak: boolean, pattern: long>>"
 
 
 def _digits(s: str) -> str:
@@ -127,7 +132,7 @@ def findings(text: str) -> list[dict]:
     for m in _TOKEN.finditer(text):
         # Not what a base span touches.
         k = bisect_right(begins, m.end() - 1)
-        if (k == 0 or reach[k - 1] <= m.start()) and len(_digits(m[0])) >= LEAST_DIGITS:
+        if k == 0 or reach[k - 1] <= m.start():
             spans.append((*m.span(), None))
     if not spans:
         return []
@@ -141,7 +146,9 @@ def findings(text: str) -> list[dict]:
         at = int(place(start))
         k = int(np.searchsorted(ends, at, side="right")) - 1
         pattern = int(hashes[k]) if k >= 0 and at - ends[k] <= GAP else None
-        out.append({"start": start, "end": end, "kind": kind, "instance": _instance(text[start:end]), "pattern": pattern})
+        token = text[start:end]
+        weak = kind is None and len(_digits(token)) < FEW_DIGITS
+        out.append({"start": start, "end": end, "kind": kind, "instance": _instance(token), "weak": weak, "pattern": pattern})
     return out
 
 
@@ -171,13 +178,16 @@ def _pattern_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def good_patterns(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``pattern, share`` of the patterns that name personal data. ``found`` has a row for each
-    finding: ``kind`` (null: unknown), ``instance``, ``pattern``."""
+    finding: ``kind`` (null: unknown), ``instance``, ``weak``, ``pattern``."""
     edges = found.filter("pattern is not null").groupBy("pattern", "instance").agg(
         F.count("*").alias("n"), F.max(F.col("kind").isNotNull()).alias("seed")
     )
     enough = edges.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= LEAST_INSTANCES)
     edges = cut_lineage(edges.join(apart(enough.select("pattern")), "pattern"))
     totals = cut_lineage(_pattern_counts(docs, edges.select("pattern").distinct()).join(edges.select("pattern").distinct(), "pattern"))
+    # Occurrences of weak instances, whatever precedes them.
+    weak = found.filter("weak").groupBy("instance").agg(F.count("*").alias("occurs"))
+    weak = cut_lineage(weak.join(edges.select("instance").distinct(), "instance", "left_semi"))
     score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(ROUNDS):
         known = edges.join(apart(score), "instance")
@@ -188,8 +198,11 @@ def good_patterns(docs: DataFrame, found: DataFrame) -> DataFrame:
         by_pattern = edges.join(apart(share), "pattern")
         unsure = F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-6)))))
         score = by_pattern.groupBy("instance").agg(
-            F.when(F.max("seed"), 1.0).otherwise(F.when(F.max("share") >= LEAST_SHARE, 1 - unsure).otherwise(0.0)).alias("score")
+            F.when(F.max("seed"), 1.0).otherwise(F.when(F.max("share") >= LEAST_SHARE, 1 - unsure).otherwise(0.0)).alias("score"),
+            F.sum(F.when(F.col("share") >= LEAST_SHARE, F.col("n")).otherwise(0)).alias("behind"),
         )
+        own = F.when(F.col("occurs").isNull(), 1.0).otherwise(F.col("behind") / F.col("occurs"))
+        score = score.join(apart(weak), "instance", "left").select("instance", (F.col("score") * own).alias("score"))
     return share.filter(F.col("share") >= LEAST_SHARE)
 
 

@@ -72,3 +72,18 @@ def test_repeated_rows(contexts):
     """A table in which every row stands twice names the same."""
     spans = lambda df: {(r.doc_id, str(r.spans)) for r in personal.personal_spans(df).collect()}
     assert spans(contexts.unionAll(contexts)) == spans(contexts)
+
+
+def test_few_digits(spark):
+    """Identifiers of few digits or none are named by good patterns; everyday numbers that
+    follow one once make no pattern good."""
+    rows = [(k, f"please write to: me{k}@mail.org today") for k in range(40)]
+    tokens = ["user@localhost", "@handle", "j.doe@corp", "AB-123"]
+    rows += [(100 + k, f"or write to: {t} at once") for k, t in enumerate(tokens)]
+    rows += [(200 + k, f"you write to: {k} people") for k in range(5)]
+    rows += [(300 + 10 * k + j, f"see page number {k} here, in week number {k}, chapter {j}") for k in range(5) for j in range(6)]
+    found = {r.doc_id: r.spans for r in personal.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for k, t in enumerate(tokens):
+        assert [texts[100 + k][s.start : s.end] for s in found[100 + k]] == [t]
+    assert not any(found[k] for k in found if k >= 300)

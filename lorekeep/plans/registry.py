@@ -152,14 +152,21 @@ def index_synced(spark, folder):
 
 @query
 def index_stream(spark, folder):
-    source, target = fresh_path(spark, "changes"), fresh_path(spark, "index")
-    docs = i.vector_texts(spark, folder).withColumn("changed_at", F.lit(0))
-    docs.write.parquet(source)
+    """Texts arrive, change and go, then an old change of each comes late."""
+    source, target, checkpoint = (fresh_path(spark, x) for x in ("changes", "index", "checkpoint"))
+    docs = i.vector_texts(spark, folder).select("id", "text")
+    other = (-1 - F.col("id")).alias("id")
+    first = docs.select("id", F.concat("text", F.lit("!")).alias("text")).unionAll(docs.select(other, "text"))
+    latest = docs.unionAll(docs.select(other, F.lit(None).cast("string").alias("text")))
+    late = docs.select("id", F.concat("text", F.lit("?")).alias("text")).unionAll(docs.select(other, "text"))
     model = embedding.fit_embedder(docs, 64)
-    changes = spark.readStream.schema(docs.schema).parquet(source)
-    stream_index.start_index_sync(
-        changes, target, fresh_path(spark, "checkpoint"), lambda rows: embedding.embed(rows, "id", model)
-    ).awaitTermination()
+    for changed_at, rows in ((0, first), (2, latest), (1, late)):
+        rows = rows.withColumn("changed_at", F.lit(changed_at))
+        rows.write.mode("append").parquet(source)
+        changes = spark.readStream.schema(rows.schema).parquet(source)
+        stream_index.start_index_sync(
+            changes, target, checkpoint, lambda rows: embedding.embed(rows, "id", model)
+        ).awaitTermination()
     return stream_index.current_index(spark.read.parquet(target)).select(
         "id", "text_hash", F.size("embedding").cast("long").alias("dimensions")
     )

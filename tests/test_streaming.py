@@ -132,6 +132,24 @@ def test_index_follows_its_stream(spark):
     assert step([(1, "aaaa", 2), (2, None, 3), (3, "c", 3)]) == {1: [4.0], 3: [1.0]}
 
 
+def test_index_keeps_the_latest_change(spark):
+    """An old change that comes late, and a new checkpoint on the same target."""
+    folder, target = fresh_path(spark, "in"), fresh_path(spark, "out")
+    schema = "id long, text string, changed_at int"
+    embed = lambda rows: rows.select("id", F.array(F.length("text").cast("float")).alias("embedding"))
+
+    def step(rows, folder, checkpoint):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        index.start_index_sync(stream, target, checkpoint, embed).awaitTermination()
+        return {r["id"]: r["embedding"] for r in index.current_index(spark.read.parquet(target)).collect()}
+
+    checkpoint = fresh_path(spark, "cp")
+    assert step([(1, "aaa", 5), (2, "b", 0), (3, None, 5)], folder, checkpoint) == {1: [3.0], 2: [1.0]}
+    assert step([(1, "a", 1), (3, "old", 1)], folder, checkpoint) == {1: [3.0], 2: [1.0]}
+    assert step([(4, "dd", 0)], fresh_path(spark, "in"), fresh_path(spark, "cp")) == {1: [3.0], 2: [1.0], 4: [2.0]}
+
+
 def test_rollup_rules(spark):
     rows = [
         event(1, "session_start", 0, "s", "c", "t"),

@@ -19,7 +19,104 @@ _PLAIN = r"[^\x20\x09-\x0D]+"
 _WINDOWS = {5: 0.45, 6: 0.44, 7: 0.43, 8: 0.42, 9: 0.41, 10: 0.40}
 _LINES = 0.45
 
+# Operator 11: crc32 of a text of ASCII, bit by bit; edits of a row from one state to another.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: list_transform(range(8), lambda b: (ascii(c) >> b) & 1))),
+    lambda x, b: xor(x >> 1, (xor(x, b) & 1) * 3988292384), 4294967295), 4294967295)"""
+_GAP = r"[^\x20\x09-\x0D]"
+
+
+def _clusters(rounds: int) -> str:
+    """Operator 12: assignments ``a0`` and on, and the centroids that follow from each."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (
+            SELECT row, x, min({{'d': CAST(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c}}) AS best
+            FROM kept, c{r} GROUP BY row, x)""")
+        parts.append(f"""c{r + 1} AS (
+            SELECT c, coalesce(m.y, o.y) AS y FROM c{r} o LEFT JOIN (
+                SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS y FROM (
+                    SELECT best.c AS c, j, sum(x[j]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(j) GROUP BY ALL) GROUP BY c) m USING (c))""")
+    return ", ".join(parts)
+
+
 ORACLE = {
+    "op11_conversation_repair": f"""
+        WITH RECURSIVE source AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations),
+        damaged AS (
+            SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM source, range(2) c(n) WHERE code <> 0 AND (n = 0 OR code = 3)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, role[1] AS i FROM damaged),
+        judged AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '{_GAP}') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+                lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS i_before FROM placed),
+        inserted(s, m, letters, said) AS (VALUES
+            ('0', '0', '', []), ('0', 'u', 'I', ['user:']), ('0', 'a', 'II', ['user:', 'assistant:']),
+            ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']),
+            ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('a', 'a', '', []), ('a', 'u', 'I', ['user:'])),
+        follows(m, t) AS (VALUES ('0', 's'), ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+        options AS (
+            SELECT m AS m, 'D' AS letter, m AS t FROM (SELECT DISTINCT m FROM inserted)
+            UNION ALL SELECT m, 'K', t FROM follows UNION ALL SELECT m, 'R', t FROM follows WHERE t <> 's'),
+        moves AS (SELECT s, letters, said, letter, t FROM inserted JOIN options USING (m)),
+        walked AS (
+            SELECT conv_id, 0::BIGINT AS k, '0' AS s, {{'cost': 0, 'audit': '', 'said': []::VARCHAR[]}} AS best FROM (SELECT DISTINCT conv_id FROM placed)
+            UNION ALL
+            SELECT w.conv_id, w.k + 1, v.t, min({{
+                'cost': best.cost + 2 * length(letters) + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END,
+                'audit': best.audit || letters || letter,
+                'said': best.said || v.said || CASE letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [role || ':' || text]
+                    ELSE [CASE v.t WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] END}})
+            FROM walked w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.k = w.k + 1
+            JOIN moves v ON v.s = w.s AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (letter <> 'K' OR v.t = i)
+            GROUP BY w.conv_id, w.k, v.t),
+        closing(s, more, letters, said) AS (VALUES ('0', 0, '', []), ('a', 0, '', []), ('u', 2, 'I', ['assistant:']), ('s', 4, 'II', ['user:', 'assistant:'])),
+        ended AS (
+            SELECT w.conv_id, min({{'cost': best.cost + more, 'audit': best.audit || letters, 'said': best.said || c.said}}) AS best
+            FROM walked w JOIN closing c USING (s) JOIN (SELECT conv_id, max(k) AS k FROM placed GROUP BY conv_id) n
+                ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.k = w.k GROUP BY w.conv_id),
+        counted AS (
+            SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (i_before || i NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+               coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
+    "op12_centroid_clusters": f"""
+        WITH kept AS (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+        c0 AS (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x AS y
+            FROM kept QUALIFY c < 16),
+        {_clusters(3)},
+        found AS (SELECT vec_id, best.c AS cluster, best.d AS distance FROM a3 JOIN kept USING (row)),
+        sums AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM found GROUP BY cluster)
+        SELECT vec_id, cluster::INT AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM found) AS inertia,
+               sha256(array_to_string(y, ',')) AS centroid_sha256
+        FROM found JOIN sums USING (cluster) JOIN c3 ON c = cluster""",
+    "op13_near_vectors": """
+        WITH RECURSIVE vectors AS (
+            SELECT row_number() OVER () AS row, vec_id, CASE
+                WHEN len(e) > 0 AND len(list_filter(e, lambda v: v IS NOT NULL AND isfinite(v))) = len(e) AND list_dot_product(e, e) > 0 THEN e END AS e
+            FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+        links AS (
+            SELECT a.row AS a, b.row AS b FROM vectors a JOIN vectors b ON a.row <> b.row AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reached AS (
+            SELECT row, row AS other FROM vectors
+            UNION SELECT r.row, l.b FROM reached r JOIN links l ON l.a = r.other),
+        least AS (SELECT r.row, min(v.vec_id) AS component_id FROM reached r JOIN vectors v ON v.row = r.other GROUP BY r.row),
+        counts AS (SELECT a AS row, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM vectors JOIN least USING (row) LEFT JOIN counts USING (row)""",
     "op9_near_duplicates": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '{_PLAIN}') AS w FROM documents),

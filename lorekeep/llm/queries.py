@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, decontaminate, jaccard, language, packed, personal, quality, repetition, secrets, sharding
+from lorekeep.llm import (
+    bpe,
+    caps,
+    centroids,
+    conversation,
+    decontaminate,
+    jaccard,
+    language,
+    packed,
+    personal,
+    quality,
+    repetition,
+    secrets,
+    sharding,
+)
 from lorekeep.llm.common import table
 from lorekeep.session import fresh_path
 
@@ -101,3 +115,19 @@ def op9_near_duplicates(spark, folder):
 @query
 def op10_quality_rules(spark, folder):
     return repetition.quality_rules(table(spark, folder, "documents"), ["doc_id"])
+
+
+@query
+def op11_conversation_repair(spark, folder):
+    rows = table(spark, folder, "conversations")
+    return conversation.digests(rows, conversation.damage(rows))
+
+
+@query
+def op12_centroid_clusters(spark, folder):
+    return centroids.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_near_vectors(spark, folder):
+    return caps.near_vectors(table(spark, folder, "embeddings"))

@@ -8,7 +8,7 @@ from lorekeep.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     got = QUERIES[name](spark, small).toPandas()
     want = con.execute(ORACLE[name]).fetchdf()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# So many intermediate results are written before plans that are done are let go.
+RELEASE_EVERY = 6
+_written = itertools.count(1)
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,12 +50,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the broadcasts and shuffle files that no plan can reach any more. It
+    does so when the driver's JVM collects their handles, by itself only twice an hour; a job of
+    many short stages would carry them all, on the driver and on the executors' disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that it is computed once
     and survives the loss of executors."""
-    path = fresh_path(df.sparkSession, "stage")
+    spark = df.sparkSession
+    path = fresh_path(spark, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if next(_written) % RELEASE_EVERY == 0:
+        release(spark)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def apart(df: DataFrame) -> DataFrame:

@@ -101,15 +101,47 @@ def map_texts(docs: DataFrame, added: str, function: Callable[[Texts], dict], ca
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *new.fields]))
 
 
+# Bytes of a bitmap in one row of a shuffle.
+BITMAP_ROW = 1 << 12
+
+
+def _bitmap_rows(bitmap: np.ndarray) -> pa.RecordBatch:
+    """A bitmap as rows of ``BITMAP_ROW`` bytes, those without any bit left out."""
+    rows = bitmap.reshape(-1, min(BITMAP_ROW, len(bitmap)))
+    at = np.flatnonzero(rows.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([rows[k].tobytes() for k in at], pa.binary())], names=["row", "bits"])
+
+
 def seen_bits(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size with the bit of every ``key`` (long) of ``keys`` set; the driver
-    gets ``bits`` / 64 rows of a word at most, whatever the input."""
-    at = keys.select(F.expr(f"cast(pmod(key, {bits}) as int)").alias("bit"))
-    words = at.groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("set"))
-    bitmap = np.zeros(bits // 64, "<i8")
-    for batch in words.toArrow().to_batches():
-        bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return bitmap.view(np.uint8)
+    """A bitmap of fixed size (a power of two) with the bit of every key (a long, the first
+    column of ``keys``) set. Tasks set bits, and join what they have set; the driver gets a
+    few thousand binary rows at most, whatever the input."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            bit = np.unique(batch.column(0).drop_null().to_numpy() % bits)
+            np.bitwise_or.at(bitmap, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+        yield _bitmap_rows(bitmap)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            _set_rows(bitmap, batch)
+        yield _bitmap_rows(bitmap)
+
+    schema = "row int, bits binary"
+    joined = keys.mapInArrow(mark, schema).repartition("row").mapInArrow(join, schema)
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for batch in joined.toArrow().to_batches():
+        _set_rows(bitmap, batch)
+    return bitmap
+
+
+def _set_rows(bitmap: np.ndarray, batch: pa.RecordBatch) -> None:
+    for row, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+        part = np.frombuffer(part.as_buffer(), np.uint8)
+        bitmap[row * len(part) : (row + 1) * len(part)] |= part
 
 
 def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:

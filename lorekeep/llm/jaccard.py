@@ -150,7 +150,8 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """Per row of ``docs``: class, size and prefix of its set, rarest first, and the bitmap."""
+    """Per row of ``docs``: class, size and prefix of its set, rarest first, and the bitmap.
+    Written, so that the counters need not stay on the driver and in every task."""
     order = docs.sparkSession.sparkContext.broadcast(rarity(docs, size))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,9 @@ def signatures(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataF
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CLASS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(sign, CLASS)
+    signed = cut_lineage(rows.mapInArrow(sign, CLASS))
+    order.destroy()
+    return signed
 
 
 def _overlap(num: int, den: int) -> Column:
@@ -220,8 +223,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``cls, shingles`` of the classes in ``wanted`` (``cls``, ``text_key``). A fixed map of
-    bits says which texts to read; a collision sends a set that no pair asks for."""
+    """``cls, shingles`` of the classes in ``wanted`` (``cls``, ``text_key``), written. A fixed map
+    of bits says which texts to read; a collision sends a set that no pair asks for."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(seen_bits(wanted.select(F.col("text_key").alias("key")), WANTED))
 
@@ -236,14 +239,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     texts = docs.select(F.xxhash64("text").alias("key"), "text")
     found = texts.mapInArrow(read, "cls long, shingles binary")
-    return found.groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    sets = cut_lineage(found.groupBy("cls").agg(F.first("shingles").alias("shingles")))
+    known.destroy()
+    return sets
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The ``pairs`` whose whole sets have the wanted similarity."""
     pairs = cut_lineage(pairs)
     ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = cut_lineage(_sets(docs, classes.select("cls", "text_key").join(ends, "cls", "left_semi"), size))
+    sets = _sets(docs, classes.select("cls", "text_key").join(ends, "cls", "left_semi"), size)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +283,9 @@ def _postings(classes: DataFrame) -> DataFrame:
             rows = batch.select(names).take(pa.array(owner))
             yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), pa.array(place), *rows.columns], names=["token", "place", *names])
 
-    return cut_lineage(classes.select("prefix", *names).mapInArrow(post, "token long, place long, " + ", ".join(f"{n} long" for n in names)))
+    written = cut_lineage(classes.select("prefix", *names).mapInArrow(post, "token long, place long, " + ", ".join(f"{n} long" for n in names)))
+    known.destroy()
+    return written
 
 
 def _rooted(postings: DataFrame, roots: DataFrame) -> DataFrame:
@@ -310,7 +317,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int,
     class) tells components apart that have the same least ``doc_id`` or none."""
     small_batches(docs.sparkSession)
     num, den = similarity
-    signed = cut_lineage(signatures(docs, size, similarity))
+    signed = signatures(docs, size, similarity)
     first = [F.first(c).alias(c) for c in ("prefix", *BITS, "parity")]
     classes = cut_lineage(
         signed.filter("cls is not null")

@@ -1,22 +1,45 @@
 import hashlib
+import re
 from collections import Counter
 
 import brute
 import corpus_pipeline
 import numpy as np
 import pytest
-from test_jaccard import clusters, shingle_set
 
 from lorekeep.llm import personal
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return frozenset(zip(*(words[k:] for k in range(5)))) if len(words) > 4 else frozenset([tuple(words)] if words else [])
+
+
+def near(sets):
+    """Per set the first one that links of 0.8 or more reach."""
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 10 * both >= 8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(len(sets))]
+
+
 def by_hand(rows, items, context):
     """The pipeline text by text; ``context``: spans that bootstrapped patterns add."""
     kept = [r for r in rows if any(c.isalpha() for c in r.text or "")]
     kept.sort(key=lambda r: r.doc_id)
-    found = clusters([shingle_set(r.text) for r in kept])
+    found = near([five_words(r.text) for r in kept])
     kept = [r for k, r in enumerate(kept) if found[k] == k]
     dirty = brute.contamination({r.doc_id: r.text for r in kept}, items)
     kept = [r for r in kept if not dirty[r.doc_id][4]]

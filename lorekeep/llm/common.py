@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch holds, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def row_key() -> Column:
@@ -105,11 +105,13 @@ def map_texts(docs: DataFrame, added: str, function: Callable[[Texts], dict], ca
 BITMAP_ROW = 1 << 12
 
 
-def _bitmap_rows(bitmap: np.ndarray) -> pa.RecordBatch:
-    """A bitmap as rows of ``BITMAP_ROW`` bytes, those without any bit left out."""
+def _bitmap_rows(bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A bitmap as rows of ``BITMAP_ROW`` bytes, a few at a time, those without any bit left out."""
     rows = bitmap.reshape(-1, min(BITMAP_ROW, len(bitmap)))
-    at = np.flatnonzero(rows.any(axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([rows[k].tobytes() for k in at], pa.binary())], names=["row", "bits"])
+    found = np.flatnonzero(rows.any(axis=1))
+    for k in range(0, len(found), 64):
+        at = found[k : k + 64]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([rows[j].tobytes() for j in at], pa.binary())], names=["row", "bits"])
 
 
 def seen_bits(keys: DataFrame, bits: int) -> np.ndarray:
@@ -122,13 +124,13 @@ def seen_bits(keys: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             bit = np.unique(batch.column(0).drop_null().to_numpy() % bits)
             np.bitwise_or.at(bitmap, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
-        yield _bitmap_rows(bitmap)
+        yield from _bitmap_rows(bitmap)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             _set_rows(bitmap, batch)
-        yield _bitmap_rows(bitmap)
+        yield from _bitmap_rows(bitmap)
 
     schema = "row int, bits binary"
     joined = keys.mapInArrow(mark, schema).repartition("row").mapInArrow(join, schema)

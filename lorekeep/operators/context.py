@@ -46,10 +46,10 @@ def valid_questions(questions: DataFrame, column: str = "query") -> DataFrame:
     return questions.withColumn(column, asked).filter(F.col(column).isNotNull() & (F.col(column) != ""))
 
 
-def attach_text(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Text of each retrieved id. Search ranks ids alone; texts, which are far larger
-    than vectors, are read for the k winners only."""
-    return found.join(texts.select("id", "text"), "id").select("query_id", "rank", "id", "distance", "text")
+def attach_text(found: DataFrame, texts: DataFrame, *carry: str) -> DataFrame:
+    """Text, and the columns ``carry``, of each retrieved id. Search ranks ids alone; texts,
+    which are far larger than vectors, are read for the k winners only."""
+    return found.join(texts.select("id", "text", *carry), "id").select("query_id", "rank", "id", "distance", "text", *carry)
 
 
 def previews(found: DataFrame, size: int = 150) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import chunking, context, embedding, graph, knn, stats
+from lorekeep.operators import cells, chunking, context, embedding, graph, knn, stats
 from lorekeep.sources.corpus import corpus_scan, plain_texts
 from lorekeep.sources.tables import Store
 
@@ -22,9 +22,10 @@ def build_index(
     overlap: int = 200,
     dimensions: int = 256,
     with_graph: bool = False,
+    with_cells: bool = False,
 ) -> DataFrame:
-    """Chunk, vector and, if asked for, graph tables of all files below ``folder``.
-    Returns ``name, n``. Each step reads the table the one before has written."""
+    """Chunk, vector and, if asked for, graph tables and an index of cells of all files below
+    ``folder``. Returns ``name, n``. Each step reads the table the one before has written."""
     files = plain_texts(corpus_scan(spark, folder))
     docs = files.select(F.md5("source").alias("doc_id"), "text", "source")
     cut = chunking.chunk_recursive(docs, size, overlap)
@@ -32,6 +33,9 @@ def build_index(
     model = embedding.fit_embedder(chunks, dimensions)
     model.write().overwrite().save(store.path(EMBEDDER))
     tables = {"chunks": chunks, "vectors": store.write_vectors(embedding.embed(chunks, "id", model))}
+    if with_cells:
+        lists, model = cells.build_cells(tables["vectors"])
+        tables["lists"] = store.write_cells(lists, cells.model_rows(spark, model))
     if with_graph:
         found = graph.extract_entities(chunks.select("id", "text"))
         if store.write_graph(graph.graph_vertices(found), graph.graph_edges(found)):
@@ -39,16 +43,25 @@ def build_index(
     return stats.table_counts(tables)
 
 
-def retrieve(store: Store, questions: DataFrame, k: int = 4) -> DataFrame:
-    """``query_id, rank, id, distance, text`` for ``query_id, query``."""
+def retrieve(store: Store, questions: DataFrame, k: int = 4, *, method: str = "exact") -> DataFrame:
+    """``query_id, rank, id, distance, text, source`` for ``query_id, query``. ``method`` is
+    "exact" or "cells", the approximate search over the store's index of cells."""
     asked = context.valid_questions(questions).select("query_id", F.col("query").alias("text"))
-    vectors = embedding.embed(asked, "query_id", PipelineModel.load(store.path(EMBEDDER)))
-    return context.attach_text(knn.knn(vectors, store.read("vectors"), k), store.read("rag_documents"))
+    asked = embedding.embed(asked, "query_id", PipelineModel.load(store.path(EMBEDDER)))
+    vectors = store.read("vectors")
+    if method == "cells":
+        found = cells.search_cells(asked, vectors, store.read("vector_lists"), cells.read_model(store.read("vector_model")), k)
+    elif method == "exact":
+        found = knn.knn(asked, vectors, k)
+    else:
+        raise ValueError(f"no method {method}: exact or cells")
+    return context.attach_text(found, store.read("rag_documents"), "source")
 
 
-def ask(store: Store, questions: DataFrame, k: int = 4) -> DataFrame:
+def ask(store: Store, questions: DataFrame, k: int = 4, *, method: str = "exact") -> DataFrame:
     """``query_id, messages`` from the nearest chunks."""
-    return context.prompts(context.valid_questions(questions), context.format_context(retrieve(store, questions, k)))
+    found = retrieve(store, questions, k, method=method)
+    return context.prompts(context.valid_questions(questions), context.format_context(found))
 
 
 def ask_graph(store: Store, questions: DataFrame, k: int = 5) -> DataFrame:

@@ -516,6 +516,7 @@ ORACLE: dict[str, str] = {
         )
     ),
     # Retrieval and prompts
+    "knn_cells_all": sql(f"SELECT query_id, rank, id, {six('distance')} FROM ranked WHERE rank <= 4"),
     "knn_l2": sql(f"SELECT query_id, rank, id, {six('distance')} FROM ranked WHERE rank <= 4"),
     "knn_preview": sql(f"SELECT query_id, rank, id, {six('distance')}, {preview('text', 150)} AS preview FROM found WHERE rank <= 3"),
     "retrieve_chunks": sql(f"SELECT query_id, rank, id, {six('distance')}, text FROM found"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
-from lorekeep.operators import chunking, context, embedding, events, graph, knn, metrics, rollups, stats
+from lorekeep.operators import cells, chunking, context, embedding, events, graph, knn, metrics, rollups, stats
 from lorekeep.operators.similarity import pair_similarity
 from lorekeep.plans import inputs as i
 from lorekeep.session import cut_lineage, fresh_path
@@ -527,6 +527,23 @@ def knn_lsh(spark, folder):
     return _long(_six(found, "distance"), "rank")
 
 
+@query
+def knn_cells(spark, folder):
+    lists, model = cells.build_cells(i.vectors(spark, folder))
+    found = cells.search_cells(i.vector_questions(spark, folder), i.vectors(spark, folder), lists, model, 4)
+    return _long(_six(found, "distance"), "rank")
+
+
+@query
+def knn_cells_all(spark, folder):
+    """All cells and codes: the same rows as the exact search."""
+    vectors = i.vectors(spark, folder)
+    lists, model = cells.build_cells(vectors)
+    everything = {"probes": len(model.centres), "shortlist": 1 << 20}
+    found = cells.search_cells(i.vector_questions(spark, folder), vectors, lists, model, 4, **everything)
+    return _long(_six(found, "distance"), "rank")
+
+
 @query
 def knn_preview(spark, folder):
     return _long(_six(context.previews(_retrieved(spark, folder, 3)), "distance"), "rank")

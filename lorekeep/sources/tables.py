@@ -93,6 +93,11 @@ class Store:
         writer.saveAsTable(self.name("vectors"))
         return self.read("vectors")
 
+    def write_cells(self, lists: DataFrame, model: DataFrame) -> DataFrame:
+        """The index of cells: lists in order of their cells, and its model."""
+        self.overwrite("vector_model", model)
+        return self.overwrite("vector_lists", lists)
+
     def write_graph(self, vertices: DataFrame, edges: DataFrame) -> bool:
         """Both graph tables, or neither if one has no rows."""
         if vertices.isEmpty() or edges.isEmpty():

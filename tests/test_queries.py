@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from lorekeep.plans.oracle import ORACLE
 from lorekeep.plans.registry import QUERIES
 
-WITHOUT_SQL = {"embed_chunks", "chunk_recursive", "chunk_recursive_500", "retrieve_text", "knn_lsh"}
+WITHOUT_SQL = {"embed_chunks", "chunk_recursive", "chunk_recursive_500", "retrieve_text", "knn_lsh", "knn_cells"}
 
 
 @pytest.fixture(scope="module")

@@ -321,6 +321,18 @@ STEPS |= {
 }
 
 
+def _late(key: str, rolled: str, span: str, carry: str, active: str | None) -> str:
+    """Roll-ups where an open key without an event for three days has timed out."""
+    end = "CASE WHEN late THEN last_activity ELSE end_time END"
+    rest = f", strftime(last_activity, {STAMP}) AS last_activity, {active} AND NOT late AS {active}" if active else ""
+    return sql(
+        f"""SELECT r.{key}, {carry}, strftime(start_time, {STAMP}) AS start_time, strftime({end}, {STAMP}) AS end_time,
+        round((epoch_us({end}) - epoch_us(start_time)) / 1e6, 6) AS duration_seconds{rest}, late AS timed_out
+        FROM {rolled} r JOIN (SELECT {key}, NOT closes AND finish + INTERVAL 3 DAY < (SELECT max(ts) FROM telemetry) AS late
+          FROM {span}) USING ({key})"""
+    )
+
+
 def sql(select: str) -> str:
     """``select`` with the steps it rests on put before it."""
     needed: list[str] = []
@@ -622,6 +634,15 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, lead(text) OVER w AS next, lead(role) OVER w AS next_role FROM conversations
           WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) u WHERE role = 'user' AND next_role = 'assistant'""",
     # Streams
+    "stream_sessions_late": _late("session_id", "sessions", "session_span", "user_id, interaction_count", "is_active"),
+    "stream_conversations_late": _late("conversation_id", "conversations_rolled", "conversation_span", "r.session_id, turn_count", "is_active"),
+    "stream_turns_late": _late(
+        "turn_id", "turns_rolled", "turn_span",
+        "r.conversation_id, r.session_id, query, response, response_time_seconds, query_length, response_length, is_complete", None,
+    ),
+    "stream_sink_days": sql(
+        f"SELECT {_TEL_COLUMNS}, strftime(ts, {STAMP}) AS timestamp, data, metadata, strftime(ts, {STAMP}) AS created_at FROM telemetry"
+    ),
     "stream_sink": sql(
         f"SELECT {_TEL_COLUMNS}, strftime(ts, {STAMP}) AS timestamp, data, metadata, strftime(ts, {STAMP}) AS created_at FROM telemetry"
     ),

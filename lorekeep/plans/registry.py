@@ -18,6 +18,7 @@ from lorekeep.sources import corpus
 from lorekeep.sources.schemas import SCHEMAS
 from lorekeep.sources.tables import DAY, Store
 from lorekeep.streaming import index as stream_index
+from lorekeep.streaming import rolling
 from lorekeep.streaming import lifecycle as live
 from lorekeep.streaming import sink
 
@@ -849,3 +850,47 @@ def stream_conversations(spark, folder):
 def stream_turns(spark, folder):
     return _long(_closed(spark, folder, "turn"), "query_length", "response_length").drop("is_active")
 
+
+# A session, conversation or turn without an event for so long, in seconds, has timed out.
+IDLE = 3 * 86400
+
+
+def _rolled(spark, folder, level: str) -> DataFrame:
+    """Roll-ups of a stream of three micro-batches: the second half of the events, then half of
+    the first half, late, then the rest, which corrects what was closed meanwhile."""
+    rows, source, target = i.lifecycle_events(spark, folder), fresh_path(spark, "events"), fresh_path(spark, f"{level}s")
+    late, even = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"), F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    for part in (~late, late & even, late & ~even):
+        rows.filter(part).repartition(2).write.mode("append").parquet(source)
+    stream = sink.read_events(spark, source, rows.schema, max_files=2)
+    rolling.start_rolling(stream, level, target, fresh_path(spark, "checkpoint"), idle_seconds=IDLE, drain=True).awaitTermination()
+    return _times(rolling.Rolling(spark, level, target).table())
+
+
+@query
+def stream_sessions_late(spark, folder):
+    return _long(_rolled(spark, folder, "session"), "interaction_count")
+
+
+@query
+def stream_conversations_late(spark, folder):
+    return _long(_rolled(spark, folder, "conversation"), "turn_count")
+
+
+@query
+def stream_turns_late(spark, folder):
+    return _long(_rolled(spark, folder, "turn"), "query_length", "response_length")
+
+
+@query
+def stream_sink_days(spark, folder):
+    """Events that are sent again on a later day, in batches of their own, are stored once."""
+    target, source = fresh_path(spark, "sink"), fresh_path(spark, "events")
+    rows = i.telemetry(spark, folder).withColumn("created_at", F.col("timestamp"))
+    again = rows.filter(F.col("interaction_type").isin("click", "query")).withColumn("created_at", F.timestamp_add("DAY", F.lit(40), "created_at"))
+    for part in (rows.filter("interaction_type <> 'scroll'"), again, rows):
+        part.repartition(2).write.mode("append").parquet(source)
+    stream = sink.read_events(spark, source, rows.schema, max_files=2)
+    sink.start_sink(stream, target, fresh_path(spark, "checkpoint"), drain=True).awaitTermination()
+    back = spark.read.schema(SCHEMAS["user_interactions"]).parquet(target).drop(DAY)
+    return _stamp(events.payload_json(back), "timestamp", "created_at")

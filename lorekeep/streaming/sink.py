@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lorekeep.session import cut_lineage
+from lorekeep.session import apart, cut_lineage
 from lorekeep.sources.schemas import conform, required
 from lorekeep.sources.tables import DAY
+from lorekeep.streaming.ledger import Ledger
 
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType, *, max_files: int | None = None) -> DataFrame:
@@ -21,22 +24,43 @@ def read_events(spark: SparkSession, folder: str, schema: T.StructType, *, max_f
 
 
 def append_new(rows: DataFrame, target: str) -> None:
-    """Append the rows whose ``event_id`` is not yet in the table below ``target``.
+    """Append the rows whose ``event_id`` is not yet in the table below ``target``, whatever the
+    day of either. Ids are looked up in the ledger beside the table, see :mod:`ledger`.
 
-    Only the ids of the days in ``rows`` are read, however late an event comes: nothing is
-    forgotten and no event is dropped for its age. Written again after a failure, a batch
-    adds nothing that is there already.
+    Nothing is forgotten and no event is dropped for its age. A batch that failed after its
+    events were written and before its ids were is found by the mark it left: the ids of the
+    table are then read once, and those of the batch that are there go to the ledger.
     """
-    spark = rows.sparkSession
+    spark, ids = rows.sparkSession, Ledger(rows.sparkSession, f"{target.rstrip('/')}_ids")
     kept = cut_lineage(rows.dropDuplicates(["event_id"]))
-    days = [r[0] for r in kept.select(DAY).distinct().collect()]
-    if not days:
-        return
     folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        there = spark.read.schema(kept.schema).parquet(target).filter(F.col(DAY).isin(days)).select("event_id")
-        kept = kept.join(there, "event_id", "left_anti")
-    kept.write.mode("append").partitionBy(DAY).parquet(target)
+    written = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if kept.isEmpty():
+        return
+    # A table from before there was a ledger, or a batch that was not ended.
+    if ids.begin() or (written and not ids.exists(ids.ids)):
+        _enter(target, kept, ids, written)
+    known = ids.known(kept.select("event_id"))
+    fresh = kept if known is None else cut_lineage(kept.join(apart(known), "event_id", "left_anti"))
+    if not fresh.isEmpty():
+        fresh.write.mode("append").partitionBy(DAY).parquet(target)
+        ids.add(fresh.select("event_id"))
+    ids.end()
+
+
+def _enter(target: str, rows: DataFrame, ids: Ledger, written: bool) -> None:
+    """Bring the ledger up to date with the events of a table: with all of them where there is
+    no ledger, else with those of a batch that was not ended."""
+    if not written:
+        return
+    there = rows.sparkSession.read.schema(rows.schema).parquet(target)
+    if ids.exists(ids.ids):
+        there = there.join(apart(rows.select("event_id")), "event_id", "left_semi")
+    there = cut_lineage(there.select("event_id").distinct())
+    known = ids.known(there)
+    missing = there if known is None else there.join(apart(known), "event_id", "left_anti")
+    if not missing.isEmpty():
+        ids.add(missing)
 
 
 def start_sink(
@@ -46,9 +70,9 @@ def start_sink(
 
     A batch every ``every``, or with ``drain`` all there is and then stop. Each event appears
     once, also when it is sent again, late, or after a restart. Rows without a required
-    value go to the folder ``target`` + ``_rejected`` and do not stop the stream.
+    value go to the folder ``target`` + ``_rejected``, by run, and do not stop the stream.
     """
-    folder = f"{target.rstrip('/')}_rejected"
+    folder = f"{target.rstrip('/')}_rejected/run={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
 
     def write(rows: DataFrame, batch: int) -> None:
         broken = F.lit(False)

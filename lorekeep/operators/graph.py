@@ -134,7 +134,7 @@ def seed_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return counted_edges(edges).join(ids, "src", "left_semi").select("src", "relationship", "dst", "n")
 
 
-def _with_grams(rows: DataFrame, text: str) -> DataFrame:
+def with_grams(rows: DataFrame, text: str) -> DataFrame:
     """A row, with ``gram``, for each distinct run of one to three characters of a text.
     Positions and sizes are rows and not lambdas, which keeps the work in generated code;
     of equal runs the first one stays."""
@@ -154,10 +154,10 @@ def match_vertices(questions: DataFrame, vertices: DataFrame, k: int = 5) -> Dat
     be among a question's first k, so each is cut to k before it meets the questions.
     """
     asked = questions.select("query_id", F.explode(F.array_distinct(keywords("query"))).alias("word"))
-    grams = _with_grams(vertices.select("id", F.lower("id").alias("low")), "low")
+    grams = with_grams(vertices.select("id", F.lower("id").alias("low")), "low")
     frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
     own = (
-        _with_grams(asked.select("word").distinct(), "word")
+        with_grams(asked.select("word").distinct(), "word")
         .filter(F.length("gram") == F.least(F.lit(3), F.length("word")))
         .join(apart(frequency), "gram", "left")
         .groupBy("word")
@@ -166,9 +166,14 @@ def match_vertices(questions: DataFrame, vertices: DataFrame, k: int = 5) -> Dat
     hits = grams.join(own, "gram").filter(F.contains("low", "word")).select("word", "id")
     first = Window.partitionBy("word").orderBy("id")
     few = hits.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k).drop("place")
+    return first_vertices(asked, few, k)
+
+
+def first_vertices(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, place``: a question's first k of the ``id``s found for its ``word``s."""
     order = Window.partitionBy("query_id").orderBy("id")
     return (
-        asked.join(apart(few), "word")
+        asked.join(apart(found), "word")
         .select("query_id", "id")
         .distinct()
         .withColumn("place", F.row_number().over(order))
@@ -184,6 +189,7 @@ def graph_context(
     *,
     direction: str = "out",
     page_lines: int = 50_000,
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, page, context``: the relationships that leave a question's vertices,
     or, with ``direction="both"``, those that leave or enter them, under each vertex.
@@ -194,9 +200,10 @@ def graph_context(
     one page take the lines of a vertex from a block that is made once for all of them; the
     lines of longer ones are numbered by sorted ranges, so no task holds all lines of a hot
     vertex. Questions without vertices have no row; those whose vertices have no edges
-    get a fixed text.
+    get a fixed text. ``seeds`` are the questions' vertices where they are known already, as
+    from a keyword index.
     """
-    seeds = match_vertices(questions, vertices, k)
+    seeds = match_vertices(questions, vertices, k) if seeds is None else seeds
     ids, counted = apart(seeds.select("id").distinct()), counted_edges(edges)
 
     def at(end: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import cells, chunking, context, embedding, graph, knn, stats
+from lorekeep.operators import cells, chunking, context, embedding, graph, keywords, knn, stats
+from lorekeep.session import cut_lineage
 from lorekeep.sources.corpus import corpus_scan, plain_texts
 from lorekeep.sources.tables import Store
 
@@ -24,8 +25,8 @@ def build_index(
     with_graph: bool = False,
     with_cells: bool = False,
 ) -> DataFrame:
-    """Chunk, vector and, if asked for, graph tables and an index of cells of all files below
-    ``folder``. Returns ``name, n``. Each step reads the table the one before has written."""
+    """Chunk, vector and, if asked for, graph tables with their keyword index, and an index of
+    cells of all files below ``folder``. Returns ``name, n``. Each step reads the table the one before has written."""
     files = plain_texts(corpus_scan(spark, folder))
     docs = files.select(F.md5("source").alias("doc_id"), "text", "source")
     cut = chunking.chunk_recursive(docs, size, overlap)
@@ -37,9 +38,10 @@ def build_index(
         lists, model = cells.build_cells(tables["vectors"])
         tables["lists"] = store.write_cells(lists, cells.model_rows(spark, model))
     if with_graph:
-        found = graph.extract_entities(chunks.select("id", "text"))
+        found = cut_lineage(graph.extract_entities(chunks.select("id", "text")))
         if store.write_graph(graph.graph_vertices(found), graph.graph_edges(found)):
             tables["vertices"], tables["edges"] = store.read_graph()
+            store.write_keywords(*keywords.build_keywords(tables["vertices"]))
     return stats.table_counts(tables)
 
 
@@ -65,9 +67,11 @@ def ask(store: Store, questions: DataFrame, k: int = 4, *, method: str = "exact"
 
 
 def ask_graph(store: Store, questions: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, messages`` from the graph; without graph tables the context is empty.
-    A context of several pages makes as many prompts."""
+    """``query_id, messages`` from the graph, with the vertices that the store's keyword index
+    finds, if it has one; without graph tables the context is empty. A context of several pages makes as many prompts."""
     asked, tables = context.valid_questions(questions), store.read_graph()
     if tables is None:
         return context.graph_prompts(asked, asked.select("query_id", F.lit("").alias("context")))
-    return context.graph_prompts(asked, graph.graph_context(asked, *tables, k))
+    index = store.read_keywords()
+    seeds = cut_lineage(keywords.search_keywords(asked, *index, k)) if index else None
+    return context.graph_prompts(asked, graph.graph_context(asked, *tables, k, seeds=seeds))

@@ -554,6 +554,14 @@ ORACLE: dict[str, str] = {
     ),
     "triples_valid": sql("SELECT doc_id, src, relationship, dst FROM edges WHERE lang NOT IN ('de', 'fr')"),
     "vertex_keyword": sql("SELECT query_id, id, place FROM seeds"),
+    "vertex_keyword_stored": sql("SELECT query_id, id, place FROM seeds"),
+    "vertex_runs": sql(
+        """SELECT gram, count(*) AS n, count(*) AS total FROM (
+          SELECT DISTINCT id, substr(low, place, width) AS gram, width FROM (
+            SELECT id, low, place, unnest([1, 2, 3]) AS width FROM (
+              SELECT id, lower(id) AS low, unnest(range(1, length(lower(id)) + 1)) AS place FROM vertices)))
+        WHERE length(gram) = width GROUP BY gram"""
+    ),
     "seed_edges": sql("SELECT src, relationship, dst, count(*) AS n FROM edges WHERE src IN (SELECT id FROM seeds) GROUP BY ALL"),
     "motif_one_hop": sql(
         """SELECT src, relationship, dst, count(*) AS n FROM edges
@@ -561,6 +569,7 @@ ORACLE: dict[str, str] = {
           AND dst IN (SELECT id FROM doc_names JOIN labels USING (doc_id)) GROUP BY ALL"""
     ),
     "graph_context": sql("SELECT query_id, page, context FROM graph_contexts"),
+    "graph_context_stored": sql("SELECT query_id, page, context FROM graph_contexts"),
     "graph_context_paged": sql("SELECT query_id, context FROM graph_contexts"),
     "graph_prompt": sql(
         f"""SELECT item_id AS query_id, {q(GRAPH_SYSTEM)} AS system_text, {fill(GRAPH_HUMAN, 'text', 'context')} AS human_text

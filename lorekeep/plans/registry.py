@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
-from lorekeep.operators import cells, chunking, context, embedding, events, graph, knn, metrics, rollups, stats
+from lorekeep.operators import cells, chunking, context, embedding, events, graph, keywords, knn, metrics, rollups, stats
 from lorekeep.operators.similarity import pair_similarity
 from lorekeep.plans import inputs as i
 from lorekeep.session import cut_lineage, fresh_path
@@ -638,6 +638,24 @@ def vertex_keyword(spark, folder):
     return _long(graph.match_vertices(i.questions(spark, folder), vertices), "place")
 
 
+def _keyword_index(spark, folder) -> tuple[DataFrame, DataFrame]:
+    vertices, _ = _graph(spark, folder)
+    return Store.scratch(spark).write_keywords(*keywords.build_keywords(vertices))
+
+
+@query
+def vertex_runs(spark, folder):
+    """The runs of the stored index, and how many vertices have them by its postings."""
+    _, postings = _keyword_index(spark, folder)
+    return postings.groupBy("gram").agg(F.sum(F.size("offsets")).cast("long").alias("n"), F.max("total").alias("total"))
+
+
+@query
+def vertex_keyword_stored(spark, folder):
+    index = _keyword_index(spark, folder)
+    return _long(keywords.search_keywords(i.questions(spark, folder), *index), "place")
+
+
 @query
 def seed_edges(spark, folder):
     vertices, edges = _graph(spark, folder)
@@ -654,6 +672,19 @@ def graph_context(spark, folder):
     return graph.graph_context(i.questions(spark, folder), *_graph(spark, folder))
 
 
+@query
+def graph_context_stored(spark, folder):
+    """The vertices of the questions from the stored index."""
+    store, asked = Store.scratch(spark), i.questions(spark, folder)
+    found = cut_lineage(i.extractions(spark, folder))
+    if not store.write_graph(graph.graph_vertices(found), graph.graph_edges(found)):
+        return graph.graph_context(asked, graph.graph_vertices(found), graph.graph_edges(found))
+    vertices, edges = store.read_graph()
+    index = store.write_keywords(*keywords.build_keywords(vertices))
+    seeds = cut_lineage(keywords.search_keywords(asked, *index))
+    return graph.graph_context(asked, vertices, edges, seeds=seeds)
+
+
 @query
 def graph_context_paged(spark, folder):
     """Pages of seven lines, put together again."""

@@ -15,6 +15,8 @@ from lorekeep.session import fresh_path, settings
 from lorekeep.sources.schemas import SCHEMAS, conform
 
 DAY = "created_date"
+# The tables of the keyword index.
+KEYWORDS = ("vertex_numbers", "vertex_postings")
 
 
 class Store:
@@ -99,9 +101,12 @@ class Store:
         return self.overwrite("vector_lists", lists)
 
     def write_graph(self, vertices: DataFrame, edges: DataFrame) -> bool:
-        """Both graph tables, or neither if one has no rows."""
+        """Both graph tables, or neither if one has no rows. A keyword index of earlier vertices
+        goes."""
         if vertices.isEmpty() or edges.isEmpty():
             return False
+        for table in KEYWORDS:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")
         self.overwrite("graph_vertices", vertices)
         self.overwrite("graph_edges", edges)
         return True
@@ -110,6 +115,19 @@ class Store:
         vertices, edges = self.read_if_present("graph_vertices"), self.read_if_present("graph_edges")
         return None if vertices is None or edges is None else (vertices, edges)
 
+    def write_keywords(self, vertices: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The keyword index: vertices by shard and number, postings by bucket, run and block."""
+        for table, rows, part, order in zip(KEYWORDS, (vertices, postings), ("shard", "bucket"), (["pos"], ["gram", "block"])):
+            # Sorted numbers are packed as their differences, runs without their common beginnings.
+            packed = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+            placed = rows.hint("rebalance", part).sortWithinPartitions(part, *order)
+            placed.write.mode("overwrite").format("parquet").options(**packed).partitionBy(part).saveAsTable(self.name(table))
+        return self.read_keywords()
+
+    def read_keywords(self) -> tuple[DataFrame, DataFrame] | None:
+        vertices, postings = map(self.read_if_present, KEYWORDS)
+        return None if vertices is None or postings is None else (vertices, postings)
+
     # Telemetry tables
 
     def create_telemetry_tables(self, replace: bool = False) -> None:

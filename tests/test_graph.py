@@ -160,7 +160,7 @@ def test_hot_keyword_and_copies(spark):
 @pytest.mark.parametrize("text,grams", [("aa", {"a", "aa"}), ("ab", {"a", "b", "ab"}), ("abcd", {"a", "b", "c", "d", "ab", "bc", "cd", "abc", "bcd"})])
 def test_grams(spark, text, grams):
     rows = spark.createDataFrame([(text,), ("",), (None,)], "t string")
-    got = [r["gram"] for r in g._with_grams(rows, "t").collect()]
+    got = [r["gram"] for r in g.with_grams(rows, "t").collect()]
     assert len(got) == len(set(got)) and set(got) == grams
 
 

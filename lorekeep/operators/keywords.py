@@ -69,16 +69,16 @@ def rarest_runs(words: DataFrame, postings: DataFrame) -> DataFrame:
     runs the one that the fewest vertices have. Words with a run that none has are left out."""
     runs = with_grams(words.select("word").distinct(), "word").filter(F.length("gram") == F.least(F.lit(3), F.length("word")))
     runs = runs.withColumn("bucket", _bucket("gram"))
-    heads = _within(postings, "bucket", runs).filter("before = 0").select("gram", "total", "last")
+    heads = postings.filter("before = 0").select("gram", "bucket", "total", "last")
     rarity = F.min(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "gram", "last")).alias("r")
-    rarest = runs.join(apart(heads), "gram", "left").groupBy("word").agg(rarity).filter("r.total > 0")
+    rarest = runs.join(heads, ["gram", "bucket"], "left").groupBy("word").agg(rarity).filter("r.total > 0")
     return rarest.select("word", "r.gram", "r.last").withColumn("bucket", _bucket("gram"))
 
 
 def _first_hits(words: DataFrame, vertices: DataFrame, postings: DataFrame, read: int, until: int, k: int) -> DataFrame:
     """``word, id``: the first k vertices that contain a word among those of its run's blocks
     that have at least ``read`` and less than ``until`` numbers before them."""
-    blocks = _within(postings, "bucket", words).filter((F.col("before") >= read) & (F.col("before") < until))
+    blocks = postings.filter((F.col("before") >= read) & (F.col("before") < until))
     # A word of one run occurs wherever the run does.
     offsets = F.when(F.length("word") <= 3, F.slice("offsets", 1, k)).otherwise(F.col("offsets"))
     at = blocks.select("gram", "block", "offsets").join(words.select("word", "gram"), "gram")
@@ -93,15 +93,15 @@ def _first_hits(words: DataFrame, vertices: DataFrame, postings: DataFrame, read
 
 def search_keywords(questions: DataFrame, vertices: DataFrame, postings: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, id, place`` as :func:`lorekeep.operators.graph.match_vertices` gives them, from
-    the two tables of an index. Lists are read in rounds, each ``GROWTH`` times as far as the one
-    before; a word leaves when it has k vertices or its list ends."""
+    the two tables of an index. Lists are read in rounds, ``BLOCK`` numbers in the first, each
+    ``GROWTH`` times as far as the one before; a word leaves when it has k vertices or its list ends."""
     asked = questions.select("query_id", F.explode(F.array_distinct(keywords("query"))).alias("word"))
     left = cut_lineage(rarest_runs(asked, postings))
     found = left.select("word", F.col("word").alias("id")).limit(0)
-    read, until = 0, 1
+    postings, read, until = _within(postings, "bucket", left), 0, BLOCK
     while not left.isEmpty():
         found = found.unionByName(_first_hits(left, vertices, postings, read, until, k))
         full = found.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-        read, until = until, max(until, BLOCK) * GROWTH
+        read, until = until, until * GROWTH
         left = cut_lineage(left.filter(F.col("last") >= read).join(apart(full), "word", "left_anti"))
     return first_vertices(asked, found, k)

@@ -70,7 +70,7 @@ def test_a_word_leaves_when_it_is_full(spark, small_blocks, monkeypatch):
     got = {n: [r.id for r in sorted(rows, key=lambda r: r.place) if r.query_id == n] for n in (1, 2, 3)}
     assert got[1] == got[2] == [f"abcd {k:04}" for k in range(3)]
     assert got[3] == ["zbcd abc bcde abcde"]
-    assert read == [(0, 1, ["abc", "abcd", "abcde"])]
+    assert read == [(0, 4, ["abc", "abcd", "abcde"])]
 
 
 def test_a_long_list_is_read_to_its_end(spark, small_blocks, monkeypatch):
@@ -81,7 +81,7 @@ def test_a_long_list_is_read_to_its_end(spark, small_blocks, monkeypatch):
     index = stored(spark, [f"a{k:03} xyz zxy yzx" for k in range(60)] + ["b xyzxy"])
     rows = keywords.search_keywords(spark.createDataFrame([(1, "xyzxy")], QUESTIONS), *index).collect()
     assert [(r.id, r.place) for r in rows] == [("b xyzxy", 1)]
-    assert rounds == [(0, 1), (1, 8), (8, 16), (16, 32), (32, 64)]
+    assert rounds == [(0, 4), (4, 8), (8, 16), (16, 32), (32, 64)]
 
 
 def test_only_needed_directories_are_read(spark):

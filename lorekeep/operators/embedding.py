@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
@@ -50,6 +53,46 @@ def embed_with(
     return rows.select(key, "text").mapInPandas(run, f"`{key}` {key_type}, embedding {EMBEDDING}")
 
 
+def hashed_terms(dimensions: int = 64) -> Callable[[pd.Series], pd.Series]:
+    """A function for ``embed_with`` that needs no fitting: how often the words of a text fall
+    into each of ``dimensions`` slots by md5, at unit length. A text without words has zeros."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        slots: dict[str, int] = {}
+
+        def vector(text: str | None) -> np.ndarray:
+            words = [w for w in re.split(r"[^a-z0-9]+", (text or "").lower()) if len(w) > 1]
+            for w in set(words) - slots.keys():
+                slots[w] = int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % dimensions
+            counts = np.bincount([slots[w] for w in words], minlength=dimensions).astype(float)
+            return (counts / max(np.sqrt(np.sum(counts * counts)), 1.0)).astype(np.float32)
+
+        return texts.map(vector)
+
+    return run
+
+
+def index_rows(texts: DataFrame, embedder: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``id, text_hash, embedding`` of ``id, text``: what an index that can be refreshed holds."""
+    hashes = texts.select("id", F.md5("text").alias("text_hash"))
+    return embedder(texts.select("id", "text")).join(hashes, "id").select("id", "text_hash", "embedding")
+
+
+def changed(source: DataFrame, index: DataFrame) -> DataFrame:
+    """``id, text_hash, action`` of the ids whose entry has to be inserted, updated or deleted.
+
+    Rows of ``source`` without an id or a text count as absent, so the entry of a text that
+    became null goes. Of several texts of one id the one with the least hash counts. Only
+    hashes are shuffled, no texts.
+    """
+    texts = source.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    new = texts.select("id", F.md5("text").alias("text_hash")).groupBy("id").agg(F.min("text_hash").alias("text_hash"))
+    old = index.select("id", F.col("text_hash").alias("old_hash"))
+    action = F.when(F.col("text_hash").isNull(), "delete").when(F.col("old_hash").isNull(), "insert").otherwise("update")
+    joined = new.join(old, "id", "full_outer").filter(~F.col("text_hash").eqNullSafe(F.col("old_hash")))
+    return joined.select("id", "text_hash", action.alias("action"))
+
+
 def refresh_plan(source: DataFrame, index: DataFrame) -> DataFrame:
     """What an index needs to follow its source: ``id, text, text_hash, action``.
 

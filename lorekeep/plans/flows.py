@@ -27,13 +27,11 @@ def build_index(
 ) -> DataFrame:
     """Chunk, vector and, if asked for, graph tables with their keyword index, and an index of
     cells of all files below ``folder``. Returns ``name, n``. Each step reads the table the one before has written."""
-    files = plain_texts(corpus_scan(spark, folder))
-    docs = files.select(F.md5("source").alias("doc_id"), "text", "source")
-    cut = chunking.chunk_recursive(docs, size, overlap)
-    chunks = store.write_chunks(cut.select(chunking.chunk_key().alias("id"), "text", "source"))
+    chunks = store.write_chunks(_chunks(spark, folder, size, overlap))
     model = embedding.fit_embedder(chunks, dimensions)
     model.write().overwrite().save(store.path(EMBEDDER))
-    tables = {"chunks": chunks, "vectors": store.write_vectors(embedding.embed(chunks, "id", model))}
+    rows = embedding.index_rows(chunks, lambda texts: embedding.embed(texts, "id", model))
+    tables = {"chunks": chunks, "vectors": store.write_index(rows)}
     if with_cells:
         lists, model = cells.build_cells(tables["vectors"])
         tables["lists"] = store.write_cells(lists, cells.model_rows(spark, model))
@@ -45,6 +43,26 @@ def build_index(
     return stats.table_counts(tables)
 
 
+def refresh_index(spark: SparkSession, folder: str, store: Store, *, size: int = 1200, overlap: int = 200) -> DataFrame:
+    """Bring the chunk table, the vectors and, if there is one, the index of cells up to the
+    files below ``folder``; ``size`` and ``overlap`` as the index was built with. Returns
+    ``action, n`` of the vectors. Chunks that did not change keep their vectors, the embedder
+    is the one the index was built with, and graph tables stay as they are."""
+    chunks = store.write_chunks(_chunks(spark, folder, size, overlap))
+    model = PipelineModel.load(store.path(EMBEDDER))
+    counts = store.refresh_index(chunks, lambda texts: embedding.embed(texts, "id", model))
+    if store.exists("vector_lists") and not counts.isEmpty():
+        lists, trained = cells.build_cells(store.read("vectors"))
+        store.write_cells(lists, cells.model_rows(spark, trained))
+    return counts
+
+
+def _chunks(spark: SparkSession, folder: str, size: int, overlap: int) -> DataFrame:
+    files = plain_texts(corpus_scan(spark, folder))
+    docs = files.select(F.md5("source").alias("doc_id"), "text", "source")
+    return chunking.chunk_recursive(docs, size, overlap).select(chunking.chunk_key().alias("id"), "text", "source")
+
+
 def retrieve(store: Store, questions: DataFrame, k: int = 4, *, method: str = "exact") -> DataFrame:
     """``query_id, rank, id, distance, text, source`` for ``query_id, query``. ``method`` is
     "exact" or "cells", the approximate search over the store's index of cells."""

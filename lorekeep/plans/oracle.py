@@ -404,6 +404,13 @@ _FLAGS = """contains(lower({0}), '[source:') AS has_sources, length({0}) > 100 A
     length({0}) < 1000 AS is_concise"""
 _TOPICS = "len(list_filter(['th', 'TION', source, lang], lambda t: contains(lower(text), lower(t))))"
 _SYNCED = "SELECT doc_id AS id, md5(text) AS text_hash, 64::BIGINT AS dimensions FROM documents"
+_HASHED = """
+    SELECT doc_id AS id, md5(text) AS text_hash, list_transform(n, lambda x: x / greatest(sqrt(list_sum(list_transform(n, lambda y: y * y))), 1)) AS v
+    FROM (SELECT doc_id, text, list_transform(range(64), lambda i: len(list_filter(slots, lambda s: s = i))::DOUBLE) AS n
+      FROM (SELECT doc_id, text, list_transform(
+          list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) > 1),
+          lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 64) AS slots FROM documents))"""
+_UNITS = "array_to_string(list_transform({}, lambda x: round(x::FLOAT::DOUBLE * 10000)::BIGINT), ',')"
 _TEL_COLUMNS = "event_id, session_id, conversation_id, turn_id, user_id, interaction_type, event_type"
 
 ORACLE: dict[str, str] = {
@@ -422,6 +429,11 @@ ORACLE: dict[str, str] = {
     "index_refresh": _PLAN,
     "index_synced": _SYNCED,
     "index_stream": _SYNCED,
+    "embed_hashed": f"SELECT id, {_UNITS.format('v')} AS vector FROM ({_HASHED})",
+    # Vectors of texts that were not labelled toxic stay, all others are made anew.
+    "index_written": f"""SELECT h.id, h.text_hash, {_UNITS.format(
+        "CASE WHEN e.vec_id IS NOT NULL AND coalesce(l.toxic, 0) <> 1 THEN e.embedding::DOUBLE[] ELSE h.v END"
+    )} AS vector FROM ({_HASHED}) h LEFT JOIN embeddings e ON e.vec_id = h.id LEFT JOIN labels l ON l.doc_id = h.id""",
     "telemetry_schema": sql(
         f"""SELECT c.table_name, c.column_name, n.row_count::BIGINT AS row_count FROM (VALUES {_TABLE_COLUMNS}) c(table_name, column_name)
         JOIN ({' UNION ALL '.join(f'SELECT {q(t)} AS table_name, {n} AS row_count' for t, n in _FILLED.items())}) n

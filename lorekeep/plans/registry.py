@@ -151,6 +151,27 @@ def index_synced(spark, folder):
     return fresh.select("id", "text_hash", F.size("embedding").cast("long").alias("dimensions"))
 
 
+def _vector_units(column: str = "embedding"):
+    """A vector as text, in units of 0.0001."""
+    return F.array_join(F.transform(column, lambda x: F.round(x.cast("double") * 10000).cast("long")), ",")
+
+
+@query
+def embed_hashed(spark, folder):
+    rows = embedding.embed_with(i.vector_texts(spark, folder), "id", embedding.hashed_terms())
+    return rows.select("id", _vector_units().alias("vector"))
+
+
+@query
+def index_written(spark, folder):
+    """A stored index that is behind its source is brought up to date, twice, and read."""
+    store, source = Store.scratch(spark), i.vector_texts(spark, folder)
+    store.write_index(_index_before(spark, folder), 16)
+    for _ in range(2):
+        store.refresh_index(source, lambda rows: embedding.embed_with(rows, "id", embedding.hashed_terms()))
+    return store.read("vectors").select("id", "text_hash", _vector_units().alias("vector"))
+
+
 @query
 def index_stream(spark, folder):
     """Texts arrive, change and go, then an old change of each comes late."""

@@ -6,19 +6,27 @@ whole partitions and reads of recent data skip the rest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.session import fresh_path, settings
+from lorekeep.operators import embedding
+from lorekeep.session import cut_lineage, fresh_path, settings
 from lorekeep.sources.schemas import SCHEMAS, conform
 
 DAY = "created_date"
+# The part of an index of vectors that a row is in, by a hash of its id: "3-of-64".
+BUCKET = "bucket"
 # The tables of the keyword index.
 KEYWORDS = ("vertex_numbers", "vertex_postings")
 
 
+def _bucket(buckets: int) -> Column:
+    return F.concat(F.pmod(F.xxhash64("id"), F.lit(buckets)), F.lit(f"-of-{buckets}")).alias(BUCKET)
+
+
 class Store:
     """Tables below one folder; every method works on whole DataFrames."""
 
@@ -95,6 +103,56 @@ class Store:
         writer.saveAsTable(self.name("vectors"))
         return self.read("vectors")
 
+    def write_index(self, rows: DataFrame, buckets: int = 64) -> DataFrame:
+        """``id, text_hash, embedding``, in full, as ``vectors`` in ``buckets`` folders that
+        ``refresh_index`` replaces one by one."""
+        placed = rows.select("id", "text_hash", "embedding", _bucket(buckets)).hint("rebalance", BUCKET)
+        placed.write.mode("overwrite").format("parquet").partitionBy(BUCKET).saveAsTable(self.name("vectors"))
+        return self.read("vectors")
+
+    def refresh_index(
+        self, source: DataFrame, embedder: Callable[[DataFrame], DataFrame], buckets: int = 64
+    ) -> DataFrame:
+        """Bring the table of ``write_index`` up to ``source`` (``id, text``), with the rules of
+        ``embedding.changed``. Returns ``action, n``; an index that is up to date is not touched.
+
+        Only changed texts are embedded and only buckets with a change are read and written.
+        Spark writes them aside and puts them in place when all are complete; each comes out as
+        whole files again, so nothing piles up. A refresh that dies half-way is finished by
+        the next one, since that compares hashes with what the table then holds. ``buckets``
+        counts if the table is empty; else the table's own number stays.
+        """
+        index, parts = self.read("vectors"), self._partitions("vectors")
+        if parts:
+            buckets = int(parts[0].rsplit("-", 1)[1])
+        plan = cut_lineage(embedding.changed(source, index).withColumn(BUCKET, _bucket(buckets)))
+        is_new = F.col("action") != "delete"
+        # A row for each bucket.
+        touched = plan.groupBy(BUCKET).agg(F.max(is_new).alias("filled")).collect()
+        if touched:
+            todo = plan.filter(is_new).select("id", "text_hash")
+            texts = source.withColumn("text_hash", F.md5("text")).join(todo, ["id", "text_hash"]).dropDuplicates(["id"])
+            # Read by the embedder and for the hashes.
+            fresh = embedding.index_rows(cut_lineage(texts.select("id", "text")), embedder)
+            left = index.filter(F.col(BUCKET).isin([r[BUCKET] for r in touched])).join(plan.select("id"), "id", "left_anti")
+            unsure = [r[BUCKET] for r in touched if not r["filled"]]
+            gone = set(unsure)
+            if unsure:
+                gone -= {r[BUCKET] for r in left.filter(F.col(BUCKET).isin(unsure)).select(BUCKET).distinct().collect()}
+            columns = ["id", "text_hash", "embedding", BUCKET]
+            merged = left.select(columns).unionByName(fresh.withColumn(BUCKET, _bucket(buckets)))
+            # Replaces the partitions written and no others.
+            with settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+                merged.hint("rebalance", BUCKET).write.mode("overwrite").insertInto(self.name("vectors"))
+            if gone:
+                listed = ", ".join(f"PARTITION ({BUCKET} = '{b}')" for b in sorted(gone))
+                self.spark.sql(f"ALTER TABLE {self.name('vectors')} DROP IF EXISTS {listed}")
+        return plan.groupBy("action").agg(F.count("*").alias("n"))
+
+    def _partitions(self, table: str) -> list[str]:
+        """The values of a table's one partition column."""
+        return [row[0].split("=", 1)[1] for row in self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()]
+
     def write_cells(self, lists: DataFrame, model: DataFrame) -> DataFrame:
         """The index of cells: lists in order of their cells, and its model."""
         self.overwrite("vector_model", model)
@@ -178,7 +236,7 @@ class Store:
         now = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
         cutoff = self.spark.range(1).select((now - F.make_dt_interval(F.lit(days))).alias("t")).first()["t"]
         day = cutoff.date()
-        known = [row[0].split("=", 1)[1] for row in self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()]
+        known = self._partitions(table)
         expired = [d for d in known if d < day.isoformat()]
         if day.isoformat() in known:
             rows = self.read(table).filter(F.col(DAY) == F.lit(day))

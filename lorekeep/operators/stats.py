@@ -66,12 +66,17 @@ def correlations(results: DataFrame, columns: Sequence[str] = CORRELATED) -> Dat
     spread = [F.stddev_pop(F.col(c).cast("double")).alias(f"sd_{c}") for c in columns]
     # corr() raises an error on a constant column; the covariance does not.
     both = [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(name(a, b)) for a, b in pairs]
-    totals = results.agg(*spread, *both)
+    return correlation_rows(results.agg(*spread, *both), columns)
+
+
+def correlation_rows(totals: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``a, b, correlation`` from one row of deviations (``sd_a``) and covariances (``a|b``)."""
+    pairs = list(combinations_with_replacement(columns, 2))
 
     def entry(a: str, b: str) -> Column:
         product = F.col(f"sd_{a}") * F.col(f"sd_{b}")
         moving = (F.col(f"sd_{a}") > 1e-12) & (F.col(f"sd_{b}") > 1e-12)
-        value = F.when(moving, F.col(f"`{name(a, b)}`") / product)
+        value = F.when(moving, F.col(f"`{a}|{b}`") / product)
         mirrored = [(a, b)] if a == b else [(a, b), (b, a)]
         return [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), value.alias("correlation")) for x, y in mirrored]
 
@@ -81,14 +86,19 @@ def correlations(results: DataFrame, columns: Sequence[str] = CORRELATED) -> Dat
 
 def metric_shares(results: DataFrame, columns: Sequence[str] = SHARED) -> DataFrame:
     """``metric, label, share``: parts of the total of some summary metrics; nothing
-    when all are 0. The summary is one row, so the total is a sum of its columns."""
+    when all are 0."""
+    return share_rows(summarise(results), columns)
+
+
+def share_rows(summary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The shares of a summary. It is one row, so the total is a sum of its columns."""
     total = reduce(lambda x, y: x + y, [F.col(c) for c in columns])
     label = lambda c: c.replace("avg_", "").title()
     rows = [
         F.struct(F.lit(c).alias("metric"), F.lit(label(c)).alias("label"), (F.col(c) / F.col("total")).alias("share"))
         for c in columns
     ]
-    return summarise(results).withColumn("total", total).filter("total > 0").select(F.inline(F.array(*rows)))
+    return summary.withColumn("total", total).filter("total > 0").select(F.inline(F.array(*rows)))
 
 
 def response_flags(response) -> dict[str, Column]:

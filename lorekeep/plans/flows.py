@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import cells, chunking, context, embedding, graph, keywords, knn, stats
+from lorekeep.operators import cells, chunking, context, embedding, graph, keywords, knn, metrics, moments, stats
 from lorekeep.session import cut_lineage
 from lorekeep.sources.corpus import corpus_scan, plain_texts
 from lorekeep.sources.tables import Store
@@ -93,3 +93,13 @@ def ask_graph(store: Store, questions: DataFrame, k: int = 5) -> DataFrame:
     index = store.read_keywords()
     seeds = cut_lineage(keywords.search_keywords(asked, *index, k)) if index else None
     return context.graph_prompts(asked, graph.graph_context(asked, *tables, k, seeds=seeds))
+
+
+def evaluate_batch(store: Store, cases: DataFrame, batch: str, docs: DataFrame | None = None) -> DataFrame:
+    """Evaluate ``cases`` once and store what comes out under the name ``batch``: a row a case in
+    ``case_results``, their moments in ``case_moments``. A batch that is evaluated again takes the
+    place of its first try. Returns the moments of all batches, for the reports of
+    ``operators.moments``, which read nothing else."""
+    results = cut_lineage(metrics.evaluate(cases, docs))
+    store.replace_batch("case_results", results, batch)
+    return store.replace_batch("case_moments", cut_lineage(moments.moments(results)), batch)

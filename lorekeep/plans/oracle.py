@@ -539,6 +539,21 @@ ORACLE: dict[str, str] = {
             for c in SHARED
         )
     ),
+    "eval_summary_stored": sql(
+        f"""SELECT {six('avg_precision', 'avg_recall', 'avg_accuracy', 'avg_f1_score', 'avg_semantic_similarity',
+        'avg_answer_quality', 'avg_response_time')}, total_queries, successful_queries FROM summary"""
+    ),
+    "eval_reports_stored": sql(
+        " UNION ALL ".join(
+            [f"SELECT 'mean' AS report, {q(c)} AS metric, NULL::VARCHAR AS other, round(avg({c}), 6) AS value FROM results" for c in CHART_MEANS]
+            + [f"SELECT 'correlation', a, b, correlation FROM ({_corr(a, b)})" for a in CORRELATED for b in CORRELATED]
+            + [
+                f"SELECT 'share', {q(c)}, {q(c.replace('avg_', '').title())}, round({c} / ({' + '.join(SHARED)}), 6) "
+                f"FROM summary WHERE {' + '.join(SHARED)} > 0"
+                for c in SHARED
+            ]
+        )
+    ),
     # Retrieval and prompts
     "knn_cells_all": sql(f"SELECT query_id, rank, id, {six('distance')} FROM ranked WHERE rank <= 4"),
     "knn_l2": sql(f"SELECT query_id, rank, id, {six('distance')} FROM ranked WHERE rank <= 4"),

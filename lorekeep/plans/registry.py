@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
-from lorekeep.operators import cells, chunking, context, embedding, events, graph, keywords, knn, metrics, rollups, stats
+from lorekeep.operators import cells, chunking, context, embedding, events, graph, keywords, knn, metrics, moments, rollups, stats
 from lorekeep.operators.similarity import pair_similarity
+from lorekeep.plans import flows
 from lorekeep.plans import inputs as i
 from lorekeep.session import cut_lineage, fresh_path
 from lorekeep.sources import corpus
@@ -507,6 +508,31 @@ def metric_means(spark, folder):
     return _six(stats.metric_means(_results(spark, folder)), "mean")
 
 
+def _stored_moments(spark, folder) -> DataFrame:
+    """Moments of two batches of cases, the second evaluated by half at first."""
+    store, cases, docs = Store.scratch(spark), i.eval_cases(spark, folder), i.eval_docs(spark, folder)
+    late = F.col("query").like("%e%")
+    flows.evaluate_batch(store, cases.filter(~late), "early", docs)
+    flows.evaluate_batch(store, cases.filter(late & F.col("query").like("%a%")), "late", docs)
+    return flows.evaluate_batch(store, cases.filter(late | late.isNull()), "late", docs)
+
+
+@query
+def eval_summary_stored(spark, folder):
+    return _six(moments.summary(_stored_moments(spark, folder)), *metrics.SUMMARY_MEANS)
+
+
+@query
+def eval_reports_stored(spark, folder):
+    """Means, correlations and shares, all from the same stored moments."""
+    parts = _stored_moments(spark, folder)
+    none, value = F.lit(None).cast("string"), lambda c: F.round(c, 6).alias("value")
+    means = moments.metric_means(parts).select(F.lit("mean").alias("report"), "metric", none.alias("other"), value("mean"))
+    both = moments.correlations(parts).select(F.lit("correlation").alias("report"), F.col("a").alias("metric"), F.col("b").alias("other"), value("correlation"))
+    shares = moments.metric_shares(parts).select(F.lit("share").alias("report"), "metric", F.col("label").alias("other"), value("share"))
+    return means.unionByName(both).unionByName(shares)
+
+
 @query
 def response_time_hist(spark, folder):
     return _long(_six(stats.histogram(_cases(spark, folder), "response_time"), "lower", "upper"), "bin", "n")

@@ -17,6 +17,8 @@ from lorekeep.session import cut_lineage, fresh_path, settings
 from lorekeep.sources.schemas import SCHEMAS, conform
 
 DAY = "created_date"
+# The partition column of tables that are written batch by batch.
+BATCH = "batch"
 # The part of an index of vectors that a row is in, by a hash of its id: "3-of-64".
 BUCKET = "bucket"
 # The tables of the keyword index.
@@ -206,6 +208,21 @@ class Store:
         ready.hint("rebalance", DAY).write.mode("append").format("parquet").partitionBy(DAY).saveAsTable(self.name(table))
         return self.read(table)
 
+    def replace_batch(self, table: str, rows: DataFrame, batch: str) -> DataFrame:
+        """Rows of one batch of ``table``, in place of those an earlier try of it has left; other
+        batches stay as they are. ``rows`` is read twice. Every batch has the first one's columns."""
+        name, ready = self.name(table), rows.withColumn(BATCH, F.lit(batch))
+        if not self.exists(table):
+            ready.limit(0).write.format("parquet").partitionBy(BATCH).saveAsTable(name)
+        if rows.isEmpty():
+            # Nothing would be overwritten.
+            value = batch.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({BATCH} = '{value}')")
+        else:
+            with settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+                ready.select(self.read(table).columns).write.mode("overwrite").insertInto(name)
+        return self.read(table)
+
     def profile(self, table: str) -> DataFrame:
         """``table, column, type, row_count, files``, or one row with ``error``."""
         out = "table string, column string, type string, row_count long, files long, error string"

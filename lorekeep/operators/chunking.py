@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.session import apart, cut_lineage
+
 # Separators, from the strongest to the weakest. Where none applies the
 # text is cut between characters.
 SEPARATORS = ["\n\n", "\n", " "]
@@ -120,32 +122,33 @@ def chunk_key() -> Column:
 
 
 def dense_ids(chunks: DataFrame) -> DataFrame:
-    """``id`` 0, 1, 2, … in order of document and chunk.
+    """``id`` 0, 1, 2, … in order of document and chunk; documents of any type that sorts, a null
+    one first.
 
     Chunks of a document count from 0, so a running sum over one row per document gives
     each document's first id. That sum is taken in two levels: within ranges of
     documents, and over one total per range.
     """
-    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return chunks.join(_offsets(sizes, "doc_id", "n"), "doc_id").withColumn(
-        "id", (F.col("offset") + F.col("chunk_no")).cast("long")
-    ).drop("offset")
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("__n"))
+    starts = apart(_offsets(sizes, "doc_id", "__n").toDF("__doc", "__offset"))
+    return chunks.join(starts, F.col("doc_id").eqNullSafe(F.col("__doc"))).withColumn(
+        "id", (F.col("__offset") + F.col("chunk_no")).cast("long")
+    ).drop("__offset", "__doc")
 
 
-def _offsets(sizes: DataFrame, key: str, n: str, range_rows: int = 1_000_000, max_ranges: int = 1000) -> DataFrame:
+def _offsets(sizes: DataFrame, key: str, n: str) -> DataFrame:
     """``key, offset``: the sum of ``n`` over all smaller keys.
 
-    The key is a number of any distribution: quantiles cut it into ranges of about
-    ``range_rows`` rows each, so no window runs over all rows.
+    One shuffle sorts the keys into ranges, as many as the session has shuffle partitions. They
+    are written with their number, since Spark samples the ends of ranges and would not take the
+    same ones twice. The window over ranges has a row for each, the others a range each, and
+    running sums hold no rows.
     """
-    ranges = min(max_ranges, -(-sizes.count() // range_rows))
-    cuts = sizes.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    rows = sizes.withColumn("bucket", bucket)
-    totals = rows.groupBy("bucket").agg(F.sum(n).alias("total"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(starts, "bucket").select(
-        key, (F.col("start") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("offset")
+    rows = cut_lineage(sizes.repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
+    totals = rows.groupBy("__range").agg(F.sum(n).alias("__total"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(starts, "__range").select(
+        key, (F.col("__start") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("offset")
     )

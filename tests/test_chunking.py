@@ -1,10 +1,12 @@
 """The splitter against a piece-by-piece reading of its rules."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorekeep.operators import chunking as c
+from lorekeep.session import settings as conf
 
 
 def pieces(text, separator):
@@ -81,10 +83,27 @@ def test_dense_ids_over_ranges(spark):
     got = sorted((r["id"], r["doc_id"], r["chunk_no"]) for r in c.dense_ids(chunks).collect())
     assert got == [(n, d, k) for n, (d, k) in enumerate(rows)]
     sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    cut = {r["doc_id"]: r["offset"] for r in c._offsets(sizes, "doc_id", "n", range_rows=5).collect()}
+    cut = {r["doc_id"]: r["offset"] for r in c._offsets(sizes, "doc_id", "n").collect()}
     assert cut == {d: sum(1 for r in rows if r[0] < d) for d in cut}
 
 
+@pytest.mark.parametrize("parts", ["1", "3", "16"])
+def test_dense_ids_of_any_key(spark, parts):
+    """Words and nulls as keys, columns named like the operator's own, a document with a third of all chunks."""
+    names = ["", "Ab", "a", "b", "b-10", "b-9", "é", None]
+    rows = [(d, n) for k, d in enumerate(names) for n in range(300 if d == "b" else 20 * k + 1)]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_no int").selectExpr("*", "'x' AS offset", "1 AS n")
+    with conf(spark, {"spark.sql.shuffle.partitions": parts}):
+        out = c.dense_ids(chunks).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    assert [(r["doc_id"], r["chunk_no"]) for r in sorted(out, key=lambda r: r["id"])] == want
+    assert sorted(r["id"] for r in out) == list(range(len(rows))) and out[0]["offset"] == "x"
+
+
+def test_dense_ids_of_nothing(spark):
+    assert c.dense_ids(spark.createDataFrame([], "doc_id date, chunk_no int")).collect() == []
+
+
 def test_windows_of_any_overlap(spark):
     text = "añ\n😀 x" * 40
     docs = spark.createDataFrame([(1, text, "s"), (2, "ab", "s"), (3, "", "s"), (4, None, "s")], "doc_id long, text string, source string")

@@ -14,7 +14,7 @@ LAZY = [
     "relevance_scores", "eval_rows", "eval_summary", "metric_corr", "metric_share", "response_time_hist", "knn_l2",
     "retrieve_chunks", "rag_prompt", "llm_requests", "llm_responses", "extract_triples", "extraction_parse",
     "vertex_keyword", "seed_edges", "motif_one_hop", "graph_context", "event_query", "answer_events", "session_rollup",
-    "conversation_rollup", "turn_rollup", "turn_pairs", "index_refresh", "doc_head",
+    "conversation_rollup", "turn_rollup", "turn_pairs", "index_refresh", "chunk_ids", "doc_head",
 ]
 
 

@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,25 +106,36 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
 
 
 def scored_literals(text: str) -> dict[tuple[int, int], float]:
-    """Span of every literal with the best score among the names it reaches."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    """Span of every literal with the best score among the names it reaches. A name on the right
+    hand side stands for its last assignment before, so weights go from the last assignment to
+    the first, each to those it uses: one step for each use, however long a chain is."""
+    latest: dict[str, int] = {}
+    assigned: list[tuple[list[tuple[int, int]], list[int]]] = []
+    weights: list[float] = []
     for name, literals, uses in pairs(text):
-        reached = list(dict.fromkeys([*literals, *(x for u in uses for x in known.get(u, ()))]))
-        known[name] = reached
-        if weight := name_weight(name):
-            for start, end in reached:
-                score = weight * literal_weight(text[start:end])
-                best[start, end] = max(score, best.get((start, end), 0.0))
-    return best
+        assigned.append((literals, [latest[u] for u in uses if u in latest]))
+        weights.append(name_weight(name))
+        latest[name] = len(assigned) - 1
+    best: dict[tuple[int, int], float] = {}
+    for n in range(len(assigned) - 1, -1, -1):
+        if weight := weights[n]:
+            literals, used = assigned[n]
+            for u in used:
+                weights[u] = max(weights[u], weight)
+            for start, end in literals:
+                best[start, end] = max(weight, best.get((start, end), 0.0))
+    return {span: weight * literal_weight(text[slice(*span)]) for span, weight in best.items()}
 
 
 def spans(text: str, lex: bool) -> list[tuple[str, int, int, float]]:
     found = [(*s, 1.0) for s in base_spans(text)]
     if lex:
         taken = sorted((s, e) for _, s, e, _ in found)
+        # The furthest end of the base spans up to each one's start.
+        starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         for (start, end), score in scored_literals(text).items():
-            if score >= LEAST_SCORE and not any(s <= start and end <= e for s, e in taken):
+            before = bisect_right(starts, start)
+            if score >= LEAST_SCORE and not (before and end <= ends[before - 1]):
                 found.append(("literal", start, end, score))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

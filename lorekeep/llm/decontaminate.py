@@ -173,6 +173,9 @@ def contaminated() -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    columns = docs.columns
-    return benchmark_hits(docs, benchmark).filter(~contaminated()).select(*columns)
+    """``docs`` without the contaminated ones, with all their columns as they were, also those
+    named like the ones that are added in between."""
+    added = {field.split()[0] for field in HITS.split(", ")}
+    aside = {c: f"__own_{c}" for c in docs.columns if c.lower() in added}
+    clean = benchmark_hits(docs.withColumnsRenamed(aside), benchmark).filter(~contaminated())
+    return clean.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -105,3 +105,13 @@ def test_pack(bits, ids):
     data = packed.pack(ids, bits)
     assert len(data) == -(-len(ids) // 64) * 8 * bits
     assert packed.unpack(data, bits, len(ids)).tolist() == ids.tolist()
+
+
+def test_documents_keep_columns_named_like_the_hits(spark):
+    passage = " ".join(f"w{n}" for n in range(14))
+    rows = [(1, passage, 7, "mine", None), (2, "a clean text", 8, None, [1]), (3, None, None, "x", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, N_Words int, items string, n_hit array<int>")
+    items = spark.createDataFrame([("q1", passage)], "item_id string, text string")
+    out = decontaminate.decontaminate(docs, items)
+    assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == rows[1:]
+    assert decontaminate.decontaminate(docs.limit(0), items).collect() == []

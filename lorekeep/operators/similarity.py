@@ -18,6 +18,16 @@ from lorekeep.functions.vocabulary import english_stop_words
 
 # Fixed value: smoothed idf² of a term that one of the two texts uses.
 OWN_WEIGHT = (1.0 + math.log(1.5)) ** 2
+# Characters of text whose terms one task counts. Counts and their sort take some forty times
+# the texts, and adaptive execution, which sees the texts only, would give a task 64 MB of them.
+TASK_CHARS = 8 << 20
+
+
+def _tasks(pairs: DataFrame, left: str, right: str) -> int:
+    """How many tasks count the terms: one for each core, more where the texts are many."""
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+    chars = pairs.agg(F.sum(size(left) + size(right))).first()[0] or 0
+    return max(pairs.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
 
 
 def pair_similarity(
@@ -33,11 +43,12 @@ def pair_similarity(
 
     The texts are shuffled once, by the pair's key. Counting terms, capping the
     vocabulary and summing up all group by that key or more, so none of them moves data
-    again, and no group holds more than the two texts of one row.
+    again, and no group holds more than the two texts of one row. The texts are measured
+    before, so that there are as many tasks as they need, however many there are.
     """
     stop = english_stop_words() if stop_words is None else stop_words
     keys = list(keys)
-    sides = pairs.repartition(*keys).select(
+    sides = pairs.repartition(_tasks(pairs, left, right), *keys).select(
         *keys,
         F.explode(
             F.array(

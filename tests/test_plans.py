@@ -64,3 +64,13 @@ def test_top_k_is_cut_before_the_shuffle(spark, small):
 def test_rollups_combine_before_the_shuffle(spark, small):
     for name in ("session_rollup", "conversation_rollup", "turn_rollup"):
         assert "partial_min" in plan(QUERIES[name](spark, small))
+
+
+def test_similarity_takes_more_tasks_for_more_text(spark, monkeypatch):
+    """Tasks follow the amount of text, which adaptive execution must not put together again."""
+    docs = spark.createDataFrame([(n, "red pump " * 200, "blue pump") for n in range(60)], "n int, a string, b string")
+    monkeypatch.setattr("lorekeep.operators.similarity.TASK_CHARS", 4000)
+    found = pair_similarity(docs, ["n"], "a", "b")
+    chars = 60 * len("red pump " * 200 + "blue pump")
+    assert f", {-(-chars // 4000)}), REPARTITION_BY_NUM" in plan(found)
+    assert found.count() == 60 and pair_similarity(docs.limit(0), ["n"], "a", "b").isEmpty()

@@ -6,9 +6,12 @@ becomes one byte, the nearest of up to 256 trained words. The index is two table
 (cell, id, code), ordered by cell, and ``model``, the centres, words and number of probes.
 
 A question goes to its ``probes`` nearest cells. Only the codes of those are read and shuffled,
-a small part of the vectors' size: a table of distances from the question to every word gives the
-distance to each code as a sum of look-ups. The best ``shortlist`` of them are measured again on
-the vectors themselves, so distances and order among what was found are exact. Questions that
+a small part of the vectors' size, and measured as the vectors that they stand for. Cells lie
+together in parts of about ``CODE_BLOCK`` codes; a question travels once to a part, with the cells
+it looks into, and each block of a part passes on its best ``shortlist``, so what is shuffled
+follows the number of parts and not of cells. The best ``shortlist`` of all are measured again on
+the vectors themselves, so distances and order among what was found are exact. A shortlist that
+has room for all codes would cut nothing; then the vectors of the cells are measured at once. Questions that
 find fewer than k go on with twice the probes, and in the end to all cells, so k are found
 wherever the corpus has them.
 
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lorekeep.operators.knn import _blocks, _matrix, _rank, _sound_sides, knn
+from lorekeep.operators.knn import FEW_ROWS, _blocks, _first_copies, _matrix, _rank, _sound_sides, knn
 from lorekeep.session import apart, cut_lineage
 
 # Vectors that the cells and words are trained on, at most, and rounds of k-means.
@@ -43,8 +46,9 @@ SUB, WORDS = 4, 256
 MEASURED, NEIGHBOURS, REACHED = 256, 10, 0.97
 # Codes measured again per answer wanted, and at least.
 AGAIN, LEAST_AGAIN = 16, 64
-# Rows of a block of questions and of codes.
+# Rows of a block of questions and of codes, and distances that a task holds at once.
 QUESTION_BLOCK, CODE_BLOCK = 4096, 131072
+SCORED = 1 << 21
 
 
 @dataclass
@@ -188,60 +192,142 @@ def read_model(rows: DataFrame) -> Cells:
     return Cells(found["centres"], found["words"], int(found["probes"][0]))
 
 
-def _probed(questions: DataFrame, model, probes: int) -> DataFrame:
-    """``cell, query_id, embedding``: each question once for each cell that it looks into."""
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), questions.schema["query_id"], questions.schema["embedding"]])
+@dataclass
+class Parts:
+    """Cells put together so that a part's codes fill a task; a larger cell is a part by itself."""
+
+    members: list[np.ndarray]
+    rows: list[int]
+
+
+def _parts(lists: DataFrame, cells: int) -> Parts:
+    """From the sizes of the cells, at most ``MAX_CELLS`` numbers. There are as many parts as
+    cores where the codes would not give each core a full one."""
+    sizes = np.zeros(cells, np.int64)
+    for row in lists.groupBy("cell").count().collect():
+        sizes[row.cell] = row["count"]
+    cores = lists.sparkSession.sparkContext.defaultParallelism
+    most = min(CODE_BLOCK, max(FEW_ROWS, -(-int(sizes.sum()) // cores)))
+    members, rows = [], []
+    for cell in np.flatnonzero(sizes):
+        if members and rows[-1] + sizes[cell] <= most:
+            members[-1].append(cell)
+            rows[-1] += int(sizes[cell])
+        else:
+            members.append([cell])
+            rows.append(int(sizes[cell]))
+    return Parts([np.array(m) for m in members], rows)
+
+
+def _probed(questions: DataFrame, shared, probes: int) -> DataFrame:
+    """``part, query_id, embedding, probed``: each question once for each part that has cells
+    which it looks into, with these as bits."""
+    schema = T.StructType([T.StructField("part", T.IntegerType()), questions.schema["query_id"], questions.schema["embedding"], T.StructField("probed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = model.value.centres
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(pa.chunked_array([batch.column(1)]))
-            d = (centres * centres).sum(axis=1) - 2.0 * (x @ centres.T)
-            cells = np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
-            again = batch.take(pa.array(np.repeat(np.arange(len(x)), cells.shape[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), *again.columns], names=schema.names)
+        model, parts = shared.value
+        centres = model.centres
+        for whole in batches:
+            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                x = _matrix(pa.chunked_array([batch.column(1)]))
+                chosen = np.ones((len(x), len(centres)), bool)
+                if probes < len(centres):
+                    d = (centres * centres).sum(axis=1) - 2.0 * (x @ centres.T)
+                    chosen[:] = False
+                    np.put_along_axis(chosen, np.argpartition(d, probes - 1, axis=1)[:, :probes], True, axis=1)
+                for part, members in enumerate(parts.members):
+                    asks = np.flatnonzero(chosen[:, members].any(axis=1))
+                    if len(asks):
+                        bits = [row.tobytes() for row in np.packbits(chosen[np.ix_(asks, members)], axis=1)]
+                        columns = [pa.array(np.full(len(asks), part, np.int32)), *batch.take(pa.array(asks)).columns, pa.array(bits, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return questions.select("query_id", "embedding").mapInArrow(run, schema)
 
 
-def _shortlisted(probed: DataFrame, lists: DataFrame, model, shortlist: int) -> DataFrame:
-    """``query_id, id, rough``: the best codes of each question and block of a cell."""
-    size = lambda df, most, name: df.groupBy("cell").agg(_blocks(F.count("*"), most).alias(name))
-    blocks = size(probed, QUESTION_BLOCK, "q_blocks").join(size(lists, CODE_BLOCK, "v_blocks"), "cell")
-    blocks = apart(cut_lineage(blocks))
-    query, key = probed.schema["query_id"], lists.schema["id"]
+def _decoded(cell: np.ndarray, code: np.ndarray, model: Cells) -> np.ndarray:
+    """The vectors that codes stand for: the centre of the cell and the words."""
+    widths = [part.shape[1] for part in _subs(model.centres[:1])]
+    return model.centres[cell] + np.concatenate([words[c, :w] for words, c, w in zip(model.words, code.T, widths)], axis=1)
+
+
+def _roughly(q: np.ndarray, probed: np.ndarray, place: np.ndarray, codes: np.ndarray, model: Cells, members: np.ndarray, top: int):
+    """The ``top`` codes next to each question in the cells it looks into, and their squared
+    distances; a place without a code is infinitely far."""
+    best, rough = np.zeros((len(q), top), np.int64), np.full((len(q), top), np.inf)
+    q_norm = (q * q).sum(axis=1)[:, None]
+    for c in np.unique(place):
+        at, who = np.flatnonzero(place == c), np.flatnonzero(probed[:, c])
+        x = _decoded(np.full(len(at), members[c]), codes[at], model)
+        norms, step = (x * x).sum(axis=1), max(1, SCORED // (len(at) + top))
+        for w in (who[k : k + step] for k in range(0, len(who), step)):
+            d = np.concatenate([rough[w], norms - 2.0 * (q[w] @ x.T) + q_norm[w]], axis=1)
+            ids = np.concatenate([best[w], np.broadcast_to(at, (len(w), len(at)))], axis=1)
+            least = np.argpartition(d, top - 1, axis=1)[:, :top]
+            best[w], rough[w] = np.take_along_axis(ids, least, 1), np.take_along_axis(d, least, 1)
+    return best, rough
+
+
+def _exactly(q: np.ndarray, probed: np.ndarray, place: np.ndarray, x: np.ndarray, top: int):
+    """The same for vectors themselves, in order of their ids, which come first at a tie."""
+    best, gap = np.zeros((len(q), top), np.int64), np.full((len(q), top), np.inf)
+    norms, step = (x * x).sum(axis=1), max(1, SCORED // len(x))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        d = norms - 2.0 * (part @ x.T)
+        d[~probed[at : at + step][:, place]] = np.inf
+        # Whatever is within the rounding error of the last one is measured again.
+        slack = 1e-9 * (1.0 + norms.max() + (part * part).sum(axis=1))
+        limit = np.partition(d, top - 1, axis=1)[:, top - 1] + slack
+        for k, row in enumerate(part):
+            near = np.flatnonzero((d[k] <= limit[k]) & (d[k] < np.inf))
+            true = ((x[near] - row) ** 2).sum(axis=1)
+            least = np.argsort(true, kind="stable")[:top]
+            best[at + k, : len(least)], gap[at + k, : len(least)] = near[least], true[least]
+    return best, gap
+
+
+def _shortlisted(probed: DataFrame, listed: DataFrame, shared, parts: Parts, top: int) -> DataFrame:
+    """``query_id, id, rough``: the best ``top`` rows of each question and block of a part.
+    ``listed`` is (cell, id, code), or (cell, id, embedding) to measure the vectors themselves."""
+    spark, kind = probed.sparkSession, listed.columns[-1]
+    cells = [(int(cell), n, -(-parts.rows[n] // CODE_BLOCK)) for n, members in enumerate(parts.members) for cell in members]
+    of_cell = F.broadcast(spark.createDataFrame(cells, "cell int, part int, v_blocks int"))
+    of_part = spark.createDataFrame(sorted({c[1:] for c in cells}), "part int, v_blocks int")
+    most = max(1, min(QUESTION_BLOCK, SCORED // top))
+    asked = probed.groupBy("part").agg(_blocks(F.count("*"), most).alias("q_blocks"))
+    # A row a part: as many as cores, or one for CODE_BLOCK codes.
+    blocks = F.broadcast(cut_lineage(of_part.join(asked, "part")))
+    query, key = probed.schema["query_id"], listed.schema["id"]
     schema = T.StructType([query, key, T.StructField("rough", T.DoubleType())])
     form = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    def spread(rows: DataFrame, name: str, own: str, other: str, *carry: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(name), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
-        each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
-        return rows.join(blocks, "cell").select(F.col("cell").alias("cell"), mine, each, F.col(name).alias(name), *carry)
-
     def search(group, asked: pa.Table, listed: pa.Table) -> pa.Table:
         if not (asked.num_rows and listed.num_rows):
             return form.empty_table()
-        known, q = model.value, _matrix(asked["embedding"])
-        code = np.frombuffer(b"".join(listed["code"].to_pylist()), np.uint8).reshape(listed.num_rows, -1)
-        rest, top = q - known.centres[group[0].as_py()], min(shortlist, len(code))
-        rows, ids, rough = [], [], []
-        for at in range(0, len(q), 32):
-            table = tables(rest[at : at + 32], known)
-            d = np.zeros((len(table), len(code)))
-            for k in range(code.shape[1]):
-                d += table[:, k, code[:, k]]
-            best = np.argpartition(d, top - 1, axis=1)[:, :top] if top < len(code) else np.tile(np.arange(len(code)), (len(d), 1))
-            rows.append(np.repeat(np.arange(at, at + len(d)), best.shape[1]))
-            ids.append(best.ravel())
-            rough.append(np.take_along_axis(d, best, 1).ravel())
-        columns = [asked["query_id"].take(pa.array(np.concatenate(rows))), listed["id"].take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(rough))]
+        (known, parts), q = shared.value, _matrix(asked["embedding"])
+        members, listed = parts.members[group[0].as_py()], listed.sort_by("id")
+        bits = np.frombuffer(b"".join(asked["probed"].to_pylist()), np.uint8).reshape(len(q), -1)
+        looks = np.unpackbits(bits, axis=1, count=len(members)).astype(bool)
+        place = np.searchsorted(members, listed["cell"].to_numpy())
+        if kind == "code":
+            code = np.frombuffer(b"".join(listed["code"].to_pylist()), np.uint8).reshape(listed.num_rows, -1)
+            best, rough = _roughly(q, looks, place, code, known, members, min(top, listed.num_rows))
+        else:
+            x = _matrix(listed["v_embedding"])
+            kept = _first_copies(np.column_stack([x, place]), listed["id"], top)
+            listed = listed.take(pa.array(kept))
+            best, rough = _exactly(q, looks, place[kept], x[kept], min(top, len(kept)))
+        row, column = np.nonzero(np.isfinite(rough))
+        columns = [asked["query_id"].take(pa.array(row)), listed["id"].take(pa.array(best[row, column])), pa.array(rough[row, column])]
         return pa.table(columns, schema=form)
 
-    keys = ["cell", "q_block", "v_block"]
-    left, right = spread(probed, "query_id", "q", "v", "embedding"), spread(lists, "id", "v", "q", "code")
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    own = lambda name, side: F.pmod(F.xxhash64(name), F.col(f"{side}_blocks")).cast("int").alias(f"{side}_block")
+    each = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}_blocks") - 1)).alias(f"{side}_block")
+    left = probed.join(blocks, "part").select(F.col("part").alias("part"), own("query_id", "q"), each("v"), "query_id", "embedding", "probed")
+    rows = listed.join(of_cell.drop("v_blocks"), "cell").join(blocks, "part")
+    right = rows.select(F.col("part").alias("part"), each("q"), own("id", "v"), "cell", "id", F.col(kind).alias("code" if kind == "code" else "v_embedding"))
+    keys = ["part", "q_block", "v_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
 
 
@@ -253,15 +339,23 @@ def search_cells(
     spark = vectors.sparkSession
     if not len(model.centres):
         return knn(questions, vectors, k)
-    questions, _ = _sound_sides(questions, vectors)
+    questions, sound = _sound_sides(questions, vectors)
     shortlist = shortlist or max(LEAST_AGAIN, AGAIN * k)
     probes = min(probes or model.probes, len(model.centres))
-    shared, todo, found = spark.sparkContext.broadcast(model), questions, None
+    parts = _parts(lists, len(model.centres))
+    # A shortlist that holds all codes cuts nothing: the vectors of the cells are measured at
+    # once, and k of a block go on.
+    whole = shortlist >= sum(parts.rows)
+    top = max(1, k if whole else shortlist)
+    listed = lists.select("cell", "id").join(sound.select("id", "embedding"), "id").select("cell", "id", "embedding") if whole else lists.select("cell", "id", "code")
+    shared, todo, found = spark.sparkContext.broadcast((model, parts)), questions, None
     while True:
-        probed = cut_lineage(_probed(todo, shared, probes))
-        # Cells that nobody asks for are not read: a list of at most MAX_CELLS numbers.
-        wanted = [r.cell for r in probed.select("cell").distinct().collect()]
-        rough = _shortlisted(probed, lists.filter(F.col("cell").isin(wanted)), shared, shortlist)
+        probed, read = cut_lineage(_probed(todo, shared, probes)), listed
+        if 2 * probes < len(model.centres):
+            # Parts that nobody asks for are not read.
+            asked = [r.part for r in probed.select("part").distinct().collect()]
+            read = listed.filter(F.col("cell").isin([int(c) for p in asked for c in parts.members[p]]))
+        rough = _shortlisted(probed, read, shared, parts, top)
         order = F.row_number().over(Window.partitionBy("query_id").orderBy("rough", "id"))
         few = rough.withColumn("place", order).filter(F.col("place") <= shortlist).select("query_id", "id")
         measured = few.join(todo.withColumnRenamed("embedding", "q"), "query_id").join(vectors.withColumnRenamed("embedding", "v"), "id")

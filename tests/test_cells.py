@@ -105,3 +105,26 @@ def test_codes_are_near(size):
         here = cell == c
         rough = sum(table[k, code[here, k]] for k in range(code.shape[1]))
         assert np.allclose(rough, ((decoded[here] - q) ** 2).sum(axis=1))
+
+
+def test_rows_follow_parts_and_not_cells(spark):
+    """However many cells a question looks into, it travels once to a part and takes back ``top`` rows."""
+    vectors = clustered(spark, 3000, 9)
+    lists, model = cells.build_cells(vectors)
+    parts = cells._parts(lists, len(model.centres))
+    assert sum(parts.rows) == 3000 and 4 * len(parts.members) < len(model.centres)
+    shared = spark.sparkContext.broadcast((model, parts))
+    probed = cells._probed(asked_of(vectors, 100), shared, len(model.centres)).cache()
+    assert probed.count() == 30 * len(parts.members)
+    assert cells._shortlisted(probed, lists.select("cell", "id", "code"), shared, parts, 4).count() == 4 * probed.count()
+
+
+def test_cells_in_many_blocks(spark, monkeypatch):
+    """Cells larger than a part, several blocks of questions, and copies of one vector."""
+    monkeypatch.setattr(cells, "CODE_BLOCK", 20)
+    monkeypatch.setattr(cells, "QUESTION_BLOCK", 8)
+    some = clustered(spark, 400, 11, size=8, groups=4)
+    vectors = some.unionByName(some.filter("id = 7").selectExpr("explode(sequence(1000L, 1060L)) as id", "embedding"))
+    lists, model = cells.build_cells(vectors)
+    found = cells.search_cells(asked_of(vectors, 7), vectors, lists, model, 5, probes=len(model.centres), shortlist=1000)
+    assert rows(found) == rows(knn.knn(asked_of(vectors, 7), vectors, 5))

@@ -931,6 +931,19 @@ def stream_turns(spark, folder):
     return _long(_closed(spark, folder, "turn"), "query_length", "response_length").drop("is_active")
 
 
+# Rows of a file that a stream reads.
+FILE_ROWS = 250_000
+
+
+def _send(parts: list[DataFrame], source: str, n: int):
+    """Write the parts of about ``n`` rows, files of each as many as they need; the stream
+    that takes each part as a micro-batch."""
+    files = max(2, -(-n // FILE_ROWS))
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(source)
+    return sink.read_events(parts[0].sparkSession, source, parts[0].schema, max_files=files)
+
+
 # A session, conversation or turn without an event for so long, in seconds, has timed out.
 IDLE = 3 * 86400
 
@@ -940,9 +953,8 @@ def _rolled(spark, folder, level: str) -> DataFrame:
     the first half, late, then the rest, which corrects what was closed meanwhile."""
     rows, source, target = i.lifecycle_events(spark, folder), fresh_path(spark, "events"), fresh_path(spark, f"{level}s")
     late, even = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"), F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
-    for part in (~late, late & even, late & ~even):
-        rows.filter(part).repartition(2).write.mode("append").parquet(source)
-    stream = sink.read_events(spark, source, rows.schema, max_files=2)
+    parts = [rows.filter(part) for part in (~late, late & even, late & ~even)]
+    stream = _send(parts, source, i.table(spark, folder, "events").count())
     rolling.start_rolling(stream, level, target, fresh_path(spark, "checkpoint"), idle_seconds=IDLE, drain=True).awaitTermination()
     return _times(rolling.Rolling(spark, level, target).table())
 
@@ -968,9 +980,8 @@ def stream_sink_days(spark, folder):
     target, source = fresh_path(spark, "sink"), fresh_path(spark, "events")
     rows = i.telemetry(spark, folder).withColumn("created_at", F.col("timestamp"))
     again = rows.filter(F.col("interaction_type").isin("click", "query")).withColumn("created_at", F.timestamp_add("DAY", F.lit(40), "created_at"))
-    for part in (rows.filter("interaction_type <> 'scroll'"), again, rows):
-        part.repartition(2).write.mode("append").parquet(source)
-    stream = sink.read_events(spark, source, rows.schema, max_files=2)
+    n = i.table(spark, folder, "events").count()
+    stream = _send([rows.filter("interaction_type <> 'scroll'"), again, rows], source, n)
     sink.start_sink(stream, target, fresh_path(spark, "checkpoint"), drain=True).awaitTermination()
     back = spark.read.schema(SCHEMAS["user_interactions"]).parquet(target).drop(DAY)
     return _stamp(events.payload_json(back), "timestamp", "created_at")

@@ -256,3 +256,20 @@ def test_first_answer_wins_also_without_a_time(spark):
     want = rollups.turn_rollup(spark.createDataFrame(rows, EVENT)).first()
     for r in (got, want):
         assert (r["query"], r["response"], r["response_time_seconds"]) == ("a", "first", None)
+
+
+def test_stream_files_follow_the_rows(spark, monkeypatch):
+    """Each part is one micro-batch, in as many files as its rows need and two at least."""
+    from lorekeep.plans import registry
+    from lorekeep.session import fresh_path
+
+    monkeypatch.setattr(registry, "FILE_ROWS", 100)
+    parts, source, seen = [spark.range(600), spark.range(600, 1200)], fresh_path(spark, "events"), []
+    stream = registry._send(parts, source, 600)
+    assert len(spark.read.parquet(source).inputFiles()) == 12
+    writer = stream.writeStream.foreachBatch(lambda rows, batch: seen.append({r.id // 600 for r in rows.collect()}))
+    writer.option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [{0}, {1}]
+    few = fresh_path(spark, "events")
+    registry._send([spark.range(9)], few, 9)
+    assert len(spark.read.parquet(few).inputFiles()) == 2

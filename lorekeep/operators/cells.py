@@ -11,9 +11,9 @@ together in parts of about ``CODE_BLOCK`` codes; a question travels once to a pa
 it looks into, and each block of a part passes on its best ``shortlist``, so what is shuffled
 follows the number of parts and not of cells. The best ``shortlist`` of all are measured again on
 the vectors themselves, so distances and order among what was found are exact. A shortlist that
-has room for all codes would cut nothing; then the vectors of the cells are measured at once. Questions that
-find fewer than k go on with twice the probes, and in the end to all cells, so k are found
-wherever the corpus has them.
+has room for all codes would cut nothing; then the vectors of the cells are measured at once.
+Questions that find fewer than k go on with twice the probes, and in the end to all cells, so k
+are found wherever the corpus has them.
 
 How many probes are needed depends on the data, so it is measured when the index is built: for a
 sample of vectors the exact search says in which cells their nearest neighbours lie. Where

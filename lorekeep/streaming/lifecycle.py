@@ -8,6 +8,7 @@ Times are microseconds since the epoch, so that state holds plain numbers.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -22,21 +23,9 @@ from lorekeep.functions.text import seconds_between
 from lorekeep.operators.events import ACTIVITY
 from lorekeep.session import stream_settings
 
-STATE = T.StructType(
-    [
-        T.StructField("parent", T.StringType()),
-        T.StructField("user_id", T.StringType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("active", T.LongType()),
-        T.StructField("last", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("query", T.StringType()),
-        T.StructField("query_at", T.LongType()),
-        T.StructField("response", T.StringType()),
-        T.StructField("response_time", T.DoubleType()),
-        T.StructField("response_at", T.LongType()),
-    ]
-)
+# What is known of a key. The state keeps it as JSON, which costs a fraction of a row of columns.
+NAMES = ["parent", "user_id", "start", "active", "last", "n", "query", "query_at", "response", "response_time", "response_at"]
+STATE = T.StructType([T.StructField("folded", T.StringType())])
 
 OUTPUT = T.StructType(
     [
@@ -54,6 +43,14 @@ OUTPUT = T.StructType(
     ]
 )
 
+# Keys of the state; what is due at a time, and the keys that are.
+KEY = T.StructType([T.StructField("key", T.StringType())])
+DUE = T.StructType([T.StructField("due", T.LongType())])
+KEYS = T.StructType([T.StructField("keys", T.ArrayType(T.StringType()))])
+
+# Keys are folded in so many buckets.
+BUCKETS = 8192
+
 # Per level: key, parent and the kind whose events are counted (None: activity).
 LEVELS = {
     "session": ("session_id", None, None),
@@ -71,53 +68,73 @@ def _most(a, b):
 
 
 class Lifecycle(StatefulProcessor):
-    """Folds the events of a key, one after another, into one row of state."""
+    """Folds the events of a key, one after another, into one row of state.
+
+    Spark calls it for a bucket of keys, since a call, its state handle and the batch of rows it
+    gives cost more than a hundred times the folding of an event. State stays a row a key: a
+    micro-batch reads and writes the rows of its own keys, however many a bucket holds.
+    """
 
     def __init__(self, idle_seconds: int | None) -> None:
         self._idle_ms = None if idle_seconds is None else idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("state", STATE)
+        self._state = handle.getMapState("state", KEY, STATE)
+        self._due = None if self._idle_ms is None else handle.getMapState("due", DUE, KEYS)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self._state.get()
-        state = dict(zip(STATE.names, known)) if known else None
-        end, live = None, known is not None
+        seen: dict[str, list[dict]] = {}
         for row in rows:
-            end = _least(end, row["ended"])
-            live = live or row["live"] > 0
-            state = self._fold(state, row)
-        if not live:
-            return
-        if end is not None and state["start"] is not None:
-            if known:
-                self._state.clear()
-                self._stop_timers()
-            yield self._row(key[0], state, end, False)
-            return
-        self._state.update(tuple(state[name] for name in STATE.names))
-        if self._idle_ms is not None:
-            if known:
-                self._stop_timers()
-            self._handle.registerTimer(state["last"] // 1000 + self._idle_ms)
+            step = NOTHING | json.loads(row["step"])
+            seen.setdefault(step["key"], []).append(step)
+        # A bucket without state, as each is at first, need not be asked for every key.
+        some, due = self._state.exists(), {}
+        for name, steps in seen.items():
+            known = self._state.getValue((name,)) if some else None
+            state = json.loads(known[0]) if known else None
+            end, live = None, known is not None
+            for step in steps:
+                end = _least(end, step["ended"])
+                live = live or step["live"] > 0
+                state = self._fold(state, step)
+            if not live:
+                continue
+            if end is not None and state["start"] is not None:
+                if known:
+                    self._state.removeKey((name,))
+                yield self._row(name, state, end, False)
+                continue
+            self._state.updateValue((name,), (json.dumps(state),))
+            if self._idle_ms is not None:
+                due.setdefault(self._expiry(state), []).append(name)
+        for at, names in due.items():
+            before = self._due.getValue((at,))
+            if not before:
+                self._handle.registerTimer(at)
+            self._due.updateValue((at,), (sorted({*names, *(before[0] if before else [])}),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self._state.get()
-        if known:
-            state = dict(zip(STATE.names, known))
-            self._state.clear()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        due = self._due.getValue((at,))
+        for name in due[0] if due else []:
+            known = self._state.getValue((name,))
+            state = json.loads(known[0]) if known else None
+            # A key that ended meanwhile is gone, and one that went on is due later.
+            if state is None or self._expiry(state) != at:
+                continue
+            self._state.removeKey((name,))
             if state["start"] is not None:
-                yield self._row(key[0], state, self._active(state), True)
+                yield self._row(name, state, self._active(state), True)
+        if due:
+            self._due.removeKey((at,))
 
-    def _stop_timers(self) -> None:
-        if self._idle_ms is not None:
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer)
+    def _expiry(self, state: dict) -> int:
+        return state["last"] // 1000 + self._idle_ms
 
     @staticmethod
-    def _fold(state: dict | None, row: Row) -> dict:
-        s = state or dict.fromkeys(STATE.names) | {"n": 0}
+    def _fold(state: dict | None, row: dict) -> dict:
+        s = state or dict.fromkeys(NAMES) | {"n": 0}
         s["parent"] = _most(s["parent"], row["parent"])
         s["user_id"] = _most(s["user_id"], row["user_id"])
         s["start"] = _least(s["start"], row["started"])
@@ -129,7 +146,7 @@ class Lifecycle(StatefulProcessor):
             if told is not None and (s[text] is None or (at, told) < (s[f"{text}_at"], s[text])):
                 s[text], s[f"{text}_at"] = told, at
                 if text == "response":
-                    seconds = row["response_time"]
+                    seconds = float(row["response_time"])
                     s["response_time"] = None if math.isnan(seconds) else seconds
         return s
 
@@ -200,6 +217,9 @@ COMBINE = {
     "response_time": "first",
 }
 
+# A step of which nothing is known: JSON leaves out what is null.
+NOTHING = dict.fromkeys(["key", *COMBINE])
+
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One step per key and batch, before the shuffle: a key that has a third of all
@@ -217,8 +237,12 @@ def lifecycle_stream(
 ) -> DataFrame:
     """A stream of closed sessions, conversations or turns."""
     steps = _steps(events, level)
-    combined = steps.mapInArrow(_combine, steps.schema).withColumn("at", F.timestamp_micros("seen"))
-    closed = combined.withWatermark("at", delay).groupBy("key").transformWithState(
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+    # One text for all that Python reads of a step, as it gets rows cell by cell.
+    combined = steps.mapInArrow(_combine, steps.schema).select(
+        bucket.alias("bucket"), F.timestamp_micros("seen").alias("at"), F.to_json(F.struct(*steps.columns)).alias("step")
+    )
+    closed = combined.withWatermark("at", delay).groupBy("bucket").transformWithState(
         Lifecycle(idle_seconds), OUTPUT, "Append", "EventTime" if idle_seconds is not None else "None"
     )
     start, end, active = (F.timestamp_micros(c) for c in ("start", "end", "active"))

@@ -273,3 +273,34 @@ def test_stream_files_follow_the_rows(spark, monkeypatch):
     few = fresh_path(spark, "events")
     registry._send([spark.range(9)], few, 9)
     assert len(spark.read.parquet(few).inputFiles()) == 2
+
+
+def test_a_call_folds_a_bucket_of_keys(spark, monkeypatch):
+    """Spark calls the processor for a bucket and not for a key, in every batch, and keys that
+    share a bucket keep their own state, time-out and end."""
+    monkeypatch.setattr(lifecycle, "BUCKETS", 1)
+    folder, target, checkpoint = (fresh_path(spark, x) for x in ("in", "out", "cp"))
+    kw = {"idle_seconds": 60, "delay": "0 seconds"}
+    names = [f"s{n}" for n in range(40)]
+    calls = spark.sparkContext.accumulator(0)
+    fold = lifecycle.Lifecycle.handleInputRows
+
+    def counted(self, key, rows, timers):
+        calls.add(1)
+        return fold(self, key, rows, timers)
+
+    monkeypatch.setattr(lifecycle.Lifecycle, "handleInputRows", counted)
+    add(spark, folder, [event(n, "session_start", 0, s) for n, s in enumerate(names)])
+    assert run(spark, folder, "session", target, checkpoint, **kw).count() == 0
+    # One ends, one goes on, an unknown one ends, all others time out once time has passed.
+    add(spark, folder, [event(50, "session_end", 9, "s0"), event(51, "click", 55, "s1"), event(52, "session_end", 9, "none")])
+    add(spark, folder, [event(53, "session_start", 100, "later")])
+    run(spark, folder, "session", target, checkpoint, **kw)
+    add(spark, folder, [event(54, "click", 101, "later")])
+    rows = run(spark, folder, "session", target, checkpoint, **kw).collect()
+    got = {r["session_id"]: (r["timed_out"], r["duration_seconds"], r["interaction_count"]) for r in rows}
+    assert got == {"s0": (False, 9.0, 0)} | {s: (True, 0.0, 0) for s in names[2:]}
+    add(spark, folder, [event(55, "click", 200, "later")])
+    rows = run(spark, folder, "session", target, checkpoint, **kw).collect()
+    assert [(r["timed_out"], r["duration_seconds"], r["interaction_count"]) for r in rows if r["session_id"] == "s1"] == [(True, 55.0, 1)]
+    assert len(rows) == 40 and calls.value <= 6

@@ -30,6 +30,10 @@ from lorekeep.session import apart, cut_lineage
 QUESTION_BLOCK = 16384
 VECTOR_BLOCK = 32768
 FEW_ROWS = 2048
+# Products of questions and vectors that a task holds at once, and rows that it repeats once a
+# hash table and sends on together.
+ROUGH = 1 << 19
+SENT_ROWS = 1024
 # Exact search starts to divide the corpus beyond this many vectors per cell. The
 # pivots, the only thing sent to every task, are bounded by MAX_CELLS.
 CELL_ROWS = 65536
@@ -64,12 +68,18 @@ def _sound_sides(questions: DataFrame, vectors: DataFrame) -> tuple[DataFrame, D
     return questions.filter(keep), vectors.filter(keep)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    """A row a vector, in numbers as they came; not copied where they lie together."""
+    chunks = [c.flatten() for c in column.chunks]
+    flat = chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks) if chunks else pa.array([], pa.float64())
+    values = flat.to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return _values(column).astype(np.float64)
+
+
 def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct row first stands, and for every row the number of its kind."""
     whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
@@ -95,21 +105,25 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
 
     def search(_key, questions: pa.Table, vectors: pa.Table) -> pa.Table:
         if questions.num_rows and vectors.num_rows:
-            vectors = vectors.take(pa.array(_first_copies(_matrix(vectors["v_block_embedding"]), vectors["id"], k)))
-            vectors = vectors.sort_by("id")
-            v, q = _matrix(vectors["v_block_embedding"]), _matrix(questions["q_block_embedding"])
+            x, ids = _values(vectors["v_block_embedding"]), vectors["id"]
+            kept = _first_copies(x, ids, k)
+            kept = kept[pc.sort_indices(ids.take(pa.array(kept))).to_numpy()]
+            ids, v = ids.take(pa.array(kept)), x[kept].astype(np.float64)
+            q = _values(questions["q_block_embedding"])
             # Equal questions have equal answers.
             asked, kind = _groups(q)
-            q = q[asked]
-            best = np.empty((len(q), min(k, len(v))), dtype=int)
+            best = np.empty((len(asked), min(k, len(v))), dtype=int)
             gap = np.empty(best.shape)
-            v_norm = (v * v).sum(axis=1)
+            v_norm = np.einsum("ij,ij->i", v, v)
             top = min(k, len(v))
-            for at in range(0, len(q), 64):
-                part = q[at : at + 64]
+            step = max(1, min(64, ROUGH // len(v)))
+            for at in range(0, len(asked), step):
+                part = q[asked[at : at + step]].astype(np.float64)
                 # ‖v‖² − 2·q·v orders like the distance but for rounding, so everything
                 # within the rounding error of the k-th is measured again exactly.
-                rough = v_norm - 2.0 * (part @ v.T)
+                rough = part @ v.T
+                rough *= -2.0
+                rough += v_norm
                 slack = 1e-9 * (1.0 + v_norm.max() + (part * part).sum(axis=1))
                 limit = np.partition(rough, top - 1, axis=1)[:, top - 1] + slack
                 for i, row in enumerate(part):
@@ -120,7 +134,7 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
             return pa.table(
                 {
                     "query_id": questions["query_id"].take(pa.array(np.repeat(np.arange(len(kind)), best.shape[1]))),
-                    "id": vectors["id"].take(pa.array(best[kind].ravel())),
+                    "id": ids.take(pa.array(best[kind].ravel())),
                     "distance": pa.array(gap[kind].ravel()),
                 }
             )
@@ -337,11 +351,13 @@ def _with_buckets(
             steps = np.floor((x @ projection + shift) / bucket_length).astype(np.int64)
             with np.errstate(over="ignore"):
                 cells = (steps * mix).reshape(len(x), tables, -1).sum(axis=2) * tables + np.arange(tables)
-            again = batch.take(pa.array(np.repeat(np.arange(len(x)), tables)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.ravel()), again.column(key), again.column("embedding")],
-                names=["cell", key, "embedding"],
-            )
+            for at in range(0, len(x), SENT_ROWS):
+                part = cells[at : at + SENT_ROWS]
+                again = batch.take(pa.array(np.repeat(np.arange(at, at + len(part)), tables)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.ravel()), again.column(key), again.column("embedding")],
+                    names=["cell", key, "embedding"],
+                )
 
     return rows.select(key, "embedding").mapInArrow(hashed, schema)
 

@@ -1,6 +1,9 @@
 """Search against brute force, also where cells and blocks are cut up."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +157,30 @@ def test_broken_vectors(spark):
 def test_lsh_goes_on_to_exact_search(spark):
     points = np.eye(12) * 100
     same(found(kn.knn_lsh(table(spark, points, "query_id"), table(spark, points), 5)), brute(points, points, 5))
+
+
+def test_a_block_is_searched_in_little_memory():
+    """Products and copies of a block are made in parts: a few times the block and no more."""
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(300, 8)).astype(np.float32), rng.normal(size=(16384, 8)).astype(np.float32)
+    side = lambda x, key, name: pa.table({key: pa.array(np.arange(len(x))[::-1]), name: pa.array(list(x))})
+    sides = side(q, "query_id", "q_block_embedding"), side(v, "id", "v_block_embedding")
+    search = kn._block_search(3, pa.int64(), pa.int64())
+    tracemalloc.start()
+    found = search(None, *sides)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    distance = np.sqrt(((v[None, :, :].astype(float) - q[:20, None, :].astype(float)) ** 2).sum(axis=2))
+    want = len(v) - 1 - np.argsort(distance, axis=1, kind="stable")[:, :3]
+    assert found["id"].to_numpy().reshape(-1, 3)[:20].tolist() == want.tolist()
+
+
+def test_rows_of_many_tables_go_on_in_small_batches(spark, monkeypatch):
+    """Every row once a hash table, whatever the size of the batches."""
+    monkeypatch.setattr(kn, "SENT_ROWS", 3)
+    rows = spark.createDataFrame([(n, [float(n), 1.0]) for n in range(10)], "id int, embedding array<double>").coalesce(1)
+    rng = np.random.default_rng(1)
+    planes = spark.sparkContext.broadcast((rng.normal(size=(2, 6)), rng.random(6), np.ones(6, dtype=np.int64)))
+    cells = kn._with_buckets(rows, "id", planes, 3, 0.5)
+    assert sorted(r.id for r in cells.collect()) == [n for n in range(10) for _ in range(3)]

@@ -74,3 +74,11 @@ def test_similarity_takes_more_tasks_for_more_text(spark, monkeypatch):
     chars = 60 * len("red pump " * 200 + "blue pump")
     assert f", {-(-chars // 4000)}), REPARTITION_BY_NUM" in plan(found)
     assert found.count() == 60 and pair_similarity(docs.limit(0), ["n"], "a", "b").isEmpty()
+
+
+def test_evaluations_take_more_tasks_for_more_text(spark, small, monkeypatch):
+    """Labels, rows and reports of evaluations all count terms in as many tasks as the texts need."""
+    monkeypatch.setattr("lorekeep.operators.similarity.TASK_CHARS", 2000)
+    for name in ("relevance_scores", "eval_rows", "metric_corr"):
+        dealt = re.findall(r"hashpartitioning\(case_id\S*, pos\S*, (\d+)\), REPARTITION_BY_NUM", plan(QUERIES[name](spark, small)))
+        assert dealt and min(map(int, dealt)) > 2 * spark.sparkContext.defaultParallelism, name

@@ -65,14 +65,10 @@ def _joined(c) -> Column:
 @query
 def corpus_scan(spark, folder):
     path = fresh_path(spark, "corpus")
-    docs = i.table(spark, folder, "documents").select("lang", "text")
-    # A file per document, in a folder per language. Tasks move their files into place
-    # themselves; by default the driver moves all of them, one after another.
-    spread = docs.repartition(spark.sparkContext.defaultParallelism)
-    writer = spread.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    writer.partitionBy("lang").text(path)
+    # A file per document, in folders per language.
+    corpus.write_files(i.table(spark, folder, "documents"), path, "lang")
     lang = F.regexp_extract("source", r"lang=(\w+)", 1)
-    # The text writer ends every file with a line break.
+    # Every file ends with a line break.
     return corpus.corpus_scan(spark, path).select(lang.alias("lang"), F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 

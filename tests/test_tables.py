@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import embedding as e
-from lorekeep.session import cut_lineage, fresh_path, shared_folder
+from lorekeep.session import cut_lineage, fresh_path, settings, shared_folder
 from lorekeep.sources import corpus
 from lorekeep.sources.schemas import SCHEMAS, conform
 from lorekeep.sources.tables import DAY, Store
@@ -124,6 +124,44 @@ def test_corpus_scan(spark, tmp_path):
         corpus.corpus_scan(spark, str(tmp_path / "absent")).collect()
 
 
+def test_a_task_scans_many_small_files(spark, tmp_path):
+    """Opening a file does not count for 4 MB, in this session or with the settings it has."""
+    for n in range(200):
+        (tmp_path / str(n)).write_text(str(n))
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "16m"}):
+        files = corpus.corpus_scan(spark, str(tmp_path))
+        assert files.rdd.getNumPartitions() <= 8
+        assert sorted(int(r["text"]) for r in files.collect()) == list(range(200))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(corpus.OPEN_COST)
+    assert not spark.catalog.listTables("global_temp")
+
+
+def test_files_are_written_as_spark_writes_them(spark, tmp_path):
+    """A file a row, below folders of the same names and with the same bytes as Spark's own."""
+    langs = ["en", None, "", "pt-BR", "a/b", "x=y z", "q\"%'[]{}^:*?#\\", "tab\there", "EN", "~}"]
+    texts = ["one", None, "", "two\nlines\n", "é", "one", "same", "same", "\r\n", " "]
+    rows = spark.createDataFrame(list(zip(langs, texts)) * 2, "lang string, text string")
+    spark_made, made = tmp_path / "a", tmp_path / "b"
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("lang").text(str(spark_made))
+    corpus.write_files(rows, str(made), "lang")
+    read = lambda top: sorted((p.parent.name, p.read_bytes()) for p in top.rglob("*.txt"))
+    assert read(made) == read(spark_made) and len(read(made)) == 20
+    assert sum(p.name[0] == "0" for p in made.iterdir()) > 1
+    seen = corpus.corpus_scan(spark, str(made)).select("text").collect()
+    assert sorted(r["text"] for r in seen) == sorted(f"{t or ''}\n" for t in texts * 2)
+
+
+def test_a_second_try_of_a_task_adds_no_files(spark, tmp_path):
+    """What a task has put in place stays, and what another try left behind is not scanned."""
+    rows = spark.createDataFrame([("é", b"a"), ("é", b"b")], "lang string, content binary").coalesce(1)
+    for _ in range(2):
+        rows.mapInArrow(corpus._files_of_a_task(str(tmp_path), "lang"), "files long").collect()
+    got = corpus.corpus_scan(spark, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in got) == ["a", "b"] and all("/lang=%C3%A9/" in r["source"] for r in got)
+    with pytest.raises(ValueError, match="there already"):
+        corpus.write_files(rows.selectExpr("lang", "'c' AS text"), str(tmp_path), "lang")
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert fresh_path(spark, "x") != fresh_path(spark, "x")

@@ -25,14 +25,17 @@ from lorekeep.session import apart, cut_lineage
 
 # Rows per block on either side, at most. A vector travels once for each block of
 # questions and a question once for each block of vectors, so blocks are as large as a
-# task can hold: 32,768 vectors of 256 dimensions take 64 MB. Where there is little to
+# task can hold: 65,536 vectors of 256 dimensions take 64 MB. Where there is little to
 # search, blocks of FEW_ROWS spread it over the cores.
-QUESTION_BLOCK = 16384
-VECTOR_BLOCK = 32768
+QUESTION_BLOCK = 32768
+VECTOR_BLOCK = 65536
 FEW_ROWS = 2048
-# Products of questions and vectors that a task holds at once, and rows that it repeats once a
-# hash table and sends on together.
+# Products of questions and vectors that a task holds at once, for so many questions, and
+# vectors of a group, for which their least product stands; a power of two.
 ROUGH = 1 << 19
+STEP = 256
+GROUP = 16
+# Rows that a task repeats once a hash table and sends on together.
 SENT_ROWS = 1024
 # Exact search starts to divide the corpus beyond this many vectors per cell. The
 # pivots, the only thing sent to every task, are bounded by MAX_CELLS.
@@ -100,6 +103,79 @@ def _first_copies(x: np.ndarray, ids: pa.Array | pa.ChunkedArray, k: int) -> np.
     return np.sort(order[place < k])
 
 
+def _measured(row: np.ndarray, near: np.ndarray, v: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the vectors at ``near``, places in order, are nearest, and their distances."""
+    step = max(top, ROUGH // len(row))
+    best, gap = np.empty(0, dtype=int), np.empty(0)
+    for at in range(0, len(near), step):
+        part = near[at : at + step]
+        distance = np.sqrt(((v[part].astype(np.float64) - row) ** 2).sum(axis=1))
+        best, gap = np.concatenate([best, part]), np.concatenate([gap, distance])
+        least = np.argsort(gap, kind="stable")[:top]
+        best, gap = best[least], gap[least]
+    return best, gap
+
+
+def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``q`` the places of its k nearest rows of ``v``, ties by place, and their
+    distances.
+
+    ‖v‖² − 2·q·v orders like the distance but for rounding. It is taken in single precision, and
+    only the least of a group of vectors is kept: the k-th of these bounds the k-th neighbour.
+    Groups within the rounding error of that bound are measured again exactly.
+    """
+    n, size = v.shape
+    top = min(k, n)
+    best = np.empty((len(q), top), dtype=int)
+    gap = np.empty(best.shape)
+    group = 1 << max(1, min(GROUP, n // (4 * top))).bit_length() - 1
+    padded = -(-n // group) * group
+    with np.errstate(over="ignore", invalid="ignore"):
+        # Distances stay when both sides are moved; around the middle of the vectors, rounding
+        # is least.
+        middle = v.mean(axis=0, dtype=np.float64)
+        moved, norm = np.zeros((padded, size), dtype=np.float32), np.full(padded, np.inf, dtype=np.float32)
+        longest, step = 0.0, max(1, ROUGH // size)
+        for at in range(0, n, step):
+            part = v[at : at + step] - middle
+            square = (part * part).sum(axis=1)
+            moved[at : at + len(part)], norm[at : at + len(part)] = part, square
+            longest = np.maximum(longest, square.max())
+        # Vectors at a time, and for each group its first one and how far apart they are.
+        width = max(1, ROUGH // STEP // group) * group
+        chunks = [(at, min(at + width, padded)) for at in range(0, padded, width)]
+        first = np.concatenate([np.arange(at, at + (to - at) // group) for at, to in chunks])
+        apart_by = np.concatenate([np.full((to - at) // group, (to - at) // group) for at, to in chunks])
+        for at in range(0, len(q), STEP):
+            asked = q[at : at + STEP].astype(np.float64)
+            part = asked - middle
+            reach = (part * part).sum(axis=1) + longest
+            part = (-2.0 * part).astype(np.float32)
+            least = np.empty((len(part), len(first)), dtype=np.float32)
+            done = 0
+            for start, end in chunks:
+                rough = part @ moved[start:end].T
+                rough += norm[start:end]
+                groups = (end - start) // group
+                while (half := rough.shape[1] // 2) >= groups:
+                    rough = np.minimum(rough[:, :half], rough[:, half:])
+                least[:, done : done + groups] = rough
+                done += groups
+            # Twice what a product may be off by, and what is too small for single precision.
+            slack = 4.0 * (size + 8) * 2.0**-24 * reach + (size + 8) * 1e-37
+            limit = np.partition(least, top - 1, axis=1)[:, top - 1] + slack
+            # Beyond single precision everything is measured.
+            limit[~(reach < 1e36)] = np.inf
+            row, held = np.nonzero(~(least > limit[:, None]))
+            ends = np.searchsorted(row, np.arange(len(part) + 1))
+            for i, values in enumerate(asked):
+                of = held[ends[i] : ends[i + 1]]
+                near = (first[of][:, None] + apart_by[of][:, None] * np.arange(group)).ravel()
+                near = np.sort(near[near < n])
+                best[at + i], gap[at + i] = _measured(values, near, v, top)
+    return best, gap
+
+
 def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
     """k nearest vectors of one block for each question of another."""
 
@@ -108,29 +184,11 @@ def _block_search(k: int, id_type: pa.DataType, query_type: pa.DataType):
             x, ids = _values(vectors["v_block_embedding"]), vectors["id"]
             kept = _first_copies(x, ids, k)
             kept = kept[pc.sort_indices(ids.take(pa.array(kept))).to_numpy()]
-            ids, v = ids.take(pa.array(kept)), x[kept].astype(np.float64)
+            ids = ids.take(pa.array(kept))
             q = _values(questions["q_block_embedding"])
             # Equal questions have equal answers.
             asked, kind = _groups(q)
-            best = np.empty((len(asked), min(k, len(v))), dtype=int)
-            gap = np.empty(best.shape)
-            v_norm = np.einsum("ij,ij->i", v, v)
-            top = min(k, len(v))
-            step = max(1, min(64, ROUGH // len(v)))
-            for at in range(0, len(asked), step):
-                part = q[asked[at : at + step]].astype(np.float64)
-                # ‖v‖² − 2·q·v orders like the distance but for rounding, so everything
-                # within the rounding error of the k-th is measured again exactly.
-                rough = part @ v.T
-                rough *= -2.0
-                rough += v_norm
-                slack = 1e-9 * (1.0 + v_norm.max() + (part * part).sum(axis=1))
-                limit = np.partition(rough, top - 1, axis=1)[:, top - 1] + slack
-                for i, row in enumerate(part):
-                    near = np.nonzero(rough[i] <= limit[i])[0]
-                    distance = np.sqrt(((v[near] - row) ** 2).sum(axis=1))
-                    least = np.argsort(distance, kind="stable")[:top]
-                    best[at + i], gap[at + i] = near[least], distance[least]
+            best, gap = _nearest(q[asked], x[kept], k)
             return pa.table(
                 {
                     "query_id": questions["query_id"].take(pa.array(np.repeat(np.arange(len(kind)), best.shape[1]))),

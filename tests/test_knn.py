@@ -184,3 +184,19 @@ def test_rows_of_many_tables_go_on_in_small_batches(spark, monkeypatch):
     planes = spark.sparkContext.broadcast((rng.normal(size=(2, 6)), rng.random(6), np.ones(6, dtype=np.int64)))
     cells = kn._with_buckets(rows, "id", planes, 3, 0.5)
     assert sorted(r.id for r in cells.collect()) == [n for n in range(10) for _ in range(3)]
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 1e6), (1e-25, 0.0), (1e25, 0.0)])
+def test_few_vectors_of_a_block_are_measured_again(monkeypatch, scale, offset):
+    """Products in single precision leave few vectors, also far from the origin, and lose none."""
+    rng = np.random.default_rng(5)
+    q, v = (rng.normal(size=(n, 16)) * scale + offset for n in (40, 20000))
+    v[::50] = v[1] + 1e-9 * scale * rng.normal(size=(400, 16))
+    places, measured = [], kn._measured
+    monkeypatch.setattr(kn, "_measured", lambda row, near, *rest: (places.append(len(near)), measured(row, near, *rest))[1])
+    best, gap = kn._nearest(q, v, 3)
+    distance = np.sqrt(((v[None, :, :] - q[:, None, :]) ** 2).sum(axis=2))
+    want = np.argsort(distance, axis=1, kind="stable")[:, :3]
+    assert best.tolist() == want.tolist()
+    assert gap.tolist() == np.take_along_axis(distance, want, axis=1).tolist()
+    assert len(places) == 40 and (scale != 1.0 or max(places) < 2000)
